@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, warc
+from . import bpe, langid, media, quality, warc
+from .common import materialise
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -42,6 +43,26 @@ def op2_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether rules and their learnt accuracies keep it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", quality.features(F.col("text")).alias("f"))
+    counted = materialise(docs.select("doc_id", "f.*"), "quality")
+    model = quality.fit(counted)
+    posterior, failed = model.posterior(F.col), quality.base_failed(F.col)
+    return counted.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & (posterior >= 0.5)).alias("kept"), posterior.alias("posterior"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, held_out=langid.held_out_column())
+    found = docs.select("doc_id", langid.held_out_column().alias("held_out"), model.column(F.col("text")).alias("f"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), F.col("f.score").alias("score"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")
@@ -72,6 +93,8 @@ FROM d
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_media_column": op2_media_column,
+    "op6_weak_supervision": op6_weak_supervision,
+    "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {"op10_warc": OP10_SQL}
