@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, quality, warc
+from . import bpe, langid, media, minhash, quality, warc
 from .common import materialise
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,11 @@ def op2_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, by shingles of two words."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, and whether rules and their learnt accuracies keep it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", quality.features(F.col("text")).alias("f"))
@@ -71,6 +76,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), both_ways AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach(id, r) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT reach.id, b FROM reach JOIN both_ways ON a = r
+)
+SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, w.doc_id = min(r) AS kept
+FROM w JOIN reach ON reach.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages
@@ -93,8 +119,9 @@ FROM d
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_media_column": op2_media_column,
+    "op5_circulant_minhash": op5_circulant_minhash,
     "op6_weak_supervision": op6_weak_supervision,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op10_warc": OP10_SQL}
+SQL: dict[str, str] = {"op5_circulant_minhash": OP5_SQL, "op10_warc": OP10_SQL}
