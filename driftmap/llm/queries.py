@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, minhash, quality, warc
+from . import bpe, html, langid, lm, media, minhash, packing, quality, urlfilter, warc
 from .common import materialise
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,6 +43,57 @@ def op2_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captures_and_changes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Days on which the pages were fetched, and a dated list, both derived from the table.
+
+    The tables hold neither, so digests of ids and hosts stand in for them: every page has a
+    day in 2023, every third host is listed once, some of these are removed and listed again,
+    and each registrable domain (example.*) is listed for a month.
+    """
+    number = lambda c, at: F.conv(F.substring(F.md5(c), at, 6), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2023-01-01").cast("date"), n.cast("int"))
+    text = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    captures = pages.select("page_id", "url", day(number(text, 1) % 365).alias("day"))
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    h = F.col("host")
+    start = number(h, 1) % 200
+    change = lambda name, entry, action, n, when: F.struct(F.lit(name).alias("list_name"), entry.alias("entry"), F.lit(action).alias("action"), day(n).alias("day"), when.alias("real"))
+    listed, removed = number(h, 7) % 3 == 0, number(h, 13) % 2 == 0
+    logged = F.array(
+        change("hosts", h, "add", start, listed),
+        change("hosts", h, "remove", start + 40, listed & removed),
+        change("hosts", h, "add", start + 90, listed & removed & (number(h, 19) % 2 == 0)),
+    )
+    changes = hosts.select(F.explode(logged).alias("c")).select("c.*").filter("real").drop("real")
+    domain = F.element_at(urlfilter.suffixes(h), -1)
+    domains = hosts.select(domain.alias("entry")).distinct()
+    month = number(F.col("entry"), 1) % 300
+    both = F.array(change("domains", F.col("entry"), "add", month, F.lit(True)), change("domains", F.col("entry"), "remove", month + 30, F.lit(True)))
+    return captures, changes.unionByName(domains.select(F.explode(both).alias("c")).select("c.*").drop("real"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the list entries in force on the day of its capture."""
+    captures, changes = captures_and_changes(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(captures, changes).select("page_id", "url", "day", "host", "listed", "n_entries", "entry", F.array_join("lists", ",").alias("lists"))
+
+
+def op4_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under the recurrent model and under the counts."""
+    return lm.score_documents(table(spark, sf_dir, "documents"), lm.held_out_column)
+
+
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))
+    return html.text_column(table(spark, sf_dir, "pages")).select("page_id", "text", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in sequences of several lengths."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, by shingles of two words."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
@@ -76,6 +127,34 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, DATE '2023-01-01' + CAST(('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 6))::INT % 365 AS INT) AS day,
+         rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host
+  FROM pages
+), h AS (
+  SELECT DISTINCT host FROM c WHERE host <> ''
+), s AS (
+  SELECT host, unnest(CASE WHEN regexp_matches(host, '^[0-9.]+$') OR len(string_split(host, '.')) < 2 THEN [host]
+    ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END) AS entry FROM h
+), n AS (
+  SELECT host, ('0x' || substr(md5(host), 1, 6))::INT % 200 AS start, ('0x' || substr(md5(host), 7, 6))::INT % 3 = 0 AS listed,
+         ('0x' || substr(md5(host), 13, 6))::INT % 2 = 0 AS removed, ('0x' || substr(md5(host), 19, 6))::INT % 2 = 0 AS again FROM h
+), d AS (
+  SELECT DISTINCT last_value(entry) OVER (PARTITION BY host ORDER BY length(entry) DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS entry FROM s
+), held AS (
+  SELECT 'hosts' AS list_name, host AS entry, DATE '2023-01-01' + start AS a, CASE WHEN removed THEN DATE '2023-01-01' + (start + 40) END AS b FROM n WHERE listed
+  UNION ALL SELECT 'hosts', host, DATE '2023-01-01' + (start + 90), NULL FROM n WHERE listed AND removed AND again
+  UNION ALL SELECT 'domains', entry, DATE '2023-01-01' + ('0x' || substr(md5(entry), 1, 6))::INT % 300, DATE '2023-01-01' + (('0x' || substr(md5(entry), 1, 6))::INT % 300 + 30) FROM d
+), found AS (
+  SELECT DISTINCT c.host, c.day, held.list_name, held.entry FROM (SELECT DISTINCT host, day FROM c) c JOIN s ON s.host = c.host JOIN held ON held.entry = s.entry AND c.day >= a AND (b IS NULL OR c.day < b)
+), v AS (
+  SELECT host, day, count(DISTINCT entry) AS n_entries, arg_max(entry, length(entry)) AS entry, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM found GROUP BY host, day
+)
+SELECT page_id, url, CAST(c.day AS DATE) AS day, c.host, v.entry IS NOT NULL AS listed, CAST(coalesce(n_entries, 0) AS BIGINT) AS n_entries, v.entry, coalesce(lists, '') AS lists
+FROM c LEFT JOIN v ON v.host = c.host AND v.day = c.day
+"""
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -119,9 +198,13 @@ FROM d
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_media_column": op2_media_column,
+    "op3_url_filter": op3_url_filter,
+    "op4_gated_lm": op4_gated_lm,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_weak_supervision": op6_weak_supervision,
+    "op7_html_layout": op7_html_layout,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op5_circulant_minhash": OP5_SQL, "op10_warc": OP10_SQL}
+SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_circulant_minhash": OP5_SQL, "op10_warc": OP10_SQL}
