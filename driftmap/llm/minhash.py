@@ -6,17 +6,19 @@ the same places shifted once, twice, ... around the circle, and coordinate k is
 value found at shift k. Because shift k is the next place, one gather of ``COORDINATES``
 neighbouring values per shingle yields every coordinate at once.
 
-Links are found in two passes, so that a group of n copies never makes n * n pairs:
+Links are found in three passes, so that a group of n copies never makes n * n pairs:
 
 1. Documents with equal shingle sets are one node. Every band bucket links each node to
    the bucket's least one; these pairs are verified on the full sets.
-2. Where a bucket still holds several components, the nodes outside its largest component
-   are compared with all of the bucket, in blocks of bounded size, by whole signatures;
-   pairs that may reach the threshold are verified on the full sets, too.
+2. Where a bucket of three or more still holds several components, the nodes outside its
+   largest component are paired with a hash-chosen node of that component and with one of
+   their own; verified links join components. After ``ROUNDS`` rounds few nodes stay outside.
+3. These are compared with all of their buckets, in blocks of bounded size, by signatures of
+   ``LONG`` coordinates; pairs that may reach the threshold are verified on the full sets, too.
 
 Pairs within one component are not looked at again: they cannot change the components.
-At Jaccard 0.8 a pair shares no bucket with probability (1 - 0.8**4)**32 < 1e-7, and
-a signature estimate falls below ``LEAST_MATCHES`` with about the same.
+At Jaccard 0.8 a pair shares no bucket with probability (1 - 0.8**4)**32 < 1e-7, and the
+long signatures agree in fewer than ``LEAST_MATCHES`` places with less than 1e-5.
 
 Ids are integers. Defined results: null, empty and blank texts have no shingles and stand alone; rows with
 one id count as one node; a row without an id stands alone with a null component.
@@ -31,28 +33,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, mix64, shingle_hashes, word_hashes
+from .common import as_bytes, map_texts, materialise, mix64, shingle_hashes, slices, word_hashes
 
 CIRCLE = 1 << 20
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
-LEAST_MATCHES = 76  # of 128; 0.8 less five standard deviations
+LONG, LEAST_MATCHES = 512, 370  # 0.8 less 4.4 standard deviations
+ROUNDS = 2
 BLOCK_OUTSIDE, BLOCK_ALL = 256, 2048
 
 
 class Circulant:
     """The second permutation, unrolled past its end by the number of coordinates."""
 
-    def __init__(self, seed: int = 5) -> None:
+    def __init__(self, coordinates: int = COORDINATES, seed: int = 5) -> None:
+        self.coordinates = coordinates
         order = np.random.default_rng(seed).permutation(CIRCLE).astype(np.uint32)
-        unrolled = np.concatenate([order, order[:COORDINATES]])
-        self.rows = np.lib.stride_tricks.sliding_window_view(unrolled, COORDINATES)
+        unrolled = np.concatenate([order, order[:coordinates]])
+        self.rows = np.lib.stride_tricks.sliding_window_view(unrolled, coordinates)
 
     def signatures(self, shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """A row of ``COORDINATES`` values for each non-empty run ``bounds[i]:bounds[i + 1]``."""
+        """A row of values for each non-empty run ``bounds[i]:bounds[i + 1]``."""
         at = (mix64(shingles ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(44)).astype(np.int64)
-        out = np.full((len(bounds) - 1, COORDINATES), 0xFFFFFFFF, np.uint32)
-        step = 2048
+        out = np.full((len(bounds) - 1, self.coordinates), 0xFFFFFFFF, np.uint32)
+        step = 2048 * COORDINATES // self.coordinates
         for low in range(0, len(at), step):
             high = min(low + step, len(at))
             first = int(np.searchsorted(bounds, low, side="right")) - 1
@@ -63,13 +67,13 @@ class Circulant:
         return out
 
 
-_CIRCULANT: list[Circulant] = []
+_CIRCULANT: dict[int, Circulant] = {}
 
 
-def circulant() -> Circulant:
-    if not _CIRCULANT:
-        _CIRCULANT.append(Circulant())
-    return _CIRCULANT[0]
+def circulant(coordinates: int = COORDINATES) -> Circulant:
+    if coordinates not in _CIRCULANT:
+        _CIRCULANT[coordinates] = Circulant(coordinates)
+    return _CIRCULANT[coordinates]
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -99,17 +103,16 @@ def _signed(texts: list[bytes], size: int) -> list[pa.Array]:
     bands = mix64(bands + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
     keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
     listed = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-    sketch = pa.array([row.tobytes() for row in (signed * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)], pa.binary())
-    return [pa.array(np.diff(bounds)), keys, listed, sketch]
+    return [pa.array(np.diff(bounds)), keys, listed]
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n_shingles, set_key, bands, sketch) of every whole text; no set, no key."""
+    """(id, n_shingles, set_key, bands) of every whole text; no set, no key."""
 
     def make() -> Callable:
         return lambda texts: _signed(texts, size)
 
-    return map_texts(docs, id_col, text_col, "id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary", make)
+    return map_texts(docs, id_col, text_col, "id bigint, n_shingles bigint, set_key binary, bands array<bigint>", make)
 
 
 def _sets_of(docs: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
@@ -123,6 +126,21 @@ def _sets_of(docs: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
     return map_texts(chosen, "id", "text", "id bigint, shingles binary", make)
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, sketch): the size of each set, and a byte of each of ``LONG`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                held = [np.frombuffer(x, np.uint64) for x in as_bytes(batch.column(1))]
+                sizes = np.array([len(x) for x in held], np.int64)
+                signed = circulant(LONG).signatures(np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)]))
+                rows = (signed * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "n", "sketch"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id bigint, n bigint, sketch binary")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets share at least ``percent`` % of their union."""
 
@@ -158,42 +176,63 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        large = materialise(large, label)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         small = materialise(small, label)
-        # every node points at one other, and none of those points further: stars
-        roots = small.select(F.col("v").alias("u")).distinct()
-        if small.join(roots, "u", "left_semi").isEmpty() and small.groupBy("u").count().filter("count > 1").isEmpty():
+        # done when every node points at one other, and none of those points further: stars
+        ends = small.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+        ends = ends.unionByName(small.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1").isEmpty():
             return small.select(F.col("u").alias("id"), F.col("v").alias("component"))
         now = small
 
 
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links (a, b), by the graph of components alone."""
+    new = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti")
+    every = labels.unionByName(new.select("id", F.col("id").alias("component")))
+    at = lambda end: every.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    between = links.join(at("a"), "a").join(at("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b")
+    joined = components(between, "contracted").select(F.col("id").alias("component"), F.col("component").alias("least"))
+    out = every.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    return materialise(out, "labels")
+
+
 def _star_pairs(buckets: DataFrame) -> DataFrame:
     least = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return buckets.join(least.select("bucket", "a"), "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def _outside_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, comp, largest, total, outside) of buckets of three or more with several components."""
+    held = buckets.join(labels.withColumnRenamed("component", "comp"), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    sizes = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
+    split = split.filter("comps > 1 AND total > 2").select("bucket", "total", F.col("top.comp").alias("largest"), (F.col("total") - F.col("top.n")).alias("outside"))
+    return materialise(held.join(split, "bucket"), "split")
+
+
+def _sample_pairs(split: DataFrame, salt: int) -> DataFrame:
+    """Nodes outside a bucket's largest component, each with one node of it and one of their own."""
+    drawn = F.struct(F.xxhash64("id", "bucket", F.lit(salt)), F.col("id"))
+    inside = F.col("comp") == F.col("largest")
+    centres = split.groupBy("bucket").agg(F.min(F.when(inside, drawn)).alias("one"), F.min(F.when(~inside, drawn)).alias("other"))
+    centres = centres.select("bucket", F.explode(F.array("one.id", "other.id")).alias("a"))
+    pairs = split.filter("comp <> largest").join(centres, "bucket").filter("id <> a")
+    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+def _outside_pairs(split: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs of nodes in one bucket but different components that may reach the threshold.
 
-    Only buckets with several components take part. Rows go to blocks: a node outside the
-    bucket's largest component to one block of such nodes, paired with every block of all
-    nodes, so that a task holds at most ``BLOCK_OUTSIDE`` + ``BLOCK_ALL`` of a bucket on average.
+    A node outside the bucket's largest component goes to one block of such nodes, which
+    meets every block of all nodes, so that a task holds about ``BLOCK_OUTSIDE`` +
+    ``BLOCK_ALL`` of a bucket.
     """
-    named = labels.withColumnRenamed("component", "comp")
-    held = buckets.join(named, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    held = materialise(held, "buckets")
-    sizes = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
-    split = split.filter("comps > 1").select(
-        "bucket",
-        F.col("top.comp").alias("largest"),
-        F.ceil((F.col("total") - F.col("top.n")) / BLOCK_OUTSIDE).cast("int").alias("outs"),
-        F.ceil(F.col("total") / BLOCK_ALL).cast("int").alias("alls"),
+    rows = split.join(sketched, "id").withColumns(
+        {"outs": F.ceil(F.col("outside") / BLOCK_OUTSIDE).cast("int"), "alls": F.ceil(F.col("total") / BLOCK_ALL).cast("int")}
     )
-    rows = held.join(split, "bucket").join(nodes.select("id", "sketch", F.col("n_shingles").alias("n")), "id")
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
     outside = rows.filter("comp <> largest").select(
         "bucket", (own % F.col("outs")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("q"), "id", "comp", "n", "sketch", F.lit(True).alias("out")
@@ -211,7 +250,7 @@ def _outside_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> D
             keys = np.stack([t.column(k).to_numpy() for k in ("bucket", "p", "q")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             ids, comp, size, out = (t.column(k).to_numpy() for k in ("id", "comp", "n", "out"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, LONG)
             a, b = [], []
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 outs = low + np.flatnonzero(out[low:high])
@@ -256,18 +295,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = keyed.groupBy("set_key").agg(F.min("id").alias("node"))
     # one row for each node; rows that share an id but not a text may repeat it
     chosen = first.select(F.col("node").alias("id"), "set_key")
-    nodes = keyed.join(chosen, ["id", "set_key"]).select("id", "n_shingles", "set_key", "bands", "sketch")
+    nodes = keyed.join(chosen, ["id", "set_key"]).select("id", "n_shingles", "set_key", "bands")
     nodes = materialise(nodes.dropDuplicates(["id", "set_key"]), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(buckets.join(crowded, "bucket"), "crowded")
     sets = materialise(_sets_of(docs, size, buckets), "sets")
-    star = verify(_star_pairs(buckets), sets, percent)
-    star = materialise(star, "star")
-    labels = components(star)
-    more = materialise(verify(_outside_pairs(buckets, nodes, labels), sets, percent), "more")
-    if not more.isEmpty():
-        labels = components(star.unionByName(more))
+    labels = components(materialise(verify(_star_pairs(buckets), sets, percent), "star"))
+    for salt in range(ROUNDS):
+        links = materialise(verify(_sample_pairs(_split(buckets, labels), salt), sets, percent), "links")
+        labels = relabel(labels, links)
+    split = _split(buckets, labels)
+    sketched = sketches(sets.join(split.select("id").distinct(), "id", "left_semi"))
+    links = materialise(verify(_outside_pairs(split, sketched), sets, percent), "links")
+    if not links.isEmpty():
+        labels = relabel(labels, links)
     where = first.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = signed.select("id", "n_shingles", "set_key").join(where, "set_key", "left")
     alone = F.col("id").isNull() | F.col("set_key").isNull()
