@@ -13,8 +13,10 @@ Links are found in three passes, so that a group of n copies never makes n * n p
 2. Where a bucket of three or more still holds several components, the nodes outside its
    largest component are paired with a hash-chosen node of that component and with one of
    their own; verified links join components. After ``ROUNDS`` rounds few nodes stay outside.
-3. These are compared with all of their buckets, in blocks of bounded size, by signatures of
-   ``LONG`` coordinates; pairs that may reach the threshold are verified on the full sets, too.
+3. These are compared with all of their buckets, in blocks of bounded size. In buckets of up
+   to ``SMALL`` nodes signatures of ``LONG`` coordinates tell which pairs may reach the
+   threshold; in larger ones, which hold groups of near copies, shared shingles are counted
+   on 32-bit fingerprints, so that only links leave the block. Both are verified on full sets.
 
 Pairs within one component are not looked at again: they cannot change the components.
 At Jaccard 0.8 a pair shares no bucket with probability (1 - 0.8**4)**32 < 1e-7, and the
@@ -39,7 +41,7 @@ CIRCLE = 1 << 20
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
 LONG, LEAST_MATCHES = 512, 370  # 0.8 less 4.4 standard deviations
-ROUNDS = 2
+ROUNDS, SMALL = 2, 64
 BLOCK_OUTSIDE, BLOCK_ALL = 256, 2048
 
 
@@ -127,7 +129,7 @@ def _sets_of(docs: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(id, n, sketch): the size of each set, and a byte of each of ``LONG`` coordinates."""
+    """(id, n, payload): the size of each set, and a byte of each of ``LONG`` coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,9 +138,9 @@ def sketches(sets: DataFrame) -> DataFrame:
                 sizes = np.array([len(x) for x in held], np.int64)
                 signed = circulant(LONG).signatures(np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)]))
                 rows = (signed * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "n", "payload"])
 
-    return sets.select("id", "shingles").mapInArrow(run, "id bigint, n bigint, sketch binary")
+    return sets.select("id", "shingles").mapInArrow(run, "id bigint, n bigint, payload binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,46 +225,85 @@ def _sample_pairs(split: DataFrame, salt: int) -> DataFrame:
     return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
-def _outside_pairs(split: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs of nodes in one bucket but different components that may reach the threshold.
+def compact(sets: DataFrame) -> DataFrame:
+    """(id, n, payload): the size of each set, and 32 bits of each of its fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                held = [np.frombuffer(x, np.uint64) for x in as_bytes(batch.column(1))]
+                short = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in held]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array(short, pa.binary())], names=["id", "n", "payload"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id bigint, n bigint, payload binary")
+
+
+def _by_sketch(size: np.ndarray, payload: list[bytes], comp: np.ndarray, outs: np.ndarray, alls: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``outs`` those of ``alls`` whose signatures agree enough."""
+    table = np.frombuffer(b"".join(payload[i] for i in alls.tolist()), np.uint8).reshape(-1, LONG)
+    for i in outs.tolist():
+        may = np.flatnonzero((comp[alls] != comp[i]) & (100 * np.minimum(size[alls], size[i]) >= percent * np.maximum(size[alls], size[i])))
+        own = np.frombuffer(payload[i], np.uint8)
+        yield i, alls[may[(table[may] == own).sum(1) >= LEAST_MATCHES]]
+
+
+def _by_count(size: np.ndarray, payload: list[bytes], comp: np.ndarray, outs: np.ndarray, alls: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``outs`` one of ``alls`` from each component that shares enough shingles.
+
+    Equal fingerprints of different shingles can only add to a count, so no link is missed.
+    """
+    held = [np.frombuffer(payload[i], "<u4") for i in alls.tolist()]
+    owner = np.repeat(np.arange(len(alls)), [len(x) for x in held])
+    flat = np.concatenate(held)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i in outs.tolist():
+        own = np.frombuffer(payload[i], "<u4")
+        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        hits = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(int(hits.sum()))
+        same = np.bincount(owner[at], minlength=len(alls))
+        near = np.flatnonzero((comp[alls] != comp[i]) & (100 * same >= percent * (size[alls] + size[i] - same)))
+        near = near[np.lexsort((-same[near], comp[alls][near]))]
+        first = np.concatenate([[True], comp[alls][near][1:] != comp[alls][near][:-1]]) if len(near) else np.zeros(0, bool)
+        yield i, alls[near[first]]
+
+
+def _outside_pairs(split: DataFrame, payload: DataFrame, test: Callable, percent: int) -> DataFrame:
+    """Pairs of nodes in one bucket but different components that pass ``test``.
 
     A node outside the bucket's largest component goes to one block of such nodes, which
     meets every block of all nodes, so that a task holds about ``BLOCK_OUTSIDE`` +
-    ``BLOCK_ALL`` of a bucket.
+    ``BLOCK_ALL`` of a bucket. ``payload``: (id, n, payload).
     """
-    rows = split.join(sketched, "id").withColumns(
+    rows = split.join(payload, "id").withColumns(
         {"outs": F.ceil(F.col("outside") / BLOCK_OUTSIDE).cast("int"), "alls": F.ceil(F.col("total") / BLOCK_ALL).cast("int")}
     )
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
     outside = rows.filter("comp <> largest").select(
-        "bucket", (own % F.col("outs")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("q"), "id", "comp", "n", "sketch", F.lit(True).alias("out")
+        "bucket", (own % F.col("outs")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("q"), "id", "comp", "n", "payload", F.lit(True).alias("out")
     )
     every = rows.select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("p"), (own % F.col("alls")).alias("q"), "id", "comp", "n", "sketch", F.lit(False).alias("out")
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("p"), (own % F.col("alls")).alias("q"), "id", "comp", "n", "payload", F.lit(False).alias("out")
     )
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block; blocks are cut out of the run of batches."""
+        """Rows come sorted by block; whole blocks are cut out of the run of batches."""
         rest: pa.Table | None = None
 
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.stack([t.column(k).to_numpy() for k in ("bucket", "p", "q")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             ids, comp, size, out = (t.column(k).to_numpy() for k in ("id", "comp", "n", "out"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, LONG)
-            a, b = [], []
+            held, pairs = t.column("payload").to_pylist(), set()
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                outs = low + np.flatnonzero(out[low:high])
-                alls = low + np.flatnonzero(~out[low:high])
-                if not len(outs) or not len(alls):
-                    continue
-                for i in outs.tolist():
-                    near = alls[(comp[alls] != comp[i]) & (100 * np.minimum(size[alls], size[i]) >= 80 * np.maximum(size[alls], size[i]))]
-                    near = near[(sketch[near] == sketch[i]).sum(1) >= LEAST_MATCHES]
-                    a += np.minimum(ids[near], ids[i]).tolist()
-                    b += np.maximum(ids[near], ids[i]).tolist()
-            if a:
+                outs, alls = low + np.flatnonzero(out[low:high]), low + np.flatnonzero(~out[low:high])
+                if len(outs) and len(alls):
+                    for i, near in test(size, held, comp, outs, alls, percent):
+                        pairs.update((min(int(ids[i]), x), max(int(ids[i]), x)) for x in ids[near].tolist())
+            if pairs:
+                a, b = zip(*sorted(pairs), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
         for batch in batches:
@@ -306,8 +347,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = materialise(verify(_sample_pairs(_split(buckets, labels), salt), sets, percent), "links")
         labels = relabel(labels, links)
     split = _split(buckets, labels)
-    sketched = sketches(sets.join(split.select("id").distinct(), "id", "left_semi"))
-    links = materialise(verify(_outside_pairs(split, sketched), sets, percent), "links")
+    small, large = split.filter(F.col("total") <= SMALL), split.filter(F.col("total") > SMALL)
+    own = lambda part: sets.join(part.select("id").distinct(), "id", "left_semi")
+    pairs = _outside_pairs(small, sketches(own(small)), _by_sketch, percent)
+    pairs = pairs.unionByName(_outside_pairs(large, compact(own(large)), _by_count, percent)).distinct()
+    links = materialise(verify(pairs, sets, percent), "links")
     if not links.isEmpty():
         labels = relabel(labels, links)
     where = first.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
