@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import LAT_MAX, LON_MAX, NANO, to_nano
+from ..model import LAT_MAX, LON_MAX, NANO, div, to_nano
 from .geo import Vertex, crossings, meeting_point, open_ring
 
 
@@ -45,7 +45,7 @@ def parse_entity_id(text: str) -> int:
 
 def iso_time(ts_ns: Column) -> Column:
     """ISO 8601 in UTC with milliseconds."""
-    return F.date_format(F.timestamp_micros((F.floor(ts_ns / F.lit(1_000_000)) * 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(F.timestamp_micros(div(ts_ns, 1_000_000) * 1000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def parse_time(text: Column) -> Column:

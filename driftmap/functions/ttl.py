@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import NANO
+from ..model import NANO, div
 
 #: Expiry extended by reading.
 EXTEND_BY, EXTEND_CAP, EXTEND_COOLDOWN = 86_400, 2_592_000, 3_600
@@ -22,7 +22,7 @@ def is_expired(now_ns: int, mode: str = "read", ts: str = "ts_ns", ttl: str = "t
     """
     t, s = F.col(ts), F.col(ttl)
     if mode == "read":
-        late = F.lit(now_ns // NANO) > F.floor(t / F.lit(NANO)).cast("long") + s
+        late = F.lit(now_ns // NANO) > div(t, NANO) + s
     elif mode == "cleanup":
         late = F.lit(now_ns) >= t + s * NANO
     elif mode == "cold":
@@ -44,7 +44,7 @@ def expired_sql(now_ns: int, mode: str = "read") -> str:
 def remaining_seconds(now_ns: int, ts: str = "ts_ns", ttl: str = "ttl_seconds") -> Column:
     """Whole seconds left; null if the event never expires, 0 if it has."""
     left = F.col(ts) + F.col(ttl) * NANO - F.lit(now_ns)
-    return F.when(F.col(ttl) > 0, F.when(left <= 0, F.lit(0)).otherwise(F.floor(left / F.lit(NANO))).cast("long"))
+    return F.when(F.col(ttl) > 0, F.when(left <= 0, F.lit(0)).otherwise(div(left, NANO)).cast("long"))
 
 
 def extension(

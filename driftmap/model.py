@@ -93,6 +93,11 @@ def flag(name: str) -> Column:
     return F.shiftright(F.col("flags"), FLAGS[name]).bitwiseAND(F.lit(1)) == 1
 
 
+def div(value: Column, by: int | Column) -> Column:
+    """Integer division; a double would lose the last digits of nanoseconds."""
+    return F.call_function("div", value, by if isinstance(by, Column) else F.lit(by))
+
+
 def to_nano(degrees: float) -> int:
     """Degrees to nanodegrees, rounded as the client library does."""
     return round(degrees * NANO)

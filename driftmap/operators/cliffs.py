@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import NANO
+from ..model import NANO, div
 
 HOURS, THRESHOLD = 24, 3.0  # fixed values
 
@@ -14,7 +14,7 @@ def histogram(state: DataFrame, as_of_ns: int, hours: int = HOURS) -> DataFrame:
     """(bucket, n): rows to expire in each hour ahead; the last takes all that is later."""
     due = F.col("ts_ns") + F.col("ttl_seconds") * NANO
     ahead = state.filter((F.col("ttl_seconds") > 0) & (due > as_of_ns))
-    bucket = F.least(F.floor((due - as_of_ns) / F.lit(3_600 * NANO)), F.lit(hours - 1)).cast("long")
+    bucket = F.least(div(due - as_of_ns, 3_600 * NANO), F.lit(hours - 1)).cast("long")
     return ahead.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

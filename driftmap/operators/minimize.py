@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import flag
+from ..model import div, flag
 
 # Precision levels in order; rounding factor in nanodegrees, accuracy in metres,
 # recommended expiry in seconds. The factors are 1000 times finer than their names say; they
@@ -48,8 +48,7 @@ def levels_table(spark: SparkSession, levels: tuple = LEVELS) -> DataFrame:
 
 def coarser(nano: Column, factor: Column) -> Column:
     """To the nearest multiple, halves away from zero."""
-    half = F.floor(factor / 2)
-    size = F.floor((F.abs(nano) + half) / factor) * factor
+    size = div(F.abs(nano) + div(factor, 2), factor) * factor
     return F.when(nano < 0, -size).otherwise(size).cast("long")
 
 

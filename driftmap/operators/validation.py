@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import FLAGS, HEADING_MAX, LAT_MAX, LON_MAX, NANO, flag
+from ..model import FLAGS, HEADING_MAX, LAT_MAX, LON_MAX, NANO, div, flag
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 OPTIONAL = ("correlation_id", "altitude_mm", "velocity_mms", "heading_cdeg", "accuracy_mm", "ttl_seconds", "group_id", "user_data")
@@ -118,6 +118,6 @@ def profile(events: DataFrame, options: Options = Options()) -> DataFrame:
             "invalid_events": F.col("total_events") - F.col("valid_events"),
             "completeness_percent": F.round(F.when(F.col("total_events") > 0, filled * 100.0 / (8 * F.col("total_events"))).otherwise(0.0), 6),
             "success_percent": F.round(F.when(F.col("total_events") > 0, F.col("valid_events") * 100.0 / F.col("total_events")).otherwise(100.0), 6),
-            "span_seconds": F.floor(F.col("max_ts_ns") / F.lit(NANO)) - F.floor(F.col("min_ts_ns") / F.lit(NANO)),
+            "span_seconds": div(F.col("max_ts_ns"), NANO) - div(F.col("min_ts_ns"), NANO),
         }
     )

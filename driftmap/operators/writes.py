@@ -56,7 +56,7 @@ def running(df: DataFrame, keys: list[str], name: str, value: Column, agg: Calla
     Two levels: within blocks of ``seq``, and over whole blocks. A key with a third of all
     rows is then spread over its blocks; only a row per block meets in one task.
     """
-    rows = df.withColumn("_block", F.floor(F.col("seq") / block)).withColumn("_value", value)
+    rows = df.withColumn("_block", F.floor(F.col("seq") / F.lit(block))).withColumn("_value", value)
     inner = Window.partitionBy(*keys, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_block").agg(agg("_value").alias("_total")).withColumn("_before", agg("_total").over(outer))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fixed, from_hex, hex32, iso_time, parse_time
-from ..model import FLAGS, NANO, flag
+from ..model import FLAGS, NANO, div, flag
 
 DELIMITERS = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}
 #: Columns of CSV exports, in order.
@@ -23,7 +23,7 @@ def _time(how: str) -> Column:
     t = F.col("ts_ns")
     if how == "iso8601":
         return iso_time(t)
-    return F.floor(t / F.lit({"unix_ns": 1, "unix_ms": 1_000_000, "unix_s": NANO}[how])).cast("string") if how != "unix_ns" else t.cast("string")
+    return div(t, {"unix_ns": 1, "unix_ms": 1_000_000, "unix_s": NANO}[how]).cast("string")
 
 
 def csv_rows(events: DataFrame, time_format: str = "unix_ns", optional: bool = True) -> DataFrame:
@@ -92,7 +92,7 @@ def event_json(include_nulls: bool = False) -> Column:
         pair("id", quoted("event_id")), pair("entity_id", quoted("entity_id")),
         some("correlation_id", pair("correlation_id", quoted("correlation_id"))), some("user_data", pair("user_data", quoted("user_data"))),
         pair("latitude", fixed(e("lat_nano") / F.lit(1e9), 9)), pair("longitude", fixed(e("lon_nano") / F.lit(1e9), 9)),
-        pair("timestamp_ns", e("ts_ns").cast("string")), pair("timestamp_ms", F.expr("ts_ns div 1000000").cast("string")), pair("group_id", e("group_id").cast("string")),
+        pair("timestamp_ns", e("ts_ns").cast("string")), pair("timestamp_ms", div(e("ts_ns"), 1_000_000).cast("string")), pair("group_id", e("group_id").cast("string")),
         *[some(c, pair(name, fixed(e(c) / F.lit(unit), digits))) for name, c, unit, digits in MEASURES],
         some("ttl_seconds", pair("ttl_seconds", e("ttl_seconds").cast("string"))), pair("flags", flags),
     ]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..model import EVENT_SCHEMA, NANO
+from ..model import EVENT_SCHEMA, NANO, div
 from ..operators.latest import latest
 
 OUTPUT = T.StructType([*EVENT_SCHEMA.fields, T.StructField("change", T.StringType())])
@@ -72,7 +72,7 @@ class LatestPosition(StatefulProcessor):
 
 def positions(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The change stream of latest positions, by event time; needs the RocksDB state store."""
-    timed = stream.withColumn("event_time", F.timestamp_micros(F.expr("ts_ns div 1000"))).withWatermark("event_time", delay)
+    timed = stream.withColumn("event_time", F.timestamp_micros(div(F.col("ts_ns"), 1000))).withWatermark("event_time", delay)
     return timed.groupBy("entity_id").transformWithStateInPandas(
         statefulProcessor=LatestPosition(), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
     )
