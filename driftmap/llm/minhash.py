@@ -333,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(sign(docs, "id", "text", size), "signed")
     keyed = signed.filter("set_key IS NOT NULL AND id IS NOT NULL")
-    first = keyed.groupBy("set_key").agg(F.min("id").alias("node"))
+    # written, so that the join back deals both sides anew and Spark can split a hot set
+    first = materialise(keyed.groupBy("set_key").agg(F.min("id").alias("node")), "first")
     # one row for each node; rows that share an id but not a text may repeat it
     chosen = first.select(F.col("node").alias("id"), "set_key")
     nodes = keyed.join(chosen, ["id", "set_key"]).select("id", "n_shingles", "set_key", "bands")
