@@ -151,6 +151,21 @@ def radius_pages(state: DataFrame, lat_nano: int, lon_nano: int, radius_mm: int,
     return limited(hits, limit, [F.col("lat_nano"), F.col("entity_id")])
 
 
+def post_filter_statistics(candidates: DataFrame, place: Column, as_of_ns: int, ts_min: int = 0, ts_max: int = 0) -> DataFrame:
+    """What each filter turns away, in the order deletion, time, expiry, place: one aggregate.
+
+    ``false_positives`` is the share of candidates that a coarse index let through in vain.
+    """
+    gone, late = flag("deleted"), is_expired(as_of_ns, "cold")
+    in_time = filters(ts_min, ts_max)
+    first = F.when(gone, "deleted").when(~in_time, "time").when(late, "expired").when(~place, "place").otherwise("passed")
+    counts = candidates.select(first.alias("r")).agg(
+        F.count(F.lit(1)).alias("candidates"), *[F.count_if(F.col("r") == x).alias(x) for x in ("deleted", "time", "expired", "place", "passed")]
+    )
+    share = (F.col("candidates") - F.col("passed")) / F.greatest(F.col("candidates"), F.lit(1))
+    return counts.withColumn("false_positives", F.round(share, 6))
+
+
 def spatial_join(events: DataFrame, zones: list[tuple[str, geo.Polygon]]) -> DataFrame:
     """Every event with the names of the zones it lies in (an extension: not a reference query).
 

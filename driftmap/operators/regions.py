@@ -112,6 +112,17 @@ def shard(entity: Column, shards: int, strategy: str = "jump") -> Column:
     return F.arrow_udf(run, "bigint")(entity)
 
 
+def covering_shards(ranges: tuple[tuple[int, int], ...], shards: int) -> list[int]:
+    """Shards, by spatial key, that the leaf ranges of a covering can touch; all if it is wide."""
+    keys: list[np.ndarray] = []
+    for low, high in ranges:
+        first, last = low >> 32, (high - 1) >> 32
+        if last - first > 1 << 16:
+            return list(range(shards))
+        keys.append(np.arange(first, last + 1, dtype=np.uint64))
+    return sorted(set(jump(np.concatenate(keys), shards).tolist())) if keys else []
+
+
 def shard_statistics(events: DataFrame, shards: int, strategy: str = "jump") -> DataFrame:
     """Rows a shard: mean, deviation and the largest over the mean. Entities are placed once."""
     sizes = events.groupBy("entity_id").count().withColumn("shard", shard(F.col("entity_id"), shards, strategy)).groupBy("shard").agg(F.sum("count").alias("n"))

@@ -1,7 +1,8 @@
 """The engine: a log of events behind one object, with reads, writes, batches and text.
 
-State is a DataFrame, one row per entity. Writes return result codes and put a new state in
-place; nothing is mutated, so a transaction is a state to go back to.
+State is a DataFrame, one row per entity, kept as a checkpoint after each write. Writes return
+result codes and put a new state in place; nothing is mutated, so a transaction is a state to
+go back to.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..functions.geo import Polygon, PolygonError
 from ..model import COLUMNS, EVENT_SCHEMA, NANO, QueryStatus, to_nano
 from ..operators import reads, writes
 from ..operators.latest import latest, status
+from ..state import keep
 from .console import Command, parse
 from .prepared import Registry
 
@@ -73,25 +75,28 @@ class Engine:
     def insert(self, batch: DataFrame | Sequence[dict], commit_ns: int) -> DataFrame:
         """Codes (seq, entity_id, code); the new state takes the old one's place."""
         rows = batch if isinstance(batch, DataFrame) else self.events(batch)
-        codes, self.state = writes.insert_events(self.state, rows, commit_ns, self.default_ttl)
+        codes, state = writes.insert_events(self.state, rows, commit_ns, self.default_ttl)
+        self.state = keep(state)
         return codes
 
     upsert = insert
 
     def delete(self, ids: Sequence[int], commit_ns: int) -> DataFrame:
         rows = self.spark.createDataFrame(list(enumerate(ids)), "seq bigint, entity_id bigint")
-        codes, self.state = writes.delete_entities(self.state, rows, commit_ns)
+        codes, state = writes.delete_entities(self.state, rows, commit_ns)
+        self.state = keep(state)
         return codes
 
     def ttl(self, how: str, entity_id: int, seconds: int = 0) -> DataFrame:
         """set, extend or clear one expiry."""
         asked = self.spark.createDataFrame([(entity_id, seconds)], "entity_id bigint, seconds bigint")
         changed = writes.change_ttl(self.state, asked, how)
-        self.state = writes.with_ttl(self.state, changed)
+        self.state = keep(writes.with_ttl(self.state, changed))
         return changed
 
     def cleanup_expired(self, as_of_ns: int, batch_size: int = 0) -> DataFrame:
-        counted, self.state = writes.cleanup_expired(self.state, as_of_ns, batch_size)
+        counted, state = writes.cleanup_expired(self.state, as_of_ns, batch_size)
+        self.state = keep(state)
         return counted
 
     # reads

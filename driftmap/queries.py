@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, s2, text, ttl
+from .functions import geo, s2, sql, text, ttl
 from .model import COLUMNS, ENTITY_ID_MAX, EVENTS_SQL, NANO, geo_events
 from .operators import bulk, cliffs, incremental, minimize, reads, regions, transforms, validation, writes
 from .operators.latest import latest, live, scatter_merge, status
@@ -250,6 +250,24 @@ def _(spark, d):
     return reads.spatial_join(geo_events(spark, d), zones).select("event_id", F.array_join("zones", ",").alias("zones"))
 
 
+@query("post_filter_statistics", f"""{_L}, c AS (SELECT CASE WHEN (flags & 32) <> 0 THEN 'deleted' WHEN NOT ts_ns >= {AS_OF - 20 * 86400 * NANO} THEN 'time' WHEN {ttl.expired_sql(AS_OF, 'cold')} THEN 'expired'
+  WHEN NOT {geo.in_ring_sql(RING)} THEN 'place' ELSE 'passed' END AS r FROM g) SELECT count(*) AS candidates, {", ".join(f"count(*) FILTER (r = '{x}') AS {x}" for x in ("deleted", "time", "expired", "place", "passed"))},
+  round((count(*) - count(*) FILTER (r = 'passed')) / greatest(count(*), 1), 6) AS false_positives FROM c""")
+def _(spark, d):
+    place = geo.in_ring(RING, F.col("lat_nano"), F.col("lon_nano"))
+    return reads.post_filter_statistics(geo_events(spark, d), place, AS_OF, AS_OF - 20 * 86400 * NANO)
+
+
+@query("sql_functions", f"{_L} SELECT event_id, (flags & 4) <> 0 AS still FROM live WHERE {_circle(45_000_000)}")
+def _(spark, d):
+    sql.register(spark)
+    _state(spark, d).createOrReplaceTempView("driftmap_latest")
+    return spark.sql(
+        f"SELECT event_id, event_flag(flags, 'stationary') AS still FROM driftmap_latest WHERE NOT event_flag(flags, 'deleted') "
+        f"AND NOT ttl_expired(ts_ns, ttl_seconds, {AS_OF}) AND st_within_radius(lat_nano, lon_nano, {CENTRE[0]}, {CENTRE[1]}, 45000000)"
+    )
+
+
 # --- functions -------------------------------------------------------------------------
 
 

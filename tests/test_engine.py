@@ -20,7 +20,6 @@ def engine(spark, *rows):
     e = Engine(spark)
     if rows:
         e.insert(list(rows), T0)
-        e.state = spark.createDataFrame(e.state.collect(), e.state.schema)
     return e
 
 
@@ -251,6 +250,30 @@ def test_console(spark):
             parse(bad)
 
 
+def test_client_and_scatter(spark):
+    from driftmap.plans import client
+
+    a, b = (client.GeoClient(spark, lambda: T0) for _ in range(2))
+    assert codes(a.insert_events([event(1, timestamp=10), event(2, timestamp=10)])) == [0, 0]
+    assert codes(b.upsert_events([event(1, 40.001, timestamp=20)])) == [0]
+    both, partial = client.query_radius_scatter([a, b], 40.0, -74.0, 5_000)
+    assert [(r["entity_id"], r["ts_ns"]) for r in both.collect()] == [(1, 20), (2, 10)] and not partial
+    b.engine.state = None
+    with pytest.raises(Exception):  # noqa: B017
+        client.query_radius_scatter([a, b], 40.0, -74.0, 5_000)
+    some, partial = client.query_polygon_scatter([a, b], [(39, -75), (39, -73), (41, -73), (41, -75)], policy="best_effort")
+    assert partial and some.count() == 2
+    assert a.get_latest_by_uuid(2).first()["status"] == 0 and a.get_latest_batch([2, 5]).filter("found").count() == 1
+    assert a.set_ttl(2, 5).first()["code"] == 0 and a.extend_ttl(2, 5).first()["new_ttl"] == 10 and a.clear_ttl(2).first()["new_ttl"] == 0
+    assert a.ping() and a.get_topology()["partitions"] and a.get_status().first()["live"] == 2
+    assert a.query_latest(1).has_more and codes(a.delete_entities([1])) == [0]
+    for bad in ((91, 0, 5), (0, 0, 0), (0, 0, 5, 0)):
+        with pytest.raises(ValueError):
+            client.radius_query(*bad)
+    with pytest.raises(ValueError):
+        client.polygon_query([(0, 0), (1, 1)])
+
+
 def test_empty_engine(spark):
     e = Engine(spark)
     assert e.run(Query("latest"), T0).df.count() == 0 and e.status(T0).first()["n_rows"] == 0

@@ -129,6 +129,13 @@ def test_shards():
         assert sizes.min() > 150 and len(sizes) == 16
 
 
+def test_covering_shards():
+    lat, lon = 40 * 10**9, -74 * 10**9
+    own = int(regions.shards_of(s2.cell_ids(np.array([lat]), np.array([lon])), 16, "spatial")[0])
+    assert own in regions.covering_shards(s2.cover_circle(lat, lon, 1_000_000), 16)
+    assert regions.covering_shards(s2.cover_circle(lat, lon, 4_000_000_000), 16) == list(range(16))
+
+
 def test_tiers(spark):
     h = 3600 * 10**9
     log = [(1, i * 10**9) for i in range(12)] + [(2, i * 10**9) for i in range(3)] + [(3, 0)] + [(4, i * 10**9) for i in range(12)] + [(5, i * h) for i in range(1, 20)]
