@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -10,10 +11,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import EARTH_RADIUS_MM, NANO, QueryStatus
+from ..model import EARTH_RADIUS_MM, NANO, QueryStatus, div
 
 Vertex = tuple[int, int]  # latitude, longitude in nanodegrees
-UNROLLED_EDGES = 64
+UNROLLED_EDGES, MOST_BINS = 16, 4096
 #: Limits on polygons.
 MAX_VERTICES, MAX_HOLES = 10_000, 100
 DEGENERATE_CROSS, MAX_SPAN = 1_000_000, 350 * NANO
@@ -228,8 +229,9 @@ def _edge_hit(lat: Column, lon: Column, p: Vertex, q: Vertex) -> Column:
 def in_ring(ring: Sequence[Vertex], lat: Column, lon: Column) -> Column:
     """Point in ring as a native column.
 
-    Edges along a meridian never cross the ray. Few edges are unrolled into one expression;
-    many are folded over an array literal, which keeps generated code small.
+    Edges along a meridian never cross the ray. Few edges are unrolled into one expression.
+    Many are dealt to bins of longitude in a literal, and a point is tested against the edges
+    of its own bin: a few, however many the ring has.
     """
     if crosses_antimeridian(ring):
         ring, lon = _shifted(ring), F.when(lon < 0, lon + 360 * NANO).otherwise(lon)
@@ -238,10 +240,20 @@ def in_ring(ring: Sequence[Vertex], lat: Column, lon: Column) -> Column:
         return F.lit(False)
     if len(own) <= UNROLLED_EDGES:
         return reduce(lambda x, y: x + y, [_edge_hit(lat, lon, p, q) for p, q in own]) % 2 == 1
-    table = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for x, n in zip((*p, *q), ("a", "b", "c", "d"), strict=True)]) for p, q in own])
+    _, _, west, east = bounds(ring)
+    bins = min(4 * len(own), MOST_BINS)
+    width = -(-(east - west + 1) // bins)
+    cells: list[list[list[int]]] = [[] for _ in range(bins)]
+    for p, q in own:
+        low, high = sorted((p[1], q[1]))
+        for k in range((low - west) // width, (high - 1 - west) // width + 1):
+            cells[k].append([*p, *q])
+    table = F.from_json(F.lit(json.dumps(cells)), "array<array<array<double>>>")  # folded into a literal
     x, y = lat.cast("double"), lon.cast("double")
-    hit = lambda e: ((e["b"] > y) != (e["d"] > y)) & (x < e["a"] + (y - e["b"]) / (e["d"] - e["b"]) * (e["c"] - e["a"]))
-    return F.aggregate(table, F.lit(0), lambda n, e: n + F.when(hit(e), 1).otherwise(0)) % 2 == 1
+    hit = lambda e: ((e[1] > y) != (e[3] > y)) & (x < e[0] + (y - e[1]) / (e[3] - e[1]) * (e[2] - e[0]))
+    own_cell = F.get(table, div(lon - west, width).cast("int"))
+    odd = F.aggregate(own_cell, F.lit(0), lambda n, e: n + F.when(hit(e), 1).otherwise(0)) % 2 == 1
+    return F.when(lon.between(west, east), odd).otherwise(False)
 
 
 def in_polygon(polygon: Polygon, lat: Column, lon: Column) -> Column:
