@@ -108,7 +108,8 @@ def apply(state: DataFrame, decided: DataFrame, commit_ns: int) -> DataFrame:
     values["ttl_seconds"] = F.when(gone, 0).otherwise(F.col("ttl_seconds"))
     values["ts_ns"] = F.when(gone, sized).otherwise(F.col("ts_ns"))
     fresh = last.select(*[v.cast(state.schema[c].dataType).alias(c) for c, v in values.items()])
-    return state.join(fresh.select("entity_id"), "entity_id", "left_anti").unionByName(fresh)
+    sides = [df.select("entity_id", F.struct(*state.columns).alias(n)) for df, n in ((state, "_old"), (fresh, "_new"))]
+    return sides[0].join(sides[1], "entity_id", "full").select(F.coalesce("_new", "_old").alias("_row")).select("_row.*")
 
 
 def insert_events(state: DataFrame, batch: DataFrame, commit_ns: int, default_ttl: int = 0) -> tuple[DataFrame, DataFrame]:
