@@ -24,6 +24,7 @@ from .common import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
+FORMATTING = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
 HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas noembed noframes source track param area map rp svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -162,8 +163,12 @@ def build(page: str) -> Node:
                 names, stops = frozenset([tag]), frozenset() if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else SCOPE
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in names:
-                        while len(stack) > i:
-                            pop()
+                        if tag in FORMATTING and any(n.tag in BLOCK for n in stack[i + 1 :]):
+                            count[tag] -= 1  # it ends, but the blocks inside it go on
+                            del stack[i]
+                        else:
+                            while len(stack) > i:
+                                pop()
                         break
                     if stack[i].tag in stops:
                         break

@@ -291,7 +291,7 @@ def test_url_filter_is_native(spark):
         ("<span style='visibility:hidden'>n<b style='visibility:visible'>yes</b></span>", "yes"),
         ("<ul><li>a<li>b<ol start=3><li>q<li>r</ol></ul>", "- a\n- b\n  3. q\n  4. r"),
         ("<table><tr><th>a<th>bbb<tr><td>longer<td>x<tr><td>1</table>", "a       bbb\nlonger  x\n1"),
-        ("<table><caption>c</caption><tbody><tr><td>1<td><table><tr><td>in<td>ner</table></table>", "c\n1  in  ner"),
+        ("<table><caption>c</caption><tbody><tr><td>1<td><table><tr><td>in<td>ner</table></table>", "c\n1  in ner"),
         ("<pre>a  b\n  c</pre>", "a  b\n  c"),
         ("a &amp; &lt;b&gt; &eacute; <!-- c --> d", "a & <b> é d"),
         ("x <!-- open", "x"),
