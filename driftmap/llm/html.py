@@ -8,7 +8,8 @@ markers and indentation, table cells are padded so that columns line up, and pre
 text is kept. Work and memory are linear in a page; nothing recurses with its depth.
 
 Defined results: null and empty pages give empty text; unclosed comments and tags end with
-the page; tables nested deeper than ``TABLE_DEPTH`` are laid out as plain blocks.
+the page; tables nested deeper than ``TABLE_DEPTH`` are laid out as plain blocks; an end tag
+looks no further than ``DEEP`` open elements for its start.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ IMPLIED_ENDS = {
     **{x: (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset(["table"])) for x in ("thead", "tbody", "tfoot")},
 }
 SCOPE = frozenset("table td th caption template html".split())
-TABLE_DEPTH = 16
+TABLE_DEPTH, DEEP = 16, 1000
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -116,7 +117,7 @@ def build(page: str) -> Node:
         if not any(count[n] for n in names):
             return
         found = None
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
             if stack[i].tag in stops:
                 break
             if stack[i].tag in names:
@@ -161,7 +162,7 @@ def build(page: str) -> Node:
                 stack[-1].children.append(Node("p", {}))
             elif count[tag]:
                 names, stops = frozenset([tag]), frozenset() if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else SCOPE
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
                     if stack[i].tag in names:
                         if tag in FORMATTING and any(n.tag in BLOCK for n in stack[i + 1 :]):
                             count[tag] -= 1  # it ends, but the blocks inside it go on
