@@ -21,6 +21,6 @@ def histogram(state: DataFrame, as_of_ns: int, hours: int = HOURS) -> DataFrame:
 def cliffs(state: DataFrame, as_of_ns: int, threshold: float = THRESHOLD, hours: int = HOURS) -> DataFrame:
     """(bucket, n, severity): hours with more than ``threshold`` times the mean of all hours."""
     found = histogram(state, as_of_ns, hours)  # at most ``hours`` rows
-    mean = found.agg((F.sum("n") / F.lit(float(hours))).alias("mean"))
-    both = found.crossJoin(F.broadcast(mean)).withColumn("severity", F.round(F.col("n") / F.col("mean"), 6))
+    mean = found.agg(F.sum("n") / F.lit(float(hours))).scalar()
+    both = found.withColumn("severity", F.round(F.col("n") / mean, 6))
     return both.filter(F.col("severity") > threshold).select("bucket", "n", "severity")

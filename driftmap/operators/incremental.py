@@ -74,5 +74,4 @@ def statistics(changed: DataFrame, source: DataFrame) -> DataFrame:
         *[F.count_if(F.col("operation") == x).alias(f"{x}s") for x in ("insert", "update", "conflict")],
         F.count_if("had_conflict").alias("had_conflict"),
     )
-    seen = source.agg(F.count(F.lit(1)).alias("source_events"), F.max("ts_ns").alias("checkpoint_ns"))
-    return counts.crossJoin(F.broadcast(seen))  # one row each
+    return counts.withColumns({"source_events": source.agg(F.count(F.lit(1))).scalar(), "checkpoint_ns": source.agg(F.max("ts_ns")).scalar()})

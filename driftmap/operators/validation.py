@@ -110,8 +110,9 @@ def profile(events: DataFrame, options: Options = Options()) -> DataFrame:
         ],
     )
     named = events.filter("entity_id <> 0").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    entities = named.agg(F.count(F.lit(1)).alias("unique_entity_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_entity_count"))
-    both = sums.crossJoin(F.broadcast(entities))  # one row each
+    both = sums.withColumns(
+        {"unique_entity_count": named.agg(F.count(F.lit(1))).scalar(), "duplicate_entity_count": named.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar()}
+    )
     filled = sum((F.col(f"has_{s}") for s in SHORT), F.lit(0))
     return both.withColumns(
         {

@@ -43,11 +43,13 @@ def stamped(batch: DataFrame, commit_ns: int, default_ttl: int = 0) -> DataFrame
 
     Row i of n gets commit_ns - n + 1 + i, where i is its ``seq`` counted from 0.
     """
-    sized = batch.crossJoin(F.broadcast(batch.agg(F.count(F.lit(1)).alias("_n"))))  # one row
-    own = F.lit(commit_ns) - F.col("_n") + 1 + F.col("seq")
-    return sized.withColumn("ts_ns", F.when(F.col("ts_ns") == 0, own).otherwise(F.col("ts_ns"))).withColumn(
-        "ttl_seconds", F.when(F.col("ttl_seconds") == 0, default_ttl).otherwise(F.col("ttl_seconds"))
-    ).drop("_n")
+    own = F.lit(commit_ns) - batch.agg(F.count(F.lit(1))).scalar() + 1 + F.col("seq")
+    return batch.withColumns(
+        {
+            "ts_ns": F.when(F.col("ts_ns") == 0, own).otherwise(F.col("ts_ns")),
+            "ttl_seconds": F.when(F.col("ttl_seconds") == 0, default_ttl).otherwise(F.col("ttl_seconds")),
+        }
+    )
 
 
 def running(df: DataFrame, keys: list[str], name: str, value: Column, agg: Callable, block: int = BLOCK) -> DataFrame:

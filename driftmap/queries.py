@@ -529,6 +529,12 @@ def _(spark, d):
     return incremental.load(latest(target), incremental.changes(source, target, _SYNC)).select("entity_id", "event_id")
 
 
+@query("incremental_statistics", f"{_INC} SELECT count(*) FILTER (fresh) AS inserts, count(*) FILTER (NOT fresh AND differs) AS updates, 0 AS conflicts, count(*) FILTER ((fresh OR differs) AND conflict) AS had_conflict, (SELECT count(*) FROM g WHERE event_id % 3 = 0) AS source_events, (SELECT max(ts_ns) FROM g WHERE event_id % 3 = 0) AS checkpoint_ns FROM j")
+def _(spark, d):
+    source, target = _load(spark, d)
+    return incremental.statistics(incremental.changes(source, target, _SYNC), source)
+
+
 def _minimized(purpose: str) -> str:
     _, base, strip, most, enforce, *_ = minimize.PURPOSES[minimize.ORDER[purpose]]
     lv = f"greatest({minimize.RANK[base]}, CASE WHEN entity_id % 5 = 1 THEN entity_id % 8 ELSE 0 END, CASE WHEN entity_id % 5 = 1 AND entity_id % 2 = 0 THEN {minimize.CITY} ELSE 0 END)"
