@@ -41,7 +41,7 @@ CIRCLE = 1 << 20
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
 LONG, LEAST_MATCHES = 512, 370  # 0.8 less 4.4 standard deviations
-ROUNDS, SMALL = 2, 64
+ROUNDS, SMALL = 1, 64
 BLOCK_OUTSIDE, BLOCK_ALL = 256, 2048
 
 
