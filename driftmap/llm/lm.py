@@ -8,10 +8,10 @@ among them. P(word | past) = P(class | state) P(word | class, state), so each st
 two short softmaxes rather than one over the vocabulary, and unseen words keep some mass.
 
 Training is truncated backpropagation through time in numpy: a short warm-up on a bounded
-sample (``WARM_DOCUMENTS``), then a pass over all training documents, in which every task
-trains on a span of ``TRAIN_SHARE`` of each of its documents and the parameters are
-averaged by the tokens they have seen. Scoring runs over whole documents: lanes of many
-documents side by side, window after window, the state carried from one to the next.
+sample (``WARM_DOCUMENTS``), then a pass over all tokens of all training documents, task by
+task, and the parameters are averaged by the tokens they have seen. Training and scoring
+run over whole documents: lanes of many documents side by side, window after window, the
+state carried from one to the next.
 
 Counts of the ``HEAD_COUNTS`` most frequent words travel to the executors (a bound on the
 broadcast); the rest are joined word by word, by Spark.
@@ -39,7 +39,6 @@ MODEL_WORDS, CLASS_WORDS = 2048, 46
 HIDDEN = 20
 WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 32, 16, 256, 96
 WARM_DOCUMENTS, WARM_PASSES = 400, 2
-TRAIN_SHARE = 0.125
 FLUSH_WORDS = 300_000
 END = b""  # the end mark: no word is empty
 LN10 = float(np.log(10))
@@ -122,6 +121,7 @@ class Network:
     hidden: int = HIDDEN
     class_words: int = CLASS_WORDS
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    seen: int = 0  # tokens of the pass over all training documents
 
     def __post_init__(self) -> None:
         self.classes = -(-self.known // self.class_words) + 1  # the last holds all other words
@@ -344,13 +344,6 @@ def _end(v: Vocabulary, index: dict[bytes, int]) -> int:
     return min(at, v.known)
 
 
-def _span(key: int, n: int) -> slice:
-    """A stretch of a document's tokens, ``TRAIN_SHARE`` of them, placed by a hash."""
-    size = min(n, max(2 * TRAIN_WINDOW, int(n * TRAIN_SHARE)))
-    at = (key * 0x9E3779B97F4A7C15 >> 20) % (n - size + 1) if n > size else 0
-    return slice(at, at + size)
-
-
 def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
     """A network trained on the column ``text`` of all rows (``key``: a hash of the row)."""
     net = Network(v.known)
@@ -387,11 +380,8 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
             seen, held, size = seen + n, [], 0
 
         for batch in batches:
-            for text, key in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                span = _span(key, len(words) + 1)
-                ids = _ids(words[span], index, v, end)
-                held.append(ids if span.stop > len(words) else ids[:-1])
+            for text in as_bytes(batch.column(0)):
+                held.append(_ids(words_of(text), index, v, end))
                 size += len(held[-1])
                 if size > 200_000:
                     fit()
@@ -410,7 +400,7 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
         if flat is not None:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat.tobytes()], pa.binary())], names=["seen", "flat"])
 
-    parts = train_docs.select("text", "key").mapInArrow(local, "seen bigint, flat binary")
+    parts = train_docs.select("text").mapInArrow(local, "seen bigint, flat binary")
     several = parts.rdd.getNumPartitions()
     while several > 8:  # sums meet in a tree, eight at a time
         several = -(-several // 8)
@@ -419,6 +409,7 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
     for r in parts.toLocalIterator():  # one set of parameters at a time
         x = np.frombuffer(r["flat"])
         total, flat = total + r["seen"], x.copy() if flat is None else flat + x
+    net.seen = total
     if flat is not None:
         at = 0
         for k in sorted(net.p):

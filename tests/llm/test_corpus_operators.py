@@ -218,6 +218,14 @@ def test_lm_scores_equal_brute_base(spark, docs):
     assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
 
 
+def test_lm_trains_on_every_token(spark):
+    texts = ["", "one", *[" ".join(f"w{(i * j) % 90}" for j in range(400)) for i in range(9)]]
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, key bigint")
+    v = lm.vocabulary(lm.count_tokens(docs))
+    net = lm.learn(docs, v, spark.sparkContext.broadcast(v))
+    assert net.seen == v.tokens == 1 + 9 * 400 + len(texts)
+
+
 def test_lm_empty_table(spark, docs):
     assert lm.score_documents(docs.limit(0), lm.held_out_column).count() == 0
 
