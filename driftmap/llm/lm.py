@@ -1,8 +1,9 @@
 """Document scoring by a gated recurrent language model with a class-factored softmax.
 
 Tokens are lower-cased words and one end mark a document. Counts of all tokens of all
-training documents give the vocabulary: the ``MODEL_WORDS`` most frequent have embeddings
-and outputs of their own, dealt by frequency into classes of ``CLASS_WORDS``; every other
+training documents give the vocabulary: the most frequent words that make up
+``MODEL_TOKENS`` of all tokens, however many they are, have embeddings and outputs of their
+own, dealt by frequency into classes of about the square root of their number; every other
 word belongs to one more class, whose inner distribution is the add-one count of the word
 among them. P(word | past) = P(class | state) P(word | class, state), so each step needs
 two short softmaxes rather than one over the vocabulary, and unseen words keep some mass.
@@ -13,8 +14,8 @@ task, and the parameters are averaged by the tokens they have seen. Training and
 run over whole documents: lanes of many documents side by side, window after window, the
 state carried from one to the next.
 
-Counts of the ``HEAD_COUNTS`` most frequent words travel to the executors (a bound on the
-broadcast); the rest are joined word by word, by Spark.
+Counts of the ``HEAD_COUNTS`` most frequent words travel to the executors, and of all
+modelled words if those are more; the rest are joined word by word, by Spark.
 
 Defined results: a null or empty text is one end mark; repeated rows are scored each;
 without training documents every count is 0 and the model is its random start.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, crc32_of_id, materialise, slices
 
 HEAD_COUNTS = 400_000
-MODEL_WORDS, CLASS_WORDS = 2048, 46
+MODEL_TOKENS = 0.8
 HIDDEN = 20
 WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 32, 16, 256, 96
 WARM_DOCUMENTS, WARM_PASSES = 400, 2
@@ -81,7 +82,7 @@ class Vocabulary:
     counts: np.ndarray
     tokens: int  # N
     distinct: int  # V
-    model_words: int = MODEL_WORDS
+    model_words: int
 
     def __post_init__(self) -> None:
         self.known = min(self.model_words, len(self.words))
@@ -95,10 +96,21 @@ class Vocabulary:
         return {w: i for i, w in enumerate(self.words)}
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD_COUNTS, model_words: int = MODEL_WORDS) -> Vocabulary:
-    """The words above the least count that at most ``head`` words reach."""
+def vocabulary(counts: DataFrame, head: int = HEAD_COUNTS, model_words: int | None = None) -> Vocabulary:
+    """The words above the least count that at most ``head`` words reach, or all modelled words.
+
+    Modelled are ``model_words`` words, or those of the highest counts with ``MODEL_TOKENS`` of all tokens.
+    """
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()  # distinct counts: under sqrt(2 N)
     levels = sorted(((r["n"], r["k"]) for r in levels), reverse=True)
+    tokens, distinct = sum(n * k for n, k in levels), sum(k for _, k in levels)
+    if model_words is None:
+        model_words, held = 0, 0
+        for n, k in levels:
+            if held >= MODEL_TOKENS * tokens:
+                break
+            model_words, held = model_words + k, held + n * k
+        head = max(head, model_words)
     least, taken = (levels[0][0] + 1 if levels else 1), 0
     for n, k in levels:
         if taken + k > head:
@@ -107,7 +119,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD_COUNTS, model_words: int = MO
     top = counts.filter(F.col("n") >= least).toArrow()
     words, ns = as_bytes(top.column("word").combine_chunks()) if top.num_rows else [], top.column("n").to_pylist()
     order = sorted(range(len(words)), key=lambda i: (-ns[i], words[i]))
-    return Vocabulary([words[i] for i in order], np.array([ns[i] for i in order], np.int64), sum(n * k for n, k in levels), sum(k for _, k in levels), model_words)
+    return Vocabulary([words[i] for i in order], np.array([ns[i] for i in order], np.int64), tokens, distinct, model_words)
 
 
 # --- the network -----------------------------------------------------------------------
@@ -119,11 +131,12 @@ class Network:
 
     known: int
     hidden: int = HIDDEN
-    class_words: int = CLASS_WORDS
+    class_words: int = 0  # about the square root of ``known``
     p: dict[str, np.ndarray] = field(default_factory=dict)
     seen: int = 0  # tokens of the pass over all training documents
 
     def __post_init__(self) -> None:
+        self.class_words = self.class_words or max(1, round(self.known**0.5))
         self.classes = -(-self.known // self.class_words) + 1  # the last holds all other words
         if self.p:
             return
@@ -146,7 +159,7 @@ class Network:
     def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States (time, lane, hidden) for inputs (time, lane); ``fresh`` marks documents' starts."""
         p, n = self.p, self.hidden
-        inputs = (p["embed"] @ p["wx"] + p["b"])[x]
+        inputs = p["embed"][x] @ p["wx"] + p["b"] if x.size < self.known else (p["embed"] @ p["wx"] + p["b"])[x]
         out = np.empty((*x.shape, n), np.float32)
         trace = []
         for t in range(len(x)):
@@ -225,11 +238,12 @@ class Network:
             if fresh[t].any():
                 d_h = d_h * ~fresh[t][:, None]
         flat, flat_x = d_in.reshape(-1, 3 * n), x.ravel()
-        table = np.zeros((self.known + 1, 3 * n), np.float32)
         order = np.argsort(flat_x, kind="stable")
         own, first = np.unique(flat_x[order], return_index=True)
-        table[own] = np.add.reduceat(flat[order], first, axis=0)
-        g["embed"], g["wx"], g["b"] = table @ p["wx"].T, p["embed"].T @ table, table.sum(0)
+        table = np.add.reduceat(flat[order], first, axis=0)
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][own] = table @ p["wx"].T
+        g["wx"], g["b"] = p["embed"][own].T @ table, table.sum(0)
         for k in g:
             g[k] /= count
         return g, -float(lp.sum()) / count, after
@@ -422,7 +436,7 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
 SCORED = "row bigint, word binary, tf bigint, id bigint, n_tokens bigint, n_known bigint, lc double, tail bigint, lp double"
 
 
-def score_documents(docs: DataFrame, held_out: Callable[[str], Column], id_col: str = "doc_id", text_col: str = "text", head: int = HEAD_COUNTS, model_words: int = MODEL_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Callable[[str], Column], id_col: str = "doc_id", text_col: str = "text", head: int = HEAD_COUNTS, model_words: int | None = None) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``held_out`` gives, for the name of an id column, whether a row is kept from learning.

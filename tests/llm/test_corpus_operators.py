@@ -226,6 +226,18 @@ def test_lm_trains_on_every_token(spark):
     assert net.seen == v.tokens == 1 + 9 * 400 + len(texts)
 
 
+def test_lm_models_more_words_of_larger_texts(spark):
+    known = []
+    for many in (1000, 9000):
+        docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(j, many, 3)),) for j in range(3)] * 2, "text string")
+        v = lm.vocabulary(lm.count_tokens(docs), head=50)
+        net = lm.Network(v.known)
+        assert v.tail_tokens <= (1 - lm.MODEL_TOKENS) * v.tokens and len(v.words) >= v.known
+        assert abs(net.class_words - v.known**0.5) <= 1 and abs(net.classes - v.known**0.5) <= 2
+        known.append(v.known)
+    assert known == [1001, 9001]
+
+
 def test_lm_empty_table(spark, docs):
     assert lm.score_documents(docs.limit(0), lm.held_out_column).count() == 0
 
