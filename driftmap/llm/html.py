@@ -353,12 +353,20 @@ def _below(node: Node, tag: str):
 
 
 def _table(table: Node, depth: int, visible: bool) -> list[str]:
-    """A table's caption and rows; the cells of a column start in one place."""
-    rows: list[list[str]] = []
+    """A table's caption and rows; the cells of a column start in one place.
+
+    A row is as high as its tallest cell. The columns of a table within a cell stand closer.
+    """
+    rows: list[dict[int, list[str]]] = []  # lines by column
     lines: list[str] = []
+    busy: dict[int, int] = {}  # column: the first row that cells from above leave free
+    at = 0
     todo: list = [(c, visible) for c in reversed(table.children)]
     while todo:
         node, seen = todo.pop()
+        if node is None:  # no cell reaches over the end of a row group
+            busy.clear()
+            continue
         if isinstance(node, str):
             if seen and node.strip():
                 lines.append(_SPACE.sub(" ", node).strip())
@@ -367,27 +375,53 @@ def _table(table: Node, depth: int, visible: bool) -> list[str]:
         if not take or node.tag in ("colgroup", "col"):
             continue
         if node.tag == "tr":
-            cells = []
+            cells, column = {}, 0
             for cell in node.children:
+                wide = high = 1
                 if isinstance(cell, str):
-                    if seen and cell.strip():
-                        cells.append(_SPACE.sub(" ", cell).strip())
-                    continue
-                take, shows = _shown(cell, seen)
-                if not take:
-                    continue
-                inner = _SPACE.sub(" ", render(cell, depth + 1, shows)).strip()
-                cells += [inner, *[""] * min(_number(cell.attrs.get("colspan"), 1) - 1, 999)]
-            if any(cells):
+                    if not seen or not cell.strip():
+                        continue
+                    inner = _SPACE.sub(" ", cell).strip()
+                else:
+                    take, shows = _shown(cell, seen)
+                    if not take:
+                        continue
+                    inner = render(cell, depth + 1, shows)
+                    wide = min(max(_number(cell.attrs.get("colspan"), 1), 1), 1000)
+                    high = _number(cell.attrs.get("rowspan"), 1)
+                    high = 65534 if high == 0 else min(max(high, 1), 65534)  # 0: to the end of the row group
+                while busy.get(column, 0) > at:
+                    column += 1
+                if inner:
+                    cells[column] = inner.split("\n")
+                if high > 1:
+                    busy.update(dict.fromkeys(range(column, column + wide), at + high))
+                column += wide
+            at += 1
+            if cells:
                 rows.append(cells)
         elif node.tag in ("thead", "tbody", "tfoot"):
-            todo += [(c, seen) for c in reversed(node.children)]
+            todo += [(None, seen), *[(c, seen) for c in reversed(node.children)], (None, seen)]
         else:
             inner = render(node, depth + 1, seen)
             if inner:
                 lines += inner.split("\n")
-    width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return lines + ["  ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip() for r in rows]
+    width: dict[int, int] = {}
+    for r in rows:
+        for i, cell in r.items():
+            width[i] = max(width.get(i, 0), *map(len, cell))
+    gap, used, start = 1 if depth else 2, 0, {}
+    for i in sorted(width):
+        start[i] = used + gap * i
+        used += width[i]
+    for r in rows:
+        out = [""] * max(map(len, r.values()))
+        for i in sorted(r):
+            for j, line in enumerate(r[i]):
+                if line:
+                    out[j] = out[j].ljust(start[i]) + line
+        lines += out
+    return lines
 
 
 def extract(page: str) -> str:

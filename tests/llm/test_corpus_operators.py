@@ -324,6 +324,21 @@ def test_html_layout(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td>a<br>b<td>c<tr><td>long<td>d<p>e</table>", "a     c\nb\nlong  d\n\n      e"),
+        ("<table><tr><td><p>x<p>y<ul><li>i<li>j</ul><pre>p  q\n r</pre></table>", "x\n\ny\n\n- i\n- j\n\np  q\n r"),
+        ("<table><tr><td>n<td><table><tr><td>1<td>2<tr><td>333<td>4</table></table>", "n  1   2\n   333 4"),
+        ("<table><tr><td rowspan=2>s<td>1<tr><td>2<tr><td>t<td>3</table>", "s  1\n   2\nt  3"),
+        ("<table><tbody><tr><td rowspan=0>s<td>1<tr><td>2<tbody><tr><td>t<td>3</table>", "s  1\n   2\nt  3"),
+        ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b    c\nd       e"),
+    ],
+)
+def test_html_cells_keep_their_lines(page, text):
+    assert html.extract(page) == text
+
+
 def test_html_is_linear_in_depth():
     assert html.extract("<div>" * 50_000 + "x") == "x"
     assert html.extract("<table><tr><td>" * 200 + "deep") == "deep"
