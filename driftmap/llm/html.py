@@ -8,15 +8,15 @@ markers and indentation, table cells are padded so that columns line up, and pre
 text is kept. Work and memory are linear in a page; nothing recurses with its depth.
 
 Defined results: null and empty pages give empty text; unclosed comments and tags end with
-the page; tables nested deeper than ``TABLE_DEPTH`` are laid out as plain blocks; an end tag
-looks no further than ``DEEP`` open elements for its start.
+the page; tables nested deeper than ``TABLE_DEPTH`` are laid out as plain blocks.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +46,7 @@ IMPLIED_ENDS = {
     **{x: (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset(["table"])) for x in ("thead", "tbody", "tfoot")},
 }
 SCOPE = frozenset("table td th caption template html".split())
-TABLE_DEPTH, DEEP = 16, 1000
+TABLE_DEPTH = 16
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -107,30 +107,39 @@ def tokens(page: str):
 def build(page: str) -> Node:
     """The page's tree, under a root of its own."""
     root = Node("#root", {})
-    stack, count = [root], Counter()
+    stack: list[Node | None] = [root]  # None: ended, but what is inside goes on
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where a tag's open elements stand in the stack
+    blocks: list[int] = []
 
     def pop() -> None:
-        count[stack.pop().tag] -= 1
+        tag = stack.pop().tag
+        places[tag].pop()
+        if tag in BLOCK:
+            blocks.pop()
+        while stack[-1] is None:
+            stack.pop()
+
+    def nearest(tags: frozenset) -> int:
+        return max((places[x][-1] for x in tags if places.get(x)), default=0)
 
     def end_to(names: frozenset, stops: frozenset) -> None:
         """Close the elements up to the outermost of ``names`` above the nearest of ``stops``."""
-        if not any(count[n] for n in names):
+        own = [places[x] for x in names if places.get(x)]
+        if not own:
             return
-        found = None
-        for i in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
-            if stack[i].tag in stops:
-                break
-            if stack[i].tag in names:
-                found = i
-        while found is not None and len(stack) > found:
+        limit = nearest(stops)
+        found = min((x[i] for x in own if (i := bisect(x, limit)) < len(x)), default=len(stack))
+        while len(stack) > found:
             pop()
 
     def push(tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID:
+            places[tag].append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
-            count[tag] += 1
 
     for token in tokens(page):
         kind = token[0]
@@ -139,11 +148,11 @@ def build(page: str) -> Node:
             stack[-1].children.append(token[1] if raw or "&" not in token[1] else entities.unescape(token[1]))
         elif kind == "start":
             _, tag, attrs = token
-            if tag in ("html", "body", "head") and count[tag]:
+            if tag in ("html", "body", "head") and places.get(tag):
                 continue
             if tag == "image":
                 tag = "img"
-            if tag in ("body", "frameset") or (count["head"] and tag in BLOCK and tag != "head"):
+            if tag in ("body", "frameset") or (places.get("head") and tag in BLOCK and tag != "head"):
                 end_to(frozenset(["head"]), frozenset())
             if tag in CLOSES_P:
                 end_to(frozenset(["p"]), SCOPE)
@@ -158,21 +167,19 @@ def build(page: str) -> Node:
             tag = token[1]
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not count["p"]:
+            elif tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p", {}))
-            elif count[tag]:
-                names, stops = frozenset([tag]), frozenset() if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else SCOPE
-                for i in range(len(stack) - 1, max(0, len(stack) - DEEP), -1):
-                    if stack[i].tag in names:
-                        if tag in FORMATTING and any(n.tag in BLOCK for n in stack[i + 1 :]):
-                            count[tag] -= 1  # it ends, but the blocks inside it go on
-                            del stack[i]
-                        else:
-                            while len(stack) > i:
-                                pop()
-                        break
-                    if stack[i].tag in stops:
-                        break
+            elif places.get(tag):
+                stops = frozenset() if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else SCOPE
+                at = places[tag][-1]
+                if at < nearest(stops):
+                    continue
+                if tag in FORMATTING and blocks and blocks[-1] > at:
+                    places[tag].pop()  # it ends, but the blocks inside it go on
+                    stack[at] = None
+                else:
+                    while len(stack) > at:
+                        pop()
     return root
 
 

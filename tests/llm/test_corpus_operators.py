@@ -339,6 +339,15 @@ def test_html_cells_keep_their_lines(page, text):
     assert html.extract(page) == text
 
 
+def test_html_end_tags_reach_any_depth():
+    many = "<span>" * 30_000
+    assert html.extract(f"<div hidden>{many}x</div>shown") == "shown"
+    assert html.extract(f"<table><tr><td>{many}1<td>2<tr><td>3</table>y") == "1  2\n3\n\ny"
+    assert html.extract(f"<ul><li>{many}1<li>2</ul>") == "- 1\n- 2"
+    assert html.extract("<b><div hidden>x</b>" * 2 + "y</div>z</div>v") == "v"
+    assert html.extract("<b><i><div>" * 20_000 + "x" + "</b></i>" * 20_000 + "y") == "xy"
+
+
 def test_html_is_linear_in_depth():
     assert html.extract("<div>" * 50_000 + "x") == "x"
     assert html.extract("<table><tr><td>" * 200 + "deep") == "deep"
