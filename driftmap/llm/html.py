@@ -26,7 +26,12 @@ from .common import map_texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 FORMATTING = frozenset("a b big code em font i nobr s small span strike strong tt u".split())
-HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas noembed noframes source track param area map rp svg math".split())
+HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas noembed noframes source track param area rp".split())
+#: Tags that show nothing inside the given element.
+UNDISPLAYED = {
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tr ul".split()
@@ -62,8 +67,8 @@ class Node:
 
 
 def tokens(page: str):
-    """('text', s), ('start', tag, attrs) and ('end', tag), in order."""
-    at, end = 0, len(page)
+    """('text', s), ('start', tag, attrs, ended at once) and ('end', tag), in order."""
+    at, end, foreign = 0, len(page), 0
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -92,11 +97,18 @@ def tokens(page: str):
         close, tag, rest = m.group(1), m.group(2).lower(), m.group(3)
         at = m.end()
         if close:
+            if tag in UNDISPLAYED and foreign:
+                foreign -= 1
             yield ("end", tag)
             continue
-        attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(rest)} if rest.strip(" /") else {}
-        yield ("start", tag, attrs)
-        if tag in RAW:
+        found = _ATTR.findall(rest) if rest.strip(" /") else []
+        attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in found}
+        # only svg and math know elements without an end tag; an unquoted value takes the slash
+        single = (foreign > 0 or tag in UNDISPLAYED) and rest.endswith("/") and not (found and found[-1][3].endswith("/"))
+        if tag in UNDISPLAYED and not single:
+            foreign += 1
+        yield ("start", tag, attrs, single)
+        if tag in RAW and not single:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at) if tag != "plaintext" else None
             stop_at = stop.start() if stop else end
             if stop_at > at:
@@ -132,10 +144,17 @@ def build(page: str) -> Node:
         while len(stack) > found:
             pop()
 
-    def push(tag: str, attrs: dict) -> None:
+    def push(tag: str, attrs: dict, single: bool = False) -> None:
+        if places.get("svg") and attrs:
+            if attrs.get("display") == "none":
+                attrs["hidden"] = ""
+            if "visibility" in attrs:
+                attrs["style"] = f"{attrs.get('style', '')};visibility:{attrs['visibility']}"
+        if any(tag in inner and places.get(outer) for outer, inner in UNDISPLAYED.items()):
+            attrs["hidden"] = ""
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not single:
             places[tag].append(len(stack))
             if tag in BLOCK:
                 blocks.append(len(stack))
@@ -147,7 +166,7 @@ def build(page: str) -> Node:
             raw = stack[-1].tag in RAW and stack[-1].tag not in ("textarea", "title")
             stack[-1].children.append(token[1] if raw or "&" not in token[1] else entities.unescape(token[1]))
         elif kind == "start":
-            _, tag, attrs = token
+            _, tag, attrs, single = token
             if tag in ("html", "body", "head") and places.get(tag):
                 continue
             if tag == "image":
@@ -162,7 +181,7 @@ def build(page: str) -> Node:
                 push("tr", {})
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 pop()
-            push(tag, attrs)
+            push(tag, attrs, single)
         else:
             tag = token[1]
             if tag == "br":
@@ -336,8 +355,11 @@ def render(root: Node, depth: int = 0, visible: bool = True) -> str:
         if tag == "q":
             page.text("“")
             todo.append(lambda: page.text("”"))
-        elif tag in ("td", "th", "button", "label"):
+        elif tag in ("td", "th", "button", "label", "mtd"):
+            page.text(" ")
+        elif tag == "text":  # of svg: has a place of its own
             page.text(" ")
+            todo.append(lambda: page.text(" "))
         todo.append(leave)
         todo += [(c, seen, pre or tag in ("pre", "textarea", "xmp", "plaintext")) for c in reversed(children)]
     page.flush()

@@ -339,6 +339,20 @@ def test_html_cells_keep_their_lines(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></semantics></math> b", "a x=1 b"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>one</text><g display=none><text>no</text></g><text>two</text></svg>z", "one two z"),
+        ("<svg><title/><style/><defs/><path d='M0'/><text>seen</text><g id=a/><text>too</text></g></svg><p>after", "seen too\n\nafter"),
+        ("<map name=m><p>in <a href=x>map</a><area href=y></map>", "in map"),
+        ("<desc>plain</desc><defs/>page", "plainpage"),
+    ],
+)
+def test_html_formulas_drawings_and_maps(page, text):
+    assert html.extract(page) == text
+
+
 def test_html_end_tags_reach_any_depth():
     many = "<span>" * 30_000
     assert html.extract(f"<div hidden>{many}x</div>shown") == "shown"
