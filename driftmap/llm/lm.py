@@ -2,23 +2,27 @@
 
 Tokens are lower-cased words and one end mark a document. Counts of all tokens of all
 training documents give the vocabulary: the most frequent words that make up
-``MODEL_TOKENS`` of all tokens, however many they are, have embeddings and outputs of their
-own, dealt by frequency into classes of about the square root of their number; every other
-word belongs to one more class, whose inner distribution is the add-one count of the word
-among them. P(word | past) = P(class | state) P(word | class, state), so each step needs
-two short softmaxes rather than one over the vocabulary, and unseen words keep some mass.
+``MODEL_TOKENS`` of all tokens, up to ``MODEL_MOST`` words, have embeddings and outputs of
+their own, dealt by frequency into classes (``class_edges``); every other word belongs to one
+more class, whose inner distribution is the add-one count of the word among them.
+P(word | past) = P(class | state) P(word | class, state), so each step needs two short
+softmaxes rather than one over the vocabulary, and unseen words keep some mass.
 
 Training is truncated backpropagation through time in numpy: a short warm-up on a bounded
 sample (``WARM_DOCUMENTS``), then a pass over all tokens of all training documents, task by
-task, and the parameters are averaged by the tokens they have seen. Training and scoring
+task. Every task starts from the warm parameters, and the results are averaged by the tokens
+they have seen, in any order; so a score depends a little on how the input is split into
+tasks, and for a given split is the same but for the rounding of sums. Training and scoring
 run over whole documents: lanes of many documents side by side, window after window, the
-state carried from one to the next.
+state carried from one to the next, and the end mark before a document's first word only.
 
 Counts of the ``HEAD_COUNTS`` most frequent words travel to the executors, and of all
-modelled words if those are more; the rest are joined word by word, by Spark.
+modelled words if those are more; none of them has more than ``HEAD_BYTES`` bytes, which
+bounds what travels. All other words are joined word by word, by Spark.
 
-Defined results: a null or empty text is one end mark; repeated rows are scored each;
-without training documents every count is 0 and the model is its random start.
+Ids are integers (others are read as null). Defined results: a null or empty text is one end
+mark; repeated rows are scored each, and equal texts of one task alike; without training
+documents every count is 0 and the model is its random start.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, crc32_of_id, materialise, slices
 
-HEAD_COUNTS = 400_000
-MODEL_TOKENS = 0.8
+HEAD_COUNTS, HEAD_BYTES = 400_000, 64
+MODEL_TOKENS, MODEL_MOST = 0.8, 1_000_000
 HIDDEN = 20
-WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 32, 16, 256, 96
+WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 16, 16, 512, 512
 WARM_DOCUMENTS, WARM_PASSES = 400, 2
+STRETCH = 16
+SLAB = 3_000_000  # tokens that a task lays out side by side
 FLUSH_WORDS = 300_000
 END = b""  # the end mark: no word is empty
 LN10 = float(np.log(10))
@@ -107,7 +114,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD_COUNTS, model_words: int | No
     if model_words is None:
         model_words, held = 0, 0
         for n, k in levels:
-            if held >= MODEL_TOKENS * tokens:
+            if held >= MODEL_TOKENS * tokens or model_words + k > MODEL_MOST:
                 break
             model_words, held = model_words + k, held + n * k
         head = max(head, model_words)
@@ -116,7 +123,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD_COUNTS, model_words: int | No
         if taken + k > head:
             break
         least, taken = n, taken + k
-    top = counts.filter(F.col("n") >= least).toArrow()
+    top = counts.filter((F.col("n") >= least) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
     words, ns = as_bytes(top.column("word").combine_chunks()) if top.num_rows else [], top.column("n").to_pylist()
     order = sorted(range(len(words)), key=lambda i: (-ns[i], words[i]))
     return Vocabulary([words[i] for i in order], np.array([ns[i] for i in order], np.int64), tokens, distinct, model_words)
@@ -125,19 +132,54 @@ def vocabulary(counts: DataFrame, head: int = HEAD_COUNTS, model_words: int | No
 # --- the network -----------------------------------------------------------------------
 
 
+def class_edges(counts: np.ndarray, tokens: int) -> np.ndarray:
+    """Where classes of words begin, and the last one ends; words come most frequent first.
+
+    A step computes every class and every word of one class, so a class is as wide as its share
+    of the tokens allows: share times width is about the same for all, at the level that makes
+    an average step the cheapest. Equally frequent words make classes of their square root.
+    """
+    known = len(counts)
+    share = np.concatenate([[0.0], np.cumsum(counts / max(1, tokens))])
+
+    def cut(level: float) -> list[int]:
+        edges = [0]
+        while edges[-1] < known:
+            a, low, high = edges[-1], edges[-1] + 1, known
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if (share[middle] - share[a]) * (middle - a) <= level else (low, middle - 1)
+            edges.append(low)
+        return edges
+
+    def price(edges: list[int]) -> float:
+        return len(edges) - 1 + float((np.diff(edges) * np.diff(share[edges])).sum())
+
+    return np.array(min((cut(2.0**k) for k in np.arange(-5, 4, 0.5)), key=price), np.int64)
+
+
+SAFE = 50.0  # logits up to here need no shift before the exponential
+
+
 @dataclass
 class Network:
     """Parameters by name; ``known`` words of their own, one more input for all others."""
 
     known: int
     hidden: int = HIDDEN
-    class_words: int = 0  # about the square root of ``known``
+    class_words: int = 0  # words a class, about the square root of ``known``, where no edges are given
+    edges: np.ndarray | None = None
     p: dict[str, np.ndarray] = field(default_factory=dict)
     seen: int = 0  # tokens of the pass over all training documents
+    safe: bool = False
 
     def __post_init__(self) -> None:
-        self.class_words = self.class_words or max(1, round(self.known**0.5))
-        self.classes = -(-self.known // self.class_words) + 1  # the last holds all other words
+        if self.edges is None:
+            each = self.class_words or max(1, round(self.known**0.5))
+            self.edges = np.append(np.arange(0, self.known, each), self.known)
+        self.classes = len(self.edges)  # the last holds all other words
+        self.class_of = np.append(np.repeat(np.arange(self.classes - 1), np.diff(self.edges)), self.classes - 1)
+        self.class_of = self.class_of.astype(np.uint16 if self.classes < 1 << 16 else np.int64)
         if self.p:
             return
         r, h, k = np.random.default_rng(3), self.hidden, self.known
@@ -147,32 +189,50 @@ class Network:
             "wc": make(h, self.classes), "bc": np.zeros(self.classes, np.float32), "wo": make(k + 1, h), "bo": np.zeros(k + 1, np.float32),
         }
 
-    def start_from(self, v: Vocabulary) -> None:
-        """Output offsets at the logarithms of the counts."""
-        own = np.log(v.counts[: self.known] + 1.0)
-        if not self.known:
-            return
-        self.p["bo"][: self.known] = own - np.log(v.tokens + 1)
-        mass = np.add.reduceat(v.counts[: self.known], np.arange(0, self.known, self.class_words))
-        self.p["bc"][:] = np.log(np.append(mass, v.tail_tokens) + 1.0) - np.log(v.tokens + 1)
+    @staticmethod
+    def of(v: Vocabulary) -> Network:
+        """A network for the modelled words, its output offsets at the logarithms of the counts."""
+        net = Network(v.known, edges=class_edges(v.counts[: v.known], v.tokens))
+        if v.known:
+            net.p["bo"][: v.known] = np.log(v.counts[: v.known] + 1.0) - np.log(v.tokens + 1)
+            mass = np.add.reduceat(v.counts[: v.known], net.edges[:-1])
+            net.p["bc"][:] = np.log(np.append(mass, v.tail_tokens) + 1.0) - np.log(v.tokens + 1)
+        return net
+
+    def check(self) -> None:
+        """Set ``safe``: states are within 1, so that the weights bound every logit."""
+        p = self.p
+        most = [float((np.abs(w).sum(a) + np.abs(o)).max(initial=0)) for w, o, a in ((p["wc"], p["bc"], 0), (p["wo"], p["bo"], 1))]
+        self.safe = max(most) < SAFE
 
-    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+    def inputs(self) -> np.ndarray:
+        """What each word adds to the gates, for scoring with parameters that no longer change."""
+        return self.p["embed"] @ self.p["wx"] + self.p["b"]
+
+    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray | None = None, keep: bool = False):
         """States (time, lane, hidden) for inputs (time, lane); ``fresh`` marks documents' starts."""
         p, n = self.p, self.hidden
-        inputs = p["embed"][x] @ p["wx"] + p["b"] if x.size < self.known else (p["embed"] @ p["wx"] + p["b"])[x]
-        out = np.empty((*x.shape, n), np.float32)
-        trace = []
+        a = self.p["embed"][x] @ p["wx"] + p["b"] if table is None else table[x]
+        out = np.empty((*x.shape, n), a.dtype)
+        trace = [np.empty((*x.shape, k), a.dtype) for k in (n, n, 2 * n, n)] if keep else None
+        starts = fresh.any(1)
         for t in range(len(x)):
-            if fresh[t].any():
+            if starts[t]:
                 h = h * ~fresh[t][:, None]
             u = h @ p["wh"]
-            a = inputs[t]
-            gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + u[:, : 2 * n])))
-            r, z = gates[:, :n], gates[:, n:]
-            new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
+            gates = a[t, :, : 2 * n] + u[:, : 2 * n]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            new = gates[:, :n] * u[:, 2 * n :]
+            new += a[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if keep:
-                trace.append((h, u[:, 2 * n :], r, z, new))
-            h = new + z * (h - new)
+                trace[0][t], trace[1][t], trace[2][t], trace[3][t] = h, u[:, 2 * n :], gates, new
+            h = h - new
+            h *= gates[:, n:]
+            h += new
             out[t] = h
         return out, h, trace
 
@@ -181,71 +241,95 @@ class Network:
 
         With ``grad``: also the gradients of the negative sum, for states and outputs.
         """
-        p, k = self.p, self.known
-        logits = states @ p["wc"] + p["bc"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        total = e.sum(1)
-        cls = np.where(y == k, self.classes - 1, y // self.class_words)
+        p = self.p
+        cls = self.class_of[y]
         rows = np.arange(len(y))
-        out = np.log(e[rows, cls] / total)
+
+        def softmax(logits: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            """Log-probability of each row's target; leaves probabilities in place of the logits."""
+            if not self.safe:
+                logits -= logits.max(1, keepdims=True)
+            own = logits[rows, at]
+            np.exp(logits, out=logits)
+            total = logits @ np.ones(logits.shape[1], logits.dtype)
+            if grad:
+                logits *= (1 / total)[:, None]
+            return own - np.log(total)
+
+        e = states @ p["wc"]
+        e += p["bc"]
+        out = softmax(e, cls, rows)
         g: dict[str, np.ndarray] = {}
         if grad:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            g = {"wc": states.T @ d, "bc": d.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"]), "states": d @ p["wc"].T}
+            e[rows, cls] -= 1
+            g = {"wc": states.T @ e, "bc": e.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"]), "states": e @ p["wc"].T}
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes))
+        cuts = np.searchsorted(cls[order], np.arange(self.classes)).tolist()
+        edges, s_all, y_all = self.edges.tolist(), states[order], y[order]
+        inner_lp = np.zeros(len(y), out.dtype)
+        back = np.zeros_like(s_all) if grad else None
         for c in range(self.classes - 1):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
+            a, b = cuts[c], cuts[c + 1]
+            low, high = edges[c], edges[c + 1]
+            if a == b or high - low == 1:  # a class of one word is that word
                 continue
-            low, high = c * self.class_words, min((c + 1) * self.class_words, k)
-            s = states[own]
-            inner = s @ p["wo"][low:high].T + p["bo"][low:high]
-            e = np.exp(inner - inner.max(1, keepdims=True))
-            total = e.sum(1)
-            at = np.arange(len(own))
-            out[own] += np.log(e[at, y[own] - low] / total)
+            s, at, rows = s_all[a:b], y_all[a:b] - low, np.arange(b - a)
+            inner = s @ p["wo"][low:high].T
+            inner += p["bo"][low:high]
+            inner_lp[a:b] = softmax(inner, at, rows)
             if grad:
-                e /= total[:, None]
-                e[at, y[own] - low] -= 1
-                g["wo"][low:high] = e.T @ s
-                g["bo"][low:high] = e.sum(0)
-                g["states"][own] += e @ p["wo"][low:high]
+                inner[rows, at] -= 1
+                g["wo"][low:high] = inner.T @ s
+                g["bo"][low:high] = inner.sum(0)
+                back[a:b] = inner @ p["wo"][low:high]
+        out[order] += inner_lp
+        if grad:
+            g["states"][order] += back
         return (out, g) if grad else out
 
     def gradients(self, x, y, valid, fresh, h):
-        """Mean gradients of one window, its mean loss and the state behind it."""
+        """Mean gradients of one window, its mean loss and the state behind it.
+
+        That of the embeddings is a pair: the words that occur, and their rows.
+        """
         p, n = self.p, self.hidden
-        states, after, trace = self.forward(x, fresh, h, keep=True)
+        states, after, (before, un, gates, new) = self.forward(x, fresh, h, keep=True)
         lp, g = self.log_probs(states[valid], y[valid], grad=True)
         count = max(1, len(lp))
         d_states = np.zeros_like(states)
         d_states[valid] = g.pop("states")
-        d_in = np.empty((*x.shape, 3 * n), np.float32)
-        g["wh"] = np.zeros_like(p["wh"])
-        d_h = np.zeros_like(h)
+        r, z = gates[:, :, :n], gates[:, :, n:]
+        by_new = (1 - z) * (1 - new * new)
+        by_r, by_z = un * r * (1 - r), (before - new) * z * (1 - z)
+        d_in = np.empty((*x.shape, 3 * n), states.dtype)
+        d_u = np.empty((*x.shape, 3 * n), states.dtype)
+        d_h, back = np.zeros_like(h), np.ascontiguousarray(p["wh"].T)
+        starts = fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
-            before, un, r, z, new = trace[t]
             d = d_states[t] + d_h
-            d_new = d * (1 - z) * (1 - new * new)
-            d_r = d_new * un * r * (1 - r)
-            d_z = d * (before - new) * z * (1 - z)
-            d_in[t, :, :n], d_in[t, :, n : 2 * n], d_in[t, :, 2 * n :] = d_r, d_z, d_new
-            d_u = np.concatenate([d_r, d_z, d_new * r], 1)
-            g["wh"] += before.T @ d_u
-            d_h = d * z + d_u @ p["wh"].T
-            if fresh[t].any():
-                d_h = d_h * ~fresh[t][:, None]
+            d_new = d * by_new[t]
+            own = d_u[t]
+            np.multiply(d_new, by_r[t], out=own[:, :n])
+            np.multiply(d, by_z[t], out=own[:, n : 2 * n])
+            np.multiply(d_new, r[t], out=own[:, 2 * n :])
+            d_in[t, :, 2 * n :] = d_new
+            d_h = own @ back
+            d *= z[t]
+            d_h += d
+            if starts[t]:
+                d_h *= ~fresh[t][:, None]
+        d_in[:, :, : 2 * n] = d_u[:, :, : 2 * n]
+        g["wh"] = before.reshape(-1, n).T @ d_u.reshape(-1, 3 * n)
         flat, flat_x = d_in.reshape(-1, 3 * n), x.ravel()
-        order = np.argsort(flat_x, kind="stable")
-        own, first = np.unique(flat_x[order], return_index=True)
-        table = np.add.reduceat(flat[order], first, axis=0)
-        g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][own] = table @ p["wx"].T
-        g["wx"], g["b"] = p["embed"][own].T @ table, table.sum(0)
+        g["b"] = flat.sum(0)
+        own, at = np.unique(flat_x, return_inverse=True)
+        order = np.argsort(at.ravel(), kind="stable")
+        first = np.searchsorted(at.ravel()[order], np.arange(len(own)))
+        g["wx"] = p["embed"][flat_x].T @ flat
+        rows = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
         for k in g:
             g[k] /= count
+        g["embed"] = (own, rows / count)
         return g, -float(lp.sum()) / count, after
 
 
@@ -266,66 +350,75 @@ def windows(ids: list[np.ndarray], end: int, lanes: int, window: int):
     """(x, y, valid, fresh, document) of each window, (time, lane); lanes that have ended are left out.
 
     ``ids`` are documents with their end mark; the mark also stands before the first word.
+    Lanes are stretches of one flat array, so memory is that of the tokens, whatever their lengths.
+    Where few lanes are left, windows are longer, up to ``STRETCH`` times.
     """
+    if not ids:
+        return
     dealt = lanes_of([len(x) for x in ids], lanes)
+    order = [d for own in dealt for d in own]
+    sizes = np.array([len(ids[d]) for d in order])
+    y_all = np.concatenate([ids[d] for d in order])
+    begins = np.cumsum(sizes) - sizes
+    first = np.zeros(len(y_all), bool)
+    first[begins] = True
+    x_all = np.empty_like(y_all)
+    x_all[1:] = y_all[:-1]
+    x_all[begins] = end
+    doc_all = np.repeat(np.array(order, np.int32), sizes)
     lengths = np.array([sum(len(ids[d]) for d in own) for own in dealt])
-    steps = int(lengths.max(initial=0))
-    n = len(dealt)
-    y = np.zeros((n, steps), np.int32)
-    doc = np.zeros((n, steps), np.int32)
-    fresh = np.zeros((n, steps), bool)
-    for i, own in enumerate(dealt):
-        at = 0
-        for d in own:
-            y[i, at : at + len(ids[d])] = ids[d]
-            doc[i, at : at + len(ids[d])] = d
-            fresh[i, at] = True
-            at += len(ids[d])
-    x = np.full((n, steps), end, np.int32)
-    x[:, 1:] = np.where(fresh[:, 1:], end, y[:, :-1])
-    for t in range(0, steps, window):
+    starts = np.cumsum(lengths) - lengths
+    t, last = 0, int(lengths[0])
+    while t < last:
         live = int((lengths > t).sum())
-        cut = (slice(0, live), slice(t, min(t + window, steps)))
-        valid = np.arange(cut[1].start, cut[1].stop)[:, None] < lengths[None, :live]
-        yield x[cut].T, y[cut].T, valid, fresh[cut].T, doc[cut].T
-
-
-class Adam:
-    def __init__(self, p: dict[str, np.ndarray], rate: float) -> None:
-        self.p, self.rate, self.t = p, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
-
-    def step(self, g: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
-        fix = float(np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        for k, x in g.items():
-            x = x * np.float32(scale)
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.v[k] += np.float32(0.001) * (x * x - self.v[k])
-            self.p[k] -= np.float32(self.rate * fix) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+        steps = np.arange(t, min(t + window * min(STRETCH, max(1, len(dealt) // live)), last))[:, None]
+        t += len(steps)
+        valid = steps < lengths[None, :live]
+        at = np.where(valid, starts[None, :live] + steps, starts[None, :live])
+        yield x_all[at], y_all[at], valid, first[at] & valid, doc_all[at]
+
+
+class Adagrad:
+    """Steps that shrink with what a parameter has already moved; embeddings move where words occur."""
 
+    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.1) -> None:
+        self.p, self.rate = p, np.float32(rate)
+        self.sums = {k: np.full_like(v, 1e-8) for k, v in p.items()}
 
-def train(net: Network, ids: list[np.ndarray], end: int, rate: float, adam: Adam | None = None) -> tuple[float, int, Adam]:
+    def step(self, g: dict) -> None:
+        for k, x in g.items():
+            if isinstance(x, tuple):
+                own, x = x
+                s = self.sums[k][own] + x * x
+                self.sums[k][own] = s
+                self.p[k][own] -= self.rate * x / np.sqrt(s)
+            else:
+                square = x * x
+                self.sums[k] += square
+                np.sqrt(self.sums[k], out=square)
+                np.divide(x, square, out=x)
+                x *= self.rate
+                self.p[k] -= x
+
+
+def train(net: Network, ids: list[np.ndarray], end: int, steps: Adagrad) -> tuple[float, int]:
     """One pass over documents; the summed loss and the tokens seen."""
-    adam = adam or Adam(net.p, rate)
     loss, seen, h = 0.0, 0, None
+    net.check()
     for x, y, valid, fresh, _ in windows(ids, end, TRAIN_LANES, TRAIN_WINDOW):
         h = np.zeros((x.shape[1], net.hidden), np.float32) if h is None else h[: x.shape[1]]
         g, mean, h = net.gradients(x, y, valid, fresh, h)
-        adam.step(g)
+        steps.step(g)
         loss, seen = loss + mean * int(valid.sum()), seen + int(valid.sum())
-    return loss, seen, adam
+    return loss, seen
 
 
-def score(net: Network, ids: list[np.ndarray], end: int) -> np.ndarray:
-    """Natural log-probability of each document."""
+def score(net: Network, ids: list[np.ndarray], end: int, table: np.ndarray | None = None) -> np.ndarray:
+    """Natural log-probability of each document; ``table``: the network's ``inputs()``, if at hand."""
     out, h = np.zeros(len(ids)), None
     for x, y, valid, fresh, doc in windows(ids, end, LANES, WINDOW):
         h = np.zeros((x.shape[1], net.hidden), np.float32) if h is None else h[: x.shape[1]]
-        states, h, _ = net.forward(x, fresh, h)
+        states, h, _ = net.forward(x, fresh, h, table)
         lp = net.log_probs(states[valid], y[valid])
         out += np.bincount(doc[valid], weights=lp.astype(np.float64), minlength=len(ids))
     return out
@@ -335,22 +428,35 @@ def score(net: Network, ids: list[np.ndarray], end: int) -> np.ndarray:
 
 
 class _Indexed:
-    """The vocabulary's index, built once a Python worker from the broadcast words."""
+    """The vocabulary's index, built once a Python worker from the broadcast words.
+
+    The vocabulary is held with its index: an address alone could come to be another's.
+    """
 
-    held: dict[int, dict[bytes, int]] = {}
+    held: tuple[Vocabulary, dict[bytes, int]] | None = None
 
     @classmethod
     def of(cls, shared) -> tuple[Vocabulary, dict[bytes, int]]:
         v = shared.value
-        if id(v) not in cls.held:
-            cls.held = {id(v): v.index}
-        return v, cls.held[id(v)]
+        if cls.held is None or cls.held[0] is not v:
+            cls.held = (v, v.index)
+        return cls.held
+
+
+def _ranks(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+
+
+def _known(ranks: np.ndarray, known: int, end: int) -> np.ndarray:
+    """Inputs and targets of a document: modelled words, one id for all others, the end mark."""
+    out = np.empty(len(ranks) + 1, np.int32)
+    out[:-1] = np.where((ranks < 0) | (ranks >= known), known, ranks)
+    out[-1] = end
+    return out
 
 
 def _ids(words: list[bytes], index: dict[bytes, int], v: Vocabulary, end: int) -> np.ndarray:
-    look = index.get
-    got = np.fromiter((look(w, -1) for w in words), np.int32, len(words))
-    return np.append(np.where((got < 0) | (got >= v.known), v.known, got), np.int32(end)).astype(np.int32)
+    return _known(_ranks(words, index), v.known, end)
 
 
 def _end(v: Vocabulary, index: dict[bytes, int]) -> int:
@@ -360,8 +466,7 @@ def _end(v: Vocabulary, index: dict[bytes, int]) -> int:
 
 def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
     """A network trained on the column ``text`` of all rows (``key``: a hash of the row)."""
-    net = Network(v.known)
-    net.start_from(v)
+    net = Network.of(v)
     documents = int(v.counts[v.words.index(END)]) if END in v.words else 0
     if not documents:
         return net
@@ -377,27 +482,26 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
 
     sample = warm.select("text", "key").mapInArrow(to_ids, "key bigint, ids binary").collect()  # about WARM_DOCUMENTS
     sample = [np.frombuffer(r["ids"], np.int32) for r in sorted(sample, key=lambda r: (r["key"], bytes(r["ids"])))]
-    index = v.index
-    end, adam = _end(v, index), None
+    end, steps = _end(v, v.index), Adagrad(net.p)
     for _ in range(WARM_PASSES):
-        _, _, adam = train(net, sample, end, 0.006, adam)
-    begun = pickle.dumps(net)
+        train(net, sample, end, steps)
+    begun = train_docs.sparkSession.sparkContext.broadcast(pickle.dumps(steps))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, index = _Indexed.of(shared)
-        own: Network = pickle.loads(begun)
-        end, adam, seen, held, size = _end(v, index), None, 0, [], 0
+        steps: Adagrad = pickle.loads(begun.value)
+        own = Network(v.known, edges=class_edges(v.counts[: v.known], v.tokens), p=steps.p)
+        end, seen, held, size = _end(v, index), 0, [], 0
 
         def fit() -> None:
-            nonlocal adam, seen, held, size
-            _, n, adam = train(own, held, end, 0.002, adam)
-            seen, held, size = seen + n, [], 0
+            nonlocal seen, held, size
+            seen, held, size = seen + train(own, held, end, steps)[1], [], 0
 
         for batch in batches:
             for text in as_bytes(batch.column(0)):
                 held.append(_ids(words_of(text), index, v, end))
                 size += len(held[-1])
-                if size > 200_000:
+                if size > SLAB:
                     fit()
         if held:
             fit()
@@ -430,6 +534,7 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
             size = net.p[k].size
             net.p[k] = (flat[at : at + size] / total).astype(np.float32).reshape(net.p[k].shape)
             at += size
+    net.check()
     return net
 
 
@@ -448,54 +553,56 @@ def score_documents(docs: DataFrame, held_out: Callable[[str], Column], id_col:
     v = vocabulary(counts, head, model_words)
     shared = spark.sparkContext.broadcast(v)
     net = learn(learning, v, shared)
-    frozen = pickle.dumps(net)
+    frozen = spark.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v, index = _Indexed.of(shared)
-        own: Network = pickle.loads(frozen)
-        end = _end(v, index)
-        known_counts = np.append(v.counts, 0)
-        log_count = np.log10(known_counts + 1.0)
-        at = TaskContext.get().partitionId() << 36
+        own: Network = pickle.loads(frozen.value)
+        table, end = own.inputs(), _end(v, index)
+        log_count = np.log10(np.append(v.counts, 0) + 1.0)
         end_log = float(log_count[index.get(END, -1)])
-        look = index.get
+        at = TaskContext.get().partitionId() << 36
+        held, ids, stats, size = [], [], [], 0  # documents' own rows; the words that are not here leave at once
+
+        def scored() -> pa.RecordBatch:
+            nonlocal held, ids, stats, size, at
+            n = len(held)
+            lp = score(own, ids, end, table) / LN10
+            mark = np.arange(at, at + n)
+            s = np.array(stats, np.float64).reshape(-1, 5)
+            none = pa.nulls(n, pa.int64())
+            out = [
+                pa.array(mark), pa.array([b" %d" % m for m in mark.tolist()], pa.binary()), none, pa.array(held, pa.int64()), pa.array(s[:, 0].astype(np.int64)),
+                pa.array(s[:, 1].astype(np.int64)), pa.array(s[:, 2] + s[:, 3]), pa.array(s[:, 4].astype(np.int64)), pa.array(lp + s[:, 3]),
+            ]
+            held, ids, stats, size, at = [], [], [], 0, at + n
+            return pa.RecordBatch.from_arrays(out, names=SCORED_NAMES)
+
         for whole in batches:
-            for batch in slices(whole, 1, 8 << 20):
-                ids, stats, rare = [], [], []
+            for batch in slices(whole, 1):
+                rare, marks = [], at + len(held)
                 for i, text in enumerate(as_bytes(batch.column(1))):
                     words = words_of(text)
-                    got = np.fromiter((look(w, -1) for w in words), np.int32, len(words))
-                    ids.append(np.append(np.where((got < 0) | (got >= v.known), v.known, got), end).astype(np.int32))
+                    got = _ranks(words, index)
+                    ids.append(_known(got, v.known, end))
                     missing = [words[j] for j in np.flatnonzero(got < 0).tolist()]
                     in_tail = got >= v.known
                     tail_log = float(log_count[got[in_tail]].sum())
                     own_log = float(log_count[got[(got >= 0) & ~in_tail]].sum()) + end_log
                     stats.append((len(words) + 1, len(words) - len(missing) + (END in index), own_log, tail_log, int(in_tail.sum()) + len(missing) + (END not in index)))
-                    rare += [(at + i, w, n) for w, n in Counter(missing).items()]
-                lp = score(own, ids, end) / LN10
-                n = batch.num_rows
-                mark = np.arange(at, at + n)
-                s = np.array(stats, np.float64).reshape(-1, 5)
-                none = lambda kind, m: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(mark), pa.array([b" %d" % m for m in mark.tolist()], pa.binary()), none(pa.int64(), n), batch.column(0), pa.array(s[:, 0].astype(np.int64)),
-                        pa.array(s[:, 1].astype(np.int64)), pa.array(s[:, 2] + s[:, 3]), pa.array(s[:, 4].astype(np.int64)), pa.array(lp + s[:, 3]),
-                    ],
-                    names=SCORED_NAMES,
-                )
+                    size += len(words) + 1
+                    rare += [(marks + i, w, n) for w, n in Counter(missing).items()]
+                held += batch.column(0).to_pylist()
                 if rare:
-                    m = len(rare)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([x[0] for x in rare], pa.int64()), pa.array([x[1] for x in rare], pa.binary()), pa.array([x[2] for x in rare], pa.int64()),
-                            none(pa.int64(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m), none(pa.int64(), m), none(pa.float64(), m),
-                        ],
-                        names=SCORED_NAMES,
-                    )
-                at += n
+                    whole_, real = pa.nulls(len(rare), pa.int64()), pa.nulls(len(rare), pa.float64())
+                    first = [pa.array([x[k] for x in rare], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*first, whole_, whole_, whole_, real, whole_, real], names=SCORED_NAMES)
+                if size > SLAB:
+                    yield scored()
+        if held:
+            yield scored()
 
     # a document's own row has a key that no word can equal, so that all rows spread over the join
     scored = rows.select("id", "text").mapInArrow(run, SCORED)

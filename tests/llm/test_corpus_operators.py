@@ -152,19 +152,24 @@ def test_packing_places_every_token_once(spark, docs):
 
 def test_lm_gradients():
     v = lm.Vocabulary([b"", *[b"w%d" % i for i in range(9)]], np.array([50, 40, 30, 20, 10, 5, 4, 3, 2, 1]), 200, 12, 8)
-    net = lm.Network(8, 5, 3)
-    net.start_from(v)
+    net = lm.Network.of(v)
+    assert len(net.edges) >= 3
+    net = lm.Network(8, 5, edges=net.edges)
     net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
     rng = np.random.default_rng(0)
     ids = [np.append(rng.integers(0, 9, n), 0).astype(np.int32) for n in (5, 9, 3, 7)]
     x, y, valid, fresh, _ = next(iter(lm.windows(ids, 0, 2, 64)))
     start = np.zeros((x.shape[1], 5))
+    assert fresh.sum() == 4 and not fresh.all(0).any()
 
     def loss():
         states, _, _ = net.forward(x, fresh, start)
         return -net.log_probs(states[valid].astype(np.float64), y[valid]).sum() / valid.sum()
 
     grads, _, _ = net.gradients(x, y, valid, fresh, start)
+    own, rows = grads["embed"]
+    grads["embed"] = np.zeros_like(net.p["embed"])
+    grads["embed"][own] = rows
     for k in net.p:
         for _ in range(4):
             at = tuple(rng.integers(0, s) for s in net.p[k].shape)
@@ -231,13 +236,56 @@ def test_lm_models_more_words_of_larger_texts(spark):
     for many in (1000, 9000):
         docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(j, many, 3)),) for j in range(3)] * 2, "text string")
         v = lm.vocabulary(lm.count_tokens(docs), head=50)
-        net = lm.Network(v.known)
+        net = lm.Network.of(v)
         assert v.tail_tokens <= (1 - lm.MODEL_TOKENS) * v.tokens and len(v.words) >= v.known
-        assert abs(net.class_words - v.known**0.5) <= 1 and abs(net.classes - v.known**0.5) <= 2
+        assert net.edges[-1] == v.known and len(net.class_of) == v.known + 1
+        assert 0.6 < net.classes / v.known**0.5 < 1.6 and net.classes + np.diff(net.edges).mean() < 2.3 * v.known**0.5
         known.append(v.known)
     assert known == [1001, 9001]
 
 
+def test_lm_classes_are_cheap_for_skewed_counts():
+    counts = np.sort(np.random.default_rng(4).zipf(1.2, 5000).clip(max=10**6))[::-1]
+    edges, share = lm.class_edges(counts, counts.sum()), counts / counts.sum()
+    price = lambda e: len(e) - 1 + sum((b - a) * share[a:b].sum() for a, b in zip(e[:-1], e[1:], strict=True))
+    assert edges[0] == 0 and edges[-1] == 5000 and (np.diff(edges) > 0).all()
+    assert price(edges) < 0.7 * price([*range(0, 5000, 71), 5000])
+
+
+def test_lm_index_belongs_to_its_vocabulary():
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    for i in range(300):  # each vocabulary is freed before the next comes, perhaps to the same address
+        v, index = lm._Indexed.of(Shared(lm.Vocabulary([b"", b"w%d" % i], np.array([2, 1]), 3, 2, 2)))
+        assert index == {b"": 0, b"w%d" % i: 1} and v.words[1] == b"w%d" % i
+
+
+def test_lm_long_texts_beside_short_ones_stay_small():
+    import tracemalloc
+
+    net, rng = lm.Network(8, 4, 3), np.random.default_rng(3)
+    ids = [np.append(rng.integers(0, 9, n), 0).astype(np.int32) for n in (60_000, *[20] * 1000)]
+    tracemalloc.start()
+    together = lm.score(net, ids, 0, net.inputs())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # dense lanes would take 60,000 x 512 places of each array
+    assert np.allclose(together[:3], [float(lm.score(net, [x], 0)[0]) for x in ids[:3]], rtol=1e-4)
+
+
+def test_lm_words_too_long_to_travel_are_joined(spark):
+    long = "x" * (lm.HEAD_BYTES + 1)
+    docs = spark.createDataFrame([(i, f"{long} a {long}") for i in range(6)], "doc_id bigint, text string")
+    v = lm.vocabulary(lm.count_tokens(docs))
+    assert sorted(v.words) == [b"", b"a"] and v.distinct == 3
+    out = lm.score_documents(docs, lambda c: F.lit(False)).collect()
+    assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in out} == {(4, 4, 24)}
+    want = math.log10(13 / 28) * 2 + math.log10(7 / 28) * 2
+    assert all(abs(r["base_score"] - want) < 1e-9 for r in out)
+
+
 def test_lm_empty_table(spark, docs):
     assert lm.score_documents(docs.limit(0), lm.held_out_column).count() == 0
 
