@@ -43,7 +43,7 @@ from .common import as_bytes, crc32_of_id, materialise, slices
 HEAD_COUNTS, HEAD_BYTES = 400_000, 64
 MODEL_TOKENS, MODEL_MOST = 0.8, 1_000_000
 HIDDEN = 20
-WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 16, 16, 512, 512
+WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 32, 16, 512, 1024
 WARM_DOCUMENTS, WARM_PASSES = 400, 2
 STRETCH = 16
 SLAB = 3_000_000  # tokens that a task lays out side by side
@@ -245,24 +245,28 @@ class Network:
         cls = self.class_of[y]
         rows = np.arange(len(y))
 
-        def softmax(logits: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            """Log-probability of each row's target; leaves probabilities in place of the logits."""
+        def softmax(logits: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Log-probability of each row's target, and what to divide what is left of the logits by."""
             if not self.safe:
                 logits -= logits.max(1, keepdims=True)
             own = logits[rows, at]
             np.exp(logits, out=logits)
             total = logits @ np.ones(logits.shape[1], logits.dtype)
-            if grad:
-                logits *= (1 / total)[:, None]
-            return own - np.log(total)
+            return own - np.log(total), total
+
+        def slopes(e: np.ndarray, at: np.ndarray, rows: np.ndarray, total: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Gradients for the weights (row a word), the offsets and the states."""
+            e[rows, at] -= total
+            by = 1 / total
+            return e.T @ (s * by[:, None]), by @ e, (e @ w) * by[:, None]
 
         e = states @ p["wc"]
         e += p["bc"]
-        out = softmax(e, cls, rows)
+        out, total = softmax(e, cls, rows)
         g: dict[str, np.ndarray] = {}
         if grad:
-            e[rows, cls] -= 1
-            g = {"wc": states.T @ e, "bc": e.sum(0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"]), "states": e @ p["wc"].T}
+            wc, bc, back = slopes(e, cls, rows, total, states, p["wc"].T)
+            g = {"wc": wc.T, "bc": bc, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"]), "states": back}
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes)).tolist()
         edges, s_all, y_all = self.edges.tolist(), states[order], y[order]
@@ -276,12 +280,9 @@ class Network:
             s, at, rows = s_all[a:b], y_all[a:b] - low, np.arange(b - a)
             inner = s @ p["wo"][low:high].T
             inner += p["bo"][low:high]
-            inner_lp[a:b] = softmax(inner, at, rows)
+            inner_lp[a:b], total = softmax(inner, at, rows)
             if grad:
-                inner[rows, at] -= 1
-                g["wo"][low:high] = inner.T @ s
-                g["bo"][low:high] = inner.sum(0)
-                back[a:b] = inner @ p["wo"][low:high]
+                g["wo"][low:high], g["bo"][low:high], back[a:b] = slopes(inner, at, rows, total, s, p["wo"][low:high])
         out[order] += inner_lp
         if grad:
             g["states"][order] += back
