@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import EARTH_RADIUS_MM, NANO, QueryStatus, div
 
 Vertex = tuple[int, int]  # latitude, longitude in nanodegrees
-UNROLLED_EDGES, MOST_BINS = 16, 4096
+UNROLLED_EDGES, MOST_BINS, MOST_COPIES = 16, 4096, 40_000
 #: Limits on polygons.
 MAX_VERTICES, MAX_HOLES = 10_000, 100
 DEGENERATE_CROSS, MAX_SPAN = 1_000_000, 350 * NANO
@@ -176,20 +177,33 @@ def crossings(ring: Sequence[Vertex]) -> list[tuple[int, int]]:
     Two edges count as meeting if either's ends differ in side of the other, an end on the
     line being a side of its own.
     """
-    own = edges(ring)
-    found = []
-    for i, (a, b) in enumerate(own):
-        for j in range(i + 2, len(own)):
-            if i == 0 and j == len(own) - 1:
-                continue
-            c, d = own[j]
+    return list(_crossings(ring))
+
+
+def _crossings(ring: Sequence[Vertex]) -> Iterator[tuple[int, int]]:
+    """Each edge against all later ones at once, in floating point; exact where that is close."""
+    own, n = edges(ring), len(ring)
+    p = np.array(ring, float)
+    q = np.roll(p, -1, axis=0)
+
+    def sides(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signs of the turns a-b-c, and where rounding could have changed them."""
+        left, right = (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]), (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+        return np.sign(left - right), np.abs(left - right) <= 1e-12 * (np.abs(left) + np.abs(right))
+
+    for i in range(n - 2):
+        j = np.arange(i + 2, n - (i == 0))
+        turns = [sides(p[i], q[i], p[j]), sides(p[i], q[i], q[j]), sides(p[j], q[j], p[i]), sides(p[j], q[j], q[i])]
+        may = (turns[0][0] != turns[1][0]) & (turns[2][0] != turns[3][0])
+        close = turns[0][1] | turns[1][1] | turns[2][1] | turns[3][1]
+        for k in j[may | close].tolist():
+            (a, b), (c, d) = own[i], own[k]
             if _side(a, b, c) != _side(a, b, d) and _side(c, d, a) != _side(c, d, b):
-                found.append((i, j))
-    return found
+                yield i, k
 
 
 def is_self_intersecting(ring: Sequence[Vertex]) -> bool:
-    return len(ring) > 3 and bool(crossings(ring))
+    return len(ring) > 3 and next(_crossings(ring), None) is not None
 
 
 def meeting_point(ring: Sequence[Vertex], i: int, j: int) -> tuple[float, float] | None:
@@ -242,6 +256,9 @@ def in_ring(ring: Sequence[Vertex], lat: Column, lon: Column) -> Column:
         return reduce(lambda x, y: x + y, [_edge_hit(lat, lon, p, q) for p, q in own]) % 2 == 1
     _, _, west, east = bounds(ring)
     bins = min(4 * len(own), MOST_BINS)
+    widths = [abs(p[1] - q[1]) for p, q in own]
+    while bins > 1 and sum(w * bins // (east - west) + 1 for w in widths) > MOST_COPIES + 2 * len(own):
+        bins //= 2  # wide edges lie in many bins: the literal stays bounded
     width = -(-(east - west + 1) // bins)
     cells: list[list[list[int]]] = [[] for _ in range(bins)]
     for p, q in own:
@@ -294,7 +311,7 @@ def _waves(x: Column, *terms: tuple[float, float]) -> Column:
 
 
 def wgs84_to_gcj02(lat: Column, lon: Column) -> Pair:
-    """The published offset polynomials; points outside the box stay."""
+    """The published offset polynomials (fixed values: their coefficients); points outside the box stay."""
     x, y = lon - 105.0, lat - 35.0
     root = F.sqrt(F.abs(x))
     common = _waves(x, (20.0, 6.0), (20.0, 2.0))

@@ -23,12 +23,16 @@ def event_key_hex(cell_key: Column, ts_ns: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(cell)), 16, "0"), F.lpad(F.lower(F.hex(ts_ns)), 16, "0"))
 
 
-def from_hex(text: Column) -> Column:
-    """The low 64 bits of a hex id, dashes and 0x allowed; null if it is not one."""
+def wide_hex(text: Column) -> Column:
+    """A hex id of up to 128 bits, dashes and 0x allowed, as 32 digits; null if it is not one."""
     digits = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "^0x", ""), "-", "")
-    low = F.right(F.concat(F.lit("0" * 16), digits), F.lit(16))
-    value = F.conv(low, 16, -10).cast("long")
-    return F.when(digits.rlike("^[0-9a-f]{1,32}$"), value)
+    return F.when(digits.rlike("^[0-9a-f]{1,32}$"), F.lpad(digits, 32, "0"))
+
+
+def from_hex(text: Column) -> Column:
+    """A hex id as a BIGINT; null if it is none, or has more than the 63 bits that fit."""
+    digits = wide_hex(text)
+    return F.when(digits.rlike("^0{16}[0-7]"), F.conv(F.right(digits, F.lit(16)), 16, 10).cast("long"))
 
 
 def parse_entity_id(text: str) -> int:

@@ -15,21 +15,26 @@ EXTEND_BY, EXTEND_CAP, EXTEND_COOLDOWN = 86_400, 2_592_000, 3_600
 
 
 def is_expired(now_ns: int, mode: str = "read", ts: str = "ts_ns", ttl: str = "ttl_seconds") -> Column:
-    """Whether an event has expired; expiry 0 never comes.
+    """Whether an event has expired; expiry 0 never comes, nor does one past the last nanosecond.
 
     ``read``: whole seconds, strictly after; ``cleanup``: nanoseconds, at the moment itself;
     ``cold``: nanoseconds, strictly after.
     """
     t, s = F.col(ts), F.col(ttl)
     if mode == "read":
-        late = F.lit(now_ns // NANO) > div(t, NANO) + s
+        late = F.lit(now_ns // NANO) > F.try_add(div(t, NANO), s)
     elif mode == "cleanup":
-        late = F.lit(now_ns) >= t + s * NANO
+        late = F.lit(now_ns) >= _end(t, s)
     elif mode == "cold":
-        late = F.lit(now_ns) > t + s * NANO
+        late = F.lit(now_ns) > _end(t, s)
     else:
         raise ValueError(f"no such expiry rule: {mode}")
-    return (s > 0) & late
+    return (s > 0) & F.coalesce(late, F.lit(False))
+
+
+def _end(t: Column, s: Column) -> Column:
+    """The nanosecond of an expiry; null if there is none so late."""
+    return F.try_add(t, F.try_multiply(s, F.lit(NANO)))
 
 
 def expired_sql(now_ns: int, mode: str = "read") -> str:
@@ -43,8 +48,9 @@ def expired_sql(now_ns: int, mode: str = "read") -> str:
 
 def remaining_seconds(now_ns: int, ts: str = "ts_ns", ttl: str = "ttl_seconds") -> Column:
     """Whole seconds left; null if the event never expires, 0 if it has."""
-    left = F.col(ts) + F.col(ttl) * NANO - F.lit(now_ns)
-    return F.when(F.col(ttl) > 0, F.when(left <= 0, F.lit(0)).otherwise(div(left, NANO)).cast("long"))
+    end = _end(F.col(ts), F.col(ttl))
+    left = end - F.lit(now_ns)
+    return F.when((F.col(ttl) > 0) & end.isNotNull(), F.when(left <= 0, F.lit(0)).otherwise(div(left, NANO)).cast("long"))
 
 
 def extension(

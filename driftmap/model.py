@@ -67,6 +67,12 @@ class QueryStatus(IntEnum):
 #: The largest entity id of test data; stands for the reserved all-ones id.
 ENTITY_ID_MAX = 2**63 - 1
 
+
+def reserved_ids(kind: T.DataType) -> tuple[int | str, int | str]:
+    """The reserved ids, all zeros and all ones: integers, or 32 hex digits for 128-bit ids as text."""
+    return ("0" * 32, "f" * 32) if isinstance(kind, T.StringType) else (0, ENTITY_ID_MAX)
+
+
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -86,6 +92,9 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 COLUMNS = EVENT_SCHEMA.fieldNames()
+IDS = ("event_id", "entity_id", "correlation_id", "user_data")
+#: Events whose ids have 128 bits, as 32 lower-case hex digits.
+WIDE_SCHEMA = T.StructType([T.StructField(f.name, T.StringType() if f.name in IDS else f.dataType) for f in EVENT_SCHEMA])
 
 
 def flag(name: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import geo, s2
 from ..functions.ttl import is_expired
-from ..model import LAT_MAX, LON_MAX, QueryStatus, flag
+from ..model import LAT_MAX, LON_MAX, QueryStatus, flag, reserved_ids
 from .latest import live, order_of
 
 #: Limits of requests.
@@ -39,8 +39,10 @@ class QueryResult:
         return self.more is not None and not self.more.isEmpty()
 
 
-def limited(df: DataFrame, limit: int, order: Sequence[Column]) -> QueryResult:
-    """The first rows in an order; without a truncation nothing else runs."""
+def limited(df: DataFrame, limit: int | None, order: Sequence[Column]) -> QueryResult:
+    """The first rows in an order; without a limit all rows, in none: nothing meets in one task."""
+    if limit is None:
+        return QueryResult(df)
     if not 0 < limit <= MAX_LIMIT:
         raise ValueError(f"a limit is between 1 and {MAX_LIMIT}")
     ordered = df.orderBy(*order)
@@ -64,9 +66,9 @@ def index_projection(df: DataFrame) -> DataFrame:
 
 def query_uuid(state: DataFrame, entity_id: int, as_of_ns: int) -> DataFrame:
     """One row: the entity asked for, a status, and its newest event unless absent or expired."""
-    if entity_id == 0:
+    if entity_id in (0, "0" * 32):
         raise ValueError("entity id 0 is reserved")
-    asked = state.sparkSession.createDataFrame([(entity_id,)], "asked_id bigint")
+    asked = state.sparkSession.createDataFrame([(entity_id,)], f"asked_id {state.schema['entity_id'].dataType.simpleString()}")
     own = state.filter((F.col("entity_id") == entity_id) & ~flag("deleted"))
     found = asked.join(own, F.col("asked_id") == F.col("entity_id"), "left")
     late = F.coalesce(is_expired(as_of_ns), F.lit(False))
@@ -81,8 +83,9 @@ def query_uuid_batch(state: DataFrame, ids: Sequence[int], as_of_ns: int) -> Dat
     """
     if len(ids) > BATCH_LIMIT:
         raise ValueError(f"at most {BATCH_LIMIT} ids")
-    asked = state.sparkSession.createDataFrame(list(enumerate(ids)), "position int, asked_id bigint")
-    wanted = asked.filter("asked_id <> 0")
+    kind = state.schema["entity_id"].dataType
+    asked = state.sparkSession.createDataFrame(list(enumerate(ids)), f"position int, asked_id {kind.simpleString()}")
+    wanted = asked.filter(F.col("asked_id") != reserved_ids(kind)[0])
     hits = live(state, as_of_ns).join(F.broadcast(wanted), F.col("entity_id") == F.col("asked_id"))
     hits = hits.select("position", *state.columns)
     return asked.join(hits, "position", "left").withColumn("found", F.col("entity_id").isNotNull())
@@ -113,10 +116,13 @@ def _spatial_order(df: DataFrame, by_latitude: bool) -> list[Column]:
 
 
 def query_radius(
-    state: DataFrame, lat_nano: int, lon_nano: int, radius_mm: int, as_of_ns: int, limit: int = DEFAULT_LIMIT,
+    state: DataFrame, lat_nano: int, lon_nano: int, radius_mm: int, as_of_ns: int, limit: int | None = DEFAULT_LIMIT,
     ts_min: int = 0, ts_max: int = 0, group_id: int = 0, semantics: str = "exact", projection: str = "full",
 ) -> QueryResult:
-    """Live entities in a circle, bounds included."""
+    """Live entities in a circle, bounds included; ``limit=None`` gives all of them.
+
+    A limit takes the first by latitude up to 10 km, above that the first by cell, if the state has cells.
+    """
     circle = radius_filter(lat_nano, lon_nano, radius_mm, semantics, "cell_key" in state.columns)
     hits = live(state, as_of_ns).filter(filters(ts_min, ts_max, group_id) & circle)
     hits = index_projection(hits) if projection == "index" else hits
@@ -124,7 +130,7 @@ def query_radius(
 
 
 def query_polygon(
-    state: DataFrame, polygon: geo.Polygon, as_of_ns: int, limit: int = DEFAULT_LIMIT,
+    state: DataFrame, polygon: geo.Polygon, as_of_ns: int, limit: int | None = DEFAULT_LIMIT,
     ts_min: int = 0, ts_max: int = 0, group_id: int = 0, projection: str = "full",
 ) -> QueryResult:
     """Live entities inside a ring and outside its holes."""
@@ -134,7 +140,7 @@ def query_polygon(
     return limited(hits, limit, _spatial_order(hits, False))
 
 
-def query_latest(state: DataFrame, as_of_ns: int, limit: int = DEFAULT_LIMIT, group_id: int = 0, cursor_ts: int = 0) -> QueryResult:
+def query_latest(state: DataFrame, as_of_ns: int, limit: int | None = DEFAULT_LIMIT, group_id: int = 0, cursor_ts: int = 0) -> QueryResult:
     """Live entities, newest first; a cursor is the time below which to go on."""
     hits = live(state, as_of_ns).filter(filters(group_id=group_id))
     if cursor_ts:

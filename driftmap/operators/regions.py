@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,8 +40,10 @@ def route(events: DataFrame, strategy: str, regions: list[Region], explicit: dic
         ids = F.array(*[F.lit(r[0]) for r in regions])
         return events.withColumn("region_id", F.element_at(ids, at.cast("int") + 1))
     if strategy == "explicit":
-        chosen = reduce(lambda out, kv: F.when(F.col("entity_id") == kv[0], kv[1]).otherwise(out), (explicit or {}).items(), F.lit(default))
-        return events.withColumn("region_id", chosen)
+        kind = events.schema["entity_id"].dataType.simpleString()
+        table = events.sparkSession.createDataFrame(list((explicit or {}).items()), f"entity_id {kind}, _region int")
+        joined = events.join(table, "entity_id", "left")  # Spark broadcasts the table while it is small
+        return joined.withColumn("region_id", F.coalesce("_region", F.lit(default))).select(*events.columns, "region_id")
     if strategy == "none":
         return events.withColumn("region_id", F.lit(default))
     raise ValueError(f"no such strategy: {strategy}")
@@ -71,9 +71,10 @@ def jump(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Jump consistent hash, over whole arrays; a key leaves the loop when it has landed."""
     k = np.asarray(keys, np.uint64).copy()
     b, j = np.full(len(k), -1, np.int64), np.zeros(len(k), np.int64)
+    step = np.uint64(2862933555777941757)  # fixed value: the published generator's multiplier
     while (go := j < buckets).any():
         b[go] = j[go]
-        k[go] = k[go] * np.uint64(2862933555777941757) + np.uint64(1)
+        k[go] = k[go] * step + np.uint64(1)
         j[go] = ((b[go] + 1) * (float(1 << 31) / ((k[go] >> np.uint64(33)) + np.uint64(1)).astype(np.float64))).astype(np.int64)
     return b
 
@@ -86,8 +87,9 @@ def ring(shards: int, vnodes: int = VNODES) -> tuple[np.ndarray, np.ndarray]:
     return at[order], shard[order].astype(np.int64)
 
 
-def shards_of(ids: np.ndarray, shards: int, strategy: str) -> np.ndarray:
-    keys = shard_keys(ids)
+def shards_of(ids: np.ndarray, shards: int, strategy: str, high: np.ndarray | None = None) -> np.ndarray:
+    """The shards of ids, given as their low and, for 128 bits, high halves."""
+    keys = shard_keys(ids, high)
     if strategy == "modulo":
         return (keys & np.uint64(shards - 1)).astype(np.int64)
     if strategy == "jump":
@@ -106,8 +108,11 @@ def shard(entity: Column, shards: int, strategy: str = "jump") -> Column:
         raise ValueError("modulo shards are a power of two")
 
     def run(col: pa.Array) -> pa.Array:
-        ids = col.fill_null(0).to_numpy(zero_copy_only=False)
-        return pa.array(shards_of(ids, shards, strategy), mask=col.is_null().to_numpy(zero_copy_only=False))
+        none = col.is_null().to_numpy(zero_copy_only=False)
+        if pa.types.is_string(col.type):  # 32 hex digits
+            halves = np.frombuffer(bytes.fromhex("".join(col.fill_null("0" * 32).to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
+            return pa.array(shards_of(halves[:, 1], shards, strategy, halves[:, 0]), mask=none)
+        return pa.array(shards_of(col.fill_null(0).to_numpy(zero_copy_only=False), shards, strategy), mask=none)
 
     return F.arrow_udf(run, "bigint")(entity)
 
@@ -134,9 +139,25 @@ def shard_statistics(events: DataFrame, shards: int, strategy: str = "jump") ->
 
 def moved(events: DataFrame, before: int, after: int, strategy: str = "jump") -> DataFrame:
     """A resharding plan: entities and rows by shard before and after."""
+    return _placed(events, before, after, strategy).groupBy("source", "target").agg(F.count(F.lit(1)).alias("entities"), F.sum("n_rows").alias("n_rows"))
+
+
+def _placed(events: DataFrame, before: int, after: int, strategy: str) -> DataFrame:
     own = events.groupBy("entity_id").count()
     own = own.withColumns({"source": shard(F.col("entity_id"), before, strategy), "target": shard(F.col("entity_id"), after, strategy)})
-    return own.filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("entities"), F.sum("count").alias("n_rows"))
+    return own.filter("source <> target").withColumnRenamed("count", "n_rows")
+
+
+def migration_batches(events: DataFrame, before: int, after: int, batch_entities: int = 1000, strategy: str = "jump") -> DataFrame:
+    """(entity_id, source, target, n_rows, batch): what moves, in batches of about ``batch_entities``.
+
+    A batch goes from one shard to one other. Entities are dealt by hash over as many batches
+    as the pair of shards needs, so no pair is numbered in one task.
+    """
+    moving = _placed(events, before, after, strategy)
+    pairs = moving.groupBy("source", "target").agg(F.ceil(F.count(F.lit(1)) / batch_entities).alias("_batches"))  # at most before x after rows
+    dealt = moving.join(F.broadcast(pairs), ["source", "target"])
+    return dealt.select("entity_id", "source", "target", "n_rows", F.pmod(F.xxhash64("entity_id"), F.col("_batches")).alias("batch"))
 
 
 # --- tiers -----------------------------------------------------------------------------
@@ -156,10 +177,10 @@ class TierRules:
 
 
 class _Replay:
-    """One entity's accesses, in order."""
+    """One entity's accesses, in order; the first of them is its insertion, which makes it hot."""
 
-    def __init__(self, rules: TierRules) -> None:
-        self.rules, self.tier, self.start, self.count, self.last, self.ups = rules, "cold", None, 0, 0, 0
+    def __init__(self, rules: TierRules, now: int) -> None:
+        self.rules, self.tier, self.start, self.count, self.last, self.ups = rules, "hot", now, 1, now, 0
 
     def age(self, now: int) -> None:
         if self.tier == "hot" and now - self.last >= self.rules.hot_idle_ns:
@@ -169,12 +190,12 @@ class _Replay:
 
     def access(self, now: int) -> None:
         self.age(now)
-        if self.start is None or now - self.start > self.rules.window_ns:
+        if self.start is None or now - self.start > self.rules.window_ns:  # a cold entity is not tracked
             self.start, self.count = now, 0
         self.count, self.last = self.count + 1, now
         need = {"cold": self.rules.warm_after, "warm": self.rules.hot_after}.get(self.tier)
         if need is not None and self.count >= need:
-            self.tier, self.ups = ("warm" if self.tier == "cold" else "hot"), self.ups + 1
+            self.tier, self.ups, self.count = ("warm" if self.tier == "cold" else "hot"), self.ups + 1, 0
 
 
 def _tier_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -186,6 +207,8 @@ def _tier_rows(rows: list[tuple]) -> pa.RecordBatch:
 def tiers(accesses: DataFrame, as_of_ns: int, rules: TierRules = TierRules()) -> DataFrame:
     """(entity_id, tier, last_access_ns, promotions) after an access log (entity_id, ts_ns).
 
+    An entity is hot from its first row on, goes down a tier for every idle time that passes
+    (as if a clock ticked all the time), and up when accesses within a window are enough.
     Accesses come sorted by entity and time and are replayed as they pass by, so that a task
     holds the state of one entity, never its log.
     """
@@ -202,8 +225,9 @@ def tiers(accesses: DataFrame, as_of_ns: int, rules: TierRules = TierRules()) ->
             for entity, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if state is None or entity != now:
                     close()
-                    now, state = entity, _Replay(rules)
-                state.access(t)
+                    now, state = entity, _Replay(rules, t)
+                else:
+                    state.access(t)
             if len(rows) > 10_000:
                 yield _tier_rows(rows)
                 rows.clear()

@@ -81,6 +81,15 @@ def validate(events: DataFrame, options: Options = Options(), arrival: str = "ev
     return listed.withColumn("is_valid", valid).drop("_last", "_copy")
 
 
+def result_json() -> Column:
+    """A validated event's result as a JSON document, from ``issues`` and ``is_valid``."""
+    one = lambda x: F.struct(
+        x["category"].alias("category"), x["severity"].alias("severity"), x["field"].alias("field"),
+        F.concat(F.regexp_replace(x["category"], "_", " "), F.lit(": "), x["field"]).alias("message"),
+    )
+    return F.to_json(F.struct("is_valid", F.size("issues").alias("error_count"), F.transform("issues", one).alias("errors")))
+
+
 def profile(events: DataFrame, options: Options = Options()) -> DataFrame:
     """One row of counts, bounds and shares; a single aggregate with partial sums.
 

@@ -8,30 +8,35 @@ maximum per entity and deletion epoch, so a batch is decided at once, without a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import s2
 from ..functions import ttl as expiry
-from ..model import ENTITY_ID_MAX, HEADING_MAX, LAT_MAX, LON_MAX, NANO, TTL_MAX, DeleteCode, InsertCode, TtlCode, flag
+from ..functions.text import event_key_hex
+from ..model import EVENT_SCHEMA, HEADING_MAX, LAT_MAX, LON_MAX, NANO, TTL_MAX, DeleteCode, InsertCode, TtlCode, flag, reserved_ids
 from .latest import latest, live
+from .windows import BLOCK, running
 
-BLOCK = 65_536
 
+def event_code(schema: T.StructType = EVENT_SCHEMA) -> Column:
+    """Result code of an event by itself; the first check that fails decides.
 
-def event_code(reserved: str | None = None) -> Column:
-    """Result code of an event by itself; the first check that fails decides."""
+    A column ``reserved``, a number or bytes, must be zero where the events have it.
+    """
     e = F.col
+    zero, most = reserved_ids(schema["entity_id"].dataType)
     cases = [
-        (e("entity_id") == 0, InsertCode.ENTITY_ID_ZERO),
-        (e("entity_id") == ENTITY_ID_MAX, InsertCode.ENTITY_ID_MAX),
+        (e("entity_id") == zero, InsertCode.ENTITY_ID_ZERO),
+        (e("entity_id") == most, InsertCode.ENTITY_ID_MAX),
         (F.abs(e("lat_nano")) > LAT_MAX, InsertCode.INVALID_COORDINATES_LAT),
         (F.abs(e("lon_nano")) > LON_MAX, InsertCode.INVALID_COORDINATES_LON),
         (e("heading_cdeg") > HEADING_MAX, InsertCode.HEADING_OUT_OF_RANGE),
     ]
-    if reserved:
-        cases.append((e(reserved) != 0, InsertCode.RESERVED_FIELD))
+    if "reserved" in schema.fieldNames():
+        used = F.hex("reserved").rlike("[^0]") if isinstance(schema["reserved"].dataType, T.BinaryType) else e("reserved") != 0
+        cases.append((F.coalesce(used, F.lit(False)), InsertCode.RESERVED_FIELD))
     out = F.lit(int(InsertCode.OK))
     for when, code in reversed(cases):
         out = F.when(when, int(code)).otherwise(out)
@@ -52,22 +57,6 @@ def stamped(batch: DataFrame, commit_ns: int, default_ttl: int = 0) -> DataFrame
     )
 
 
-def running(df: DataFrame, keys: list[str], name: str, value: Column, agg: Callable, block: int = BLOCK) -> DataFrame:
-    """Adds ``name``: ``agg`` of ``value`` over the rows of a key before this one, by ``seq``.
-
-    Two levels: within blocks of ``seq``, and over whole blocks. A key with a third of all
-    rows is then spread over its blocks; only a row per block meets in one task.
-    """
-    rows = df.withColumn("_block", F.floor(F.col("seq") / F.lit(block))).withColumn("_value", value)
-    inner = Window.partitionBy(*keys, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_block").agg(agg("_value").alias("_total")).withColumn("_before", agg("_total").over(outer))
-    joined = rows.withColumn("_inner", agg("_value").over(inner)).join(totals.drop("_total"), [*keys, "_block"], "left")
-    both = F.array_compact(F.array("_inner", "_before"))
-    combined = F.array_max(both) if agg is F.max else F.coalesce("_inner", F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return joined.withColumn(name, combined).drop("_block", "_value", "_inner", "_before")
-
-
 def decide(state: DataFrame, batch: DataFrame, block: int = BLOCK) -> DataFrame:
     """The batch with ``code``, ``epoch`` (deletions of the entity before the row) and ``accepted``.
 
@@ -75,7 +64,7 @@ def decide(state: DataFrame, batch: DataFrame, block: int = BLOCK) -> DataFrame:
     revives a deleted entity, even an older one.
     """
     cell = F.col("cell_key") if "cell_key" in batch.columns else F.lit(0).cast("long")
-    own = batch.withColumn("_cell", cell).withColumn("_own", F.when(F.col("op") == "upsert", event_code()).otherwise(0))
+    own = batch.withColumn("_cell", cell).withColumn("_own", F.when(F.col("op") == "upsert", event_code(batch.schema)).otherwise(0))
     old_cell = F.col("cell_key") if "cell_key" in state.columns else F.lit(0).cast("long")
     touched = batch.select("entity_id").distinct()
     old = state.filter(~flag("deleted")).join(touched, "entity_id", "left_semi")
@@ -86,9 +75,10 @@ def decide(state: DataFrame, batch: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = running(rows, ["entity_id", "epoch"], "_top", F.when(good, F.struct("ts_ns", "_cell")), F.max, block)
     newer = F.col("_top").isNull() | (F.struct("ts_ns", "_cell") > F.col("_top"))
     upsert = F.when(F.col("_own") != 0, F.col("_own")).when(newer, int(InsertCode.OK)).otherwise(int(InsertCode.EXISTS))
+    zero, most = reserved_ids(batch.schema["entity_id"].dataType)
     delete = (
-        F.when(F.col("entity_id") == 0, int(DeleteCode.ENTITY_ID_ZERO))
-        .when(F.col("entity_id") == ENTITY_ID_MAX, int(DeleteCode.ENTITY_ID_MAX))
+        F.when(F.col("entity_id") == zero, int(DeleteCode.ENTITY_ID_ZERO))
+        .when(F.col("entity_id") == most, int(DeleteCode.ENTITY_ID_MAX))
         .when(F.col("_top").isNotNull(), int(DeleteCode.OK))
         .otherwise(int(DeleteCode.NOT_FOUND))
     )
@@ -114,9 +104,24 @@ def apply(state: DataFrame, decided: DataFrame, commit_ns: int) -> DataFrame:
     return sides[0].join(sides[1], "entity_id", "full").select(F.coalesce("_new", "_old").alias("_row")).select("_row.*")
 
 
+def assigned(batch: DataFrame) -> DataFrame:
+    """Events with the cell of their place and, where ids are text, the id that cell and time make.
+
+    An id that a client sends is not taken. Integer ids cannot hold the composite; they stay.
+    """
+    out = batch.withColumn("cell_key", s2.cell_key(F.col("lat_nano"), F.col("lon_nano")))
+    if isinstance(batch.schema["event_id"].dataType, T.StringType):
+        out = out.withColumn("event_id", event_key_hex(F.col("cell_key"), F.col("ts_ns")))
+    return out
+
+
 def insert_events(state: DataFrame, batch: DataFrame, commit_ns: int, default_ttl: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Codes (seq, entity_id, code) of a batch of events, and the state that follows."""
-    decided = decide(state, stamped(batch.withColumn("op", F.lit("upsert")), commit_ns, default_ttl))
+    """Codes (seq, entity_id, code) of a batch of events, and the state that follows.
+
+    A state with ``cell_key`` has its events' cells, and text ids, assigned on the way.
+    """
+    rows = stamped(batch.withColumn("op", F.lit("upsert")), commit_ns, default_ttl)
+    decided = decide(state, assigned(rows) if "cell_key" in state.columns else rows)
     return decided.select("seq", "entity_id", "code"), apply(state, decided, commit_ns)
 
 
@@ -125,7 +130,7 @@ upsert_events = insert_events
 
 def delete_entities(state: DataFrame, ids: DataFrame, commit_ns: int) -> tuple[DataFrame, DataFrame]:
     """Codes of ids (seq, entity_id), and the state with tombstones; a second mention is not found."""
-    batch = ids.select("seq", "entity_id", F.lit("delete").alias("op"))
+    batch = ids.select("seq", F.col("entity_id").cast(state.schema["entity_id"].dataType), F.lit("delete").alias("op"))
     for f in state.schema:
         if f.name not in batch.columns:
             batch = batch.withColumn(f.name, F.lit(None).cast(f.dataType))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.geo import MAX_HOLES, MAX_VERTICES
 from ..operators.latest import latest, scatter_merge
 from ..operators.reads import BATCH_LIMIT, DEFAULT_LIMIT, MAX_LIMIT, QueryResult
+from ..state import keep
 from .engine import Engine, Query
 
 Point = tuple[float, float]
@@ -114,7 +115,7 @@ def scatter(clients: Sequence[GeoClient], query: Query, policy: str = "all", lim
     parts, failed = [], []
     for c in clients:
         try:
-            parts.append(latest(c.engine.run(query, c.now()).df))
+            parts.append(keep(latest(c.engine.run(query, c.now()).df)))  # runs now, so that a store's failure shows here
         except Exception as e:
             failed.append(e)
     need = {"all": len(clients), "majority": len(clients) // 2 + 1, "best_effort": 1}[policy]

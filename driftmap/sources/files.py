@@ -1,13 +1,20 @@
-"""Events to and from CSV, JSON, NDJSON and GeoJSON, with schemas stated, never inferred."""
+"""Events to and from CSV, JSON, NDJSON and GeoJSON, with schemas stated, never inferred.
+
+Ids are written as 32 hex digits. Reading gives integers, or with ``wide`` the 32 digits
+themselves, for ids of up to 128 bits; an id that an integer cannot hold makes its row malformed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import fixed, from_hex, hex32, iso_time, parse_time
+from ..functions.text import fixed, from_hex, hex32, iso_time, parse_time, wide_hex
 from ..model import FLAGS, NANO, div, flag
+from ..state import keep
 
 DELIMITERS = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}
 #: Columns of CSV exports, in order.
@@ -19,6 +26,14 @@ MAX_ROW = 4096
 MEASURES = (("altitude_m", "altitude_mm", 1000.0, 3), ("velocity_ms", "velocity_mms", 1000.0, 3), ("heading_deg", "heading_cdeg", 100.0, 2), ("accuracy_m", "accuracy_mm", 1000.0, 3))
 
 
+def _is_wide(events: DataFrame) -> bool:
+    return isinstance(events.schema["entity_id"].dataType, T.StringType)
+
+
+def _hexed(name: str, wide: bool) -> Column:
+    return F.col(name) if wide else hex32(F.col(name))
+
+
 def _time(how: str) -> Column:
     t = F.col("ts_ns")
     if how == "iso8601":
@@ -29,8 +44,9 @@ def _time(how: str) -> Column:
 def csv_rows(events: DataFrame, time_format: str = "unix_ns", optional: bool = True) -> DataFrame:
     """Events as text columns in export units."""
     e = F.col
+    hexed = lambda c: _hexed(c, _is_wide(events))
     out = [
-        hex32(e("event_id")).alias("id"), hex32(e("entity_id")).alias("entity_id"), hex32(e("correlation_id")).alias("correlation_id"),
+        hexed("event_id").alias("id"), hexed("entity_id").alias("entity_id"), hexed("correlation_id").alias("correlation_id"),
         fixed(e("lat_nano") / F.lit(1e9), 9).alias("latitude"), fixed(e("lon_nano") / F.lit(1e9), 9).alias("longitude"),
         _time(time_format).alias("timestamp_ns"), e("group_id").cast("string").alias("group_id"), e("ttl_seconds").cast("string").alias("ttl_seconds"),
     ]
@@ -43,14 +59,14 @@ def write_csv(events: DataFrame, path: str, delimiter: str = "comma", time_forma
     csv_rows(events, time_format, optional).write.option("sep", DELIMITERS[delimiter]).option("header", header).mode("overwrite").csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = "comma", mapping: dict[str, str] | None = None, skip_malformed: bool = True, columns: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = "comma", mapping: dict[str, str] | None = None, skip_malformed: bool = True, columns: list[str] | None = None, wide: bool = False) -> DataFrame:
     """Events of CSV files with a header (``mapping``: our names to theirs) or given ``columns``.
 
-    Rows that are too long, or whose id, place or time cannot be read, are dropped, or kept
-    with ``malformed`` set.
+    Rows of more than ``MAX_ROW`` characters, or whose ids, place or time cannot be read, are
+    dropped, or kept with ``malformed`` set.
     """
     names = columns or [*CSV_COLUMNS, *CSV_OPTIONAL, *CSV_FLAGS]
-    reader = spark.read.option("sep", DELIMITERS[delimiter]).option("maxCharsPerColumn", MAX_ROW).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    reader = spark.read.option("sep", DELIMITERS[delimiter]).option("maxCharsPerColumn", -1).option("mode", "PERMISSIVE").option("enforceSchema", False)
     if columns:
         raw = reader.option("header", False).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
     else:
@@ -58,35 +74,64 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = "comma", mapping:
     theirs = {n: (mapping or {}).get(n, n) for n in names}
     have = {n: F.col(f"`{t}`") for n, t in theirs.items() if t in raw.columns}
     get = lambda n, other="0": F.coalesce(have[n], F.lit(other)) if n in have else F.lit(other)
-    return _events(raw, get, skip_malformed)
+    size = sum((F.length(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in raw.columns), F.lit(max(0, len(raw.columns) - 1)))
+    return _events(raw, get, skip_malformed, wide, size > MAX_ROW)
 
 
-def _events(raw: DataFrame, get, skip_malformed: bool) -> DataFrame:
+def check_csv(spark: SparkSession, path: str, **how) -> DataFrame:
+    """A dry run of ``read_csv``: rows, and how many of them would come in or are malformed. Nothing is kept."""
+    rows = read_csv(spark, path, **(how | {"skip_malformed": False}))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("malformed")).alias("readable"), F.count_if("malformed").alias("malformed"))
+
+
+def import_csv(spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], batch_rows: int = 1_000_000, **how) -> int:
+    """Hand the events of CSV files to ``sink`` batch by batch; the number of batches.
+
+    Rows are dealt to batches of about ``batch_rows`` by the files and offsets they stand at,
+    which one written copy fixes; a batch that fails can be handed over again.
+    """
+    rows = keep(read_csv(spark, path, **how).withColumn("_at", F.monotonically_increasing_id()))
+    batches = -(-rows.count() // batch_rows)
+    for i in range(batches):
+        sink(rows.filter(F.pmod(F.xxhash64("_at"), F.lit(batches)) == i).drop("_at"), i)
+    return batches
+
+
+def _events(raw: DataFrame, get, skip_malformed: bool, wide: bool = False, too_long: Column | None = None) -> DataFrame:
+    """Text columns as events. ``too_long``: rows that are malformed by their size."""
+    read = wide_hex if wide else from_hex
+    none = F.lit("0" * 32) if wide else F.lit(0).cast("long")
+    names = {"event_id": "id", "entity_id": "entity_id", "correlation_id": "correlation_id", "user_data": "user_data"}
+    texts = {c: get(n, "") if c == "entity_id" else get(n) for c, n in names.items()}
+    unread = F.lit(False)
+    for t in texts.values():  # an id that is there but cannot be held is never cut
+        unread = unread | ((F.trim(t) != "") & read(t).isNull())
     nano = lambda n: F.round(get(n, "").try_cast("double") * 1e9).cast("long")
     whole = lambda n: F.coalesce(get(n).try_cast("long"), F.lit(0).cast("long"))
     measure = lambda n, unit: F.coalesce(F.round(get(n).try_cast("double") * unit).cast("long"), F.lit(0).cast("long"))
     bits = sum((F.when(F.lower(get(f"flag_{n}")).isin("1", "true"), 1 << b).otherwise(0) for n, b in FLAGS.items()), F.lit(0).cast("long"))
     out = raw.select(
-        from_hex(get("id")).alias("event_id"), from_hex(get("entity_id", "")).alias("entity_id"), F.coalesce(from_hex(get("correlation_id")), F.lit(0)).alias("correlation_id"),
-        F.coalesce(from_hex(get("user_data")), F.lit(0)).alias("user_data"), parse_time(get("timestamp_ns", "")).alias("ts_ns"), nano("latitude").alias("lat_nano"), nano("longitude").alias("lon_nano"),
+        F.coalesce(read(texts["event_id"]), none).alias("event_id"), read(texts["entity_id"]).alias("entity_id"), F.coalesce(read(texts["correlation_id"]), none).alias("correlation_id"),
+        F.coalesce(read(texts["user_data"]), none).alias("user_data"), parse_time(get("timestamp_ns", "")).alias("ts_ns"), nano("latitude").alias("lat_nano"), nano("longitude").alias("lon_nano"),
         whole("group_id").alias("group_id"), *[measure(name, unit).alias(c) for name, c, unit, _ in MEASURES if c != "heading_cdeg"],
-        measure("heading_deg", 100.0).alias("heading_cdeg"), whole("ttl_seconds").alias("ttl_seconds"), bits.alias("flags"),
+        measure("heading_deg", 100.0).alias("heading_cdeg"), whole("ttl_seconds").alias("ttl_seconds"), bits.alias("flags"), (unread | (F.lit(False) if too_long is None else too_long)).alias("_bad"),
     )
-    bad = F.col("entity_id").isNull() | F.col("lat_nano").isNull() | F.col("lon_nano").isNull() | F.col("ts_ns").isNull()
+    bad = F.col("_bad") | F.col("entity_id").isNull() | F.col("lat_nano").isNull() | F.col("lon_nano").isNull() | F.col("ts_ns").isNull()
     bad = bad | (F.abs("lat_nano") > 90 * NANO) | (F.abs("lon_nano") > 180 * NANO)
-    marked = out.withColumn("malformed", F.coalesce(bad, F.lit(True)))
+    marked = out.withColumn("malformed", F.coalesce(bad, F.lit(True))).drop("_bad")
     return marked.filter("NOT malformed").drop("malformed") if skip_malformed else marked
 
 
 # --- JSON ------------------------------------------------------------------------------
 
 
-def event_json(include_nulls: bool = False) -> Column:
-    """An event as a JSON object; optional fields that are 0 are left out."""
+def event_json(include_nulls: bool = False, wide: bool = False) -> Column:
+    """An event as a JSON object; optional fields that are 0 are left out. ``wide``: ids are 32 digits already."""
     e = F.col
-    some = lambda c, text: F.when(F.lit(include_nulls) | (e(c) != 0), text)
+    zero = lambda c: "0" * 32 if wide and c in ("correlation_id", "user_data") else 0
+    some = lambda c, text: F.when(F.lit(include_nulls) | (e(c) != zero(c)), text)
     pair = lambda k, v: F.concat(F.lit(f'"{k}":'), v)
-    quoted = lambda c: F.concat(F.lit('"'), hex32(e(c)), F.lit('"'))
+    quoted = lambda c: F.concat(F.lit('"'), _hexed(c, wide), F.lit('"'))
     flags = F.concat(F.lit("{"), F.concat_ws(",", *[pair(n, flag(n).cast("string")) for n in FLAGS]), F.lit("}"))
     parts = [
         pair("id", quoted("event_id")), pair("entity_id", quoted("entity_id")),
@@ -99,14 +144,14 @@ def event_json(include_nulls: bool = False) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def geojson_feature() -> Column:
+def geojson_feature(wide: bool = False) -> Column:
     """An event as a GeoJSON feature: a point [longitude, latitude], the rest as properties."""
     place = F.concat(F.lit("["), fixed(F.col("lon_nano") / F.lit(1e9), 9), F.lit(","), fixed(F.col("lat_nano") / F.lit(1e9), 9), F.lit("]"))
-    return F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":'), place, F.lit('},"properties":'), event_json(), F.lit("}"))
+    return F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":'), place, F.lit('},"properties":'), event_json(wide=wide), F.lit("}"))
 
 
 def write_ndjson(events: DataFrame, path: str) -> None:
-    events.select(event_json().alias("value")).write.mode("overwrite").text(path)
+    events.select(event_json(wide=_is_wide(events)).alias("value")).write.mode("overwrite").text(path)
 
 
 def documents(events: DataFrame, kind: str, shard_rows: int = 100_000, order: str = "event_id") -> DataFrame:
@@ -115,7 +160,8 @@ def documents(events: DataFrame, kind: str, shard_rows: int = 100_000, order: st
     A document needs its events together, so a data set becomes as many documents as bound
     one; each states its own count.
     """
-    body = event_json() if kind == "json" else geojson_feature()
+    wide = _is_wide(events)
+    body = event_json(wide=wide) if kind == "json" else geojson_feature(wide)
     parts = -(-max(1, events.count()) // shard_rows)
     rows = events.select(F.pmod(F.xxhash64(order), F.lit(parts)).alias("part"), F.struct(F.col(order), body.alias("body")).alias("e"))
     whole = rows.groupBy("part").agg(F.array_sort(F.collect_list("e")).alias("es"), F.count(F.lit(1)).alias("n"))
@@ -140,7 +186,7 @@ _EVENT = (
 _EVENT_STRUCT = "struct<" + ", ".join(f"{p.split()[0]}:{p.split(None, 1)[1]}" for p in _EVENT.rsplit(", flags", 1)[0].split(", ")) + ", flags:struct<" + ", ".join(f"{n}:boolean" for n in FLAGS) + ">>"
 
 
-def _from_struct(rows: DataFrame, skip_malformed: bool) -> DataFrame:
+def _from_struct(rows: DataFrame, skip_malformed: bool, wide: bool) -> DataFrame:
     """Rows with a struct column ``e`` of exported fields, as events."""
     named = {f"flag_{n}": F.col(f"e.flags.{n}").cast("string") for n in FLAGS}
 
@@ -151,17 +197,23 @@ def _from_struct(rows: DataFrame, skip_malformed: bool) -> DataFrame:
             return F.coalesce(F.col("e.timestamp_ns"), F.col("e.timestamp_ms") * 1_000_000).cast("string")
         return F.coalesce(F.col(f"e.{name}").cast("string"), F.lit(other))
 
-    return _events(rows, get, skip_malformed).drop("_")
+    return _events(rows, get, skip_malformed, wide)
 
 
-def read_ndjson(spark: SparkSession, path: str, skip_malformed: bool = True) -> DataFrame:
+def read_ndjson(spark: SparkSession, path: str, skip_malformed: bool = True, wide: bool = False) -> DataFrame:
     rows = spark.read.text(path).select(F.from_json("value", _EVENT_STRUCT).alias("e"))
-    return _from_struct(rows, skip_malformed)
+    return _from_struct(rows, skip_malformed, wide)
+
 
+def read_documents(spark: SparkSession, path: str, kind: str, skip_malformed: bool = True, wide: bool = False) -> DataFrame:
+    """Events of JSON or GeoJSON documents: a document a line, or one over the lines of a whole file.
 
-def read_documents(spark: SparkSession, path: str, kind: str, skip_malformed: bool = True) -> DataFrame:
-    """Events of JSON or GeoJSON documents, a document a line or a file."""
-    raw = spark.read.text(path)
+    A file is one task's, so documents should be of bounded size, as ``write_documents`` makes them.
+    """
+    files = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    each = F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
+    raw = files.select(F.explode(F.when(each, lines).otherwise(F.array("value"))).alias("value"))
     if kind == "json":
         rows = raw.select(F.explode(F.from_json("value", f"struct<events:array<{_EVENT_STRUCT}>>")["events"]).alias("e"))
     else:
@@ -169,4 +221,4 @@ def read_documents(spark: SparkSession, path: str, kind: str, skip_malformed: bo
         f = raw.select(F.explode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("f"))
         place = F.col("f.geometry.coordinates")
         rows = f.select(F.col("f.properties").withField("longitude", place[0]).withField("latitude", place[1]).alias("e"))
-    return _from_struct(rows, skip_malformed)
+    return _from_struct(rows, skip_malformed, wide)

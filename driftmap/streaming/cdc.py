@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..model import flag
 from ..sources.files import event_json
+from ..state import keep
 
+_ROW = (1 << 33) - 1  # the bits of a generated id that count the rows of a partition
 
 
 def changes(before: DataFrame, after: DataFrame, commit_ns: int) -> DataFrame:
@@ -27,13 +29,13 @@ def changes(before: DataFrame, after: DataFrame, commit_ns: int) -> DataFrame:
 def numbered(changed: DataFrame, first: int = 0) -> DataFrame:
     """Adds ``sequence``: dense numbers in order of time and entity, without a single sort task.
 
-    Rows are range-partitioned and numbered within each part; the parts' sizes, a row each,
-    give where every part begins.
+    Rows are range-partitioned, sorted and numbered within each part, and this is written
+    once; the sizes of the written parts, a row each, give where every part begins.
     """
-    parts = changed.repartitionByRange("ts_ns", "entity_id").withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy("ts_ns", "entity_id")
-    own = parts.withColumn("_at", F.row_number().over(w) - 1)
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = changed.repartitionByRange("ts_ns", "entity_id").sortWithinPartitions("ts_ns", "entity_id")
+    held = keep(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    own = held.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit(_ROW))}).drop("_id")
+    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = own.join(F.broadcast(starts.select("_part", "_start")), "_part")  # a row a partition
     return joined.withColumn("sequence", F.lit(first) + F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
