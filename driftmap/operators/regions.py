@@ -52,11 +52,14 @@ def route(events: DataFrame, strategy: str, regions: list[Region], explicit: dic
 # --- shards ----------------------------------------------------------------------------
 
 VNODES = 150
+# The published constants of the finaliser and of jump hashing.
+FINALISER = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+JUMP_STEP = 2862933555777941757
 
 
 def finalise(x: np.ndarray) -> np.ndarray:
-    """The 64-bit finaliser of MurmurHash3 (fixed constants)."""
-    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+    """The 64-bit finaliser of MurmurHash3."""
+    for c in FINALISER:
         x = (x ^ (x >> np.uint64(33))) * np.uint64(c)
     return x ^ (x >> np.uint64(33))
 
@@ -71,7 +74,7 @@ def jump(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Jump consistent hash, over whole arrays; a key leaves the loop when it has landed."""
     k = np.asarray(keys, np.uint64).copy()
     b, j = np.full(len(k), -1, np.int64), np.zeros(len(k), np.int64)
-    step = np.uint64(2862933555777941757)  # fixed value: the published generator's multiplier
+    step = np.uint64(JUMP_STEP)
     while (go := j < buckets).any():
         b[go] = j[go]
         k[go] = k[go] * step + np.uint64(1)

@@ -5,6 +5,8 @@ Each takes (spark, sf_dir) and covers its whole table; SQL gives the same rows i
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from .operators import bulk, cliffs, incremental, minimize, reads, regions, tran
 from .operators.latest import latest, live, scatter_merge, status
 from .plans.engine import Engine, Query
 from .sources import files
+from .state import shared_dir
 from .streaming import cdc
 
 #: Time of all queries: 2024-01-31 00:00 UTC. No query reads a clock.
@@ -52,10 +55,64 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(geo_events(spark, sf_dir))
 
 
+def _cell_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir).withColumn("cell_key", s2.cell_key(F.col("lat_nano"), F.col("lon_nano")))
+
+
+def _cells_sql() -> str:
+    """Level-30 cells of g in plain SQL: unit vector, face, position on it, then 30 steps along the curve."""
+    table = lambda t: "[" + ", ".join(str(int(x)) for x in t.ravel()) + "]"
+    steps = "SELECT event_id, face, i, j, 0::HUGEINT AS pos, face % 2 AS turn FROM ij"
+    for k in range(s2.LEVELS - 1, -1, -1):
+        q = f"turn * 4 + ((i >> {k}) & 1) * 2 + ((j >> {k}) & 1) + 1"
+        steps = f"SELECT event_id, face, i, j, pos * 4 + p AS pos, xor(turn, list_extract({table(s2.POS_TURN)}, p + 1)) AS turn FROM (SELECT *, list_extract({table(s2.IJ_TO_POS)}, {q}) AS p FROM ({steps}))"
+    st = lambda w: f"CASE WHEN {w} >= 0 THEN 0.5 * sqrt(1 + 3 * abs({w})) ELSE 1 - 0.5 * sqrt(1 + 3 * abs({w})) END"
+    ij = lambda w: f"CAST(least(greatest(floor(({st(w)}) * {s2.SIZE}), 0), {s2.SIZE - 1}) AS BIGINT)"
+    pick = lambda *v: "CASE face " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(v)) + " END / major"
+    return f"""ll AS (SELECT event_id, lat_nano / 1e9::DOUBLE * {math.pi / 180!r} AS phi, CASE WHEN lon_nano >= 180000000000 THEN 179999999999 ELSE lon_nano END / 1e9::DOUBLE * {math.pi / 180!r} AS theta FROM g),
+  xyz AS (SELECT event_id, cos(phi) * cos(theta) AS x, cos(phi) * sin(theta) AS y, sin(phi) AS z FROM ll),
+  ax AS (SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN 0 WHEN abs(y) >= abs(z) THEN 1 ELSE 2 END AS axis FROM xyz),
+  f AS (SELECT *, list_extract([x, y, z], axis + 1) AS major, axis + CASE WHEN list_extract([x, y, z], axis + 1) < 0 THEN 3 ELSE 0 END AS face FROM ax),
+  uv AS (SELECT event_id, face, {pick("y", "-x", "-x", "z", "z", "-y")} AS u, {pick("z", "z", "-y", "y", "-x", "-x")} AS v FROM f),
+  ij AS (SELECT event_id, face, {ij("u")} AS i, {ij("v")} AS j FROM uv),
+  cells AS (SELECT event_id, CAST(face::HUGEINT * {1 << 61} + pos * 2 + 1 - 9223372036854775808 AS BIGINT) AS cell_key FROM ({steps}))"""
+
+
 def _circle(radius_mm: int) -> str:
     return f"floor({geo.haversine_sql(str(CENTRE[0]), str(CENTRE[1]), 'lat_nano', 'lon_nano')}) <= {radius_mm}"
 
 
+_CELLS = f"{_L}, {_cells_sql()}"
+
+
+def _mixed_sql(name: str, source: str, columns: str, low: str, high: str) -> str:
+    """CTEs that end in ``name``: the shard key of 128-bit ids given as two halves, modulo 2^64."""
+    out, at = [], f"{name}_0"
+    out.append(f"{at} AS (SELECT {columns}, ({low})::HUGEINT AS a, ({high})::HUGEINT AS b FROM {source})")
+    wrap = lambda x, c: f"((({x} >> 32) * {c} % 4294967296) * 4294967296 + ({x} & 4294967295) * {c}) % 18446744073709551616"
+    for k, c in enumerate(regions.FINALISER, 1):
+        out.append(f"{name}_{k}x AS (SELECT * REPLACE (xor(a, a >> 33) AS a, xor(b, b >> 33) AS b) FROM {at})")
+        out.append(f"{name}_{k} AS (SELECT * REPLACE ({wrap('a', c)} AS a, {wrap('b', c)} AS b) FROM {name}_{k}x)")
+        at = f"{name}_{k}"
+    keep_ = ", ".join(x.split(" AS ")[-1].strip() for x in columns.split(","))
+    out.append(f"{name} AS (SELECT {keep_}, xor(xor(a, a >> 33), xor(b, b >> 33)) AS key FROM {at})")
+    return ", ".join(out)
+
+
+def _shards_sql() -> str:
+    """Entities' keys, their places by jump hash for 8 and 16 shards, and the ring of 16 shards."""
+    jump = lambda n: f"""k{n}(entity_id, key, b, j) AS (SELECT entity_id, key, -1::BIGINT, 0::BIGINT FROM keys UNION ALL
+      SELECT entity_id, key2, j, CAST(trunc((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((key2 >> 33) + 1)::DOUBLE)) AS BIGINT) FROM (
+        SELECT *, (((key >> 32) * {regions.JUMP_STEP} % 4294967296) * 4294967296 + (key & 4294967295) * {regions.JUMP_STEP} + 1) % 18446744073709551616 AS key2 FROM k{n} WHERE j < {n}))"""
+    return (
+        f"{_G.replace('WITH', 'WITH RECURSIVE', 1)}, ids AS (SELECT DISTINCT entity_id FROM g), {_mixed_sql('keys', 'ids', 'entity_id', 'entity_id', '0')}, {jump(8)}, {jump(16)}, "
+        f"jumped AS (SELECT x.entity_id, x.b AS j8, y.b AS j16 FROM (SELECT entity_id, max(b) AS b FROM k8 GROUP BY 1) x JOIN (SELECT entity_id, max(b) AS b FROM k16 GROUP BY 1) y USING (entity_id)), "
+        f"nodes AS (SELECT s AS shard, n AS node FROM range(16) t(s), range({regions.VNODES}) u(n)), {_mixed_sql('points', 'nodes', 'shard, node', 'node', 'shard')}, ring AS (SELECT key AS spot, min(shard) AS shard FROM points GROUP BY key)"
+    )
+
+
+_SHARDS = _shards_sql()
+
 # --- reads -----------------------------------------------------------------------------
 
 
@@ -90,7 +147,7 @@ def _(spark, d):
 
 
 def _radius(radius_mm: int):
-    return lambda spark, d: reads.query_radius(_state(spark, d), *CENTRE, radius_mm, AS_OF, limit=reads.MAX_LIMIT).df
+    return lambda spark, d: reads.query_radius(_state(spark, d), *CENTRE, radius_mm, AS_OF, limit=None).df
 
 
 for _km in (1, 10, 60, 100):
@@ -99,12 +156,26 @@ for _km in (1, 10, 60, 100):
 
 @query("query_radius_filters", f"{_L} SELECT * FROM live WHERE {_circle(90_000_000)} AND ts_ns >= {AS_OF - 5 * 86400 * NANO} AND ts_ns <= {AS_OF - 86400 * NANO} AND group_id = 3")
 def _(spark, d):
-    return reads.query_radius(_state(spark, d), *CENTRE, 90_000_000, AS_OF, reads.MAX_LIMIT, AS_OF - 5 * 86400 * NANO, AS_OF - 86400 * NANO, 3).df
+    return reads.query_radius(_state(spark, d), *CENTRE, 90_000_000, AS_OF, None, AS_OF - 5 * 86400 * NANO, AS_OF - 86400 * NANO, 3).df
+
+
+@query("query_radius_limit", f"{_CELLS} SELECT live.*, cell_key FROM live JOIN cells ON cells.event_id = live.event_id WHERE {_circle(80_000_000)} ORDER BY cell_key, entity_id LIMIT 7")
+def _(spark, d):
+    return reads.query_radius(_cell_state(spark, d), *CENTRE, 80_000_000, AS_OF, limit=7).df
 
 
-@query("query_radius_limit", f"{_L} SELECT * FROM live WHERE {_circle(80_000_000)} ORDER BY lat_nano, entity_id LIMIT 7")
+@query("query_radius_limit_near", f"{_L} SELECT * FROM live WHERE {_circle(9_000_000)} ORDER BY lat_nano, entity_id LIMIT 3")
 def _(spark, d):
-    return reads.query_radius(_state(spark, d), *CENTRE, 80_000_000, AS_OF, limit=7).df
+    return reads.query_radius(_state(spark, d), *CENTRE, 9_000_000, AS_OF, limit=3).df
+
+
+@query("query_radius_laid_out", f"{_L} SELECT * FROM live WHERE {_circle(30_000_000)}")
+def _(spark, d):
+    """Over a state kept on disk in order of cells: ranges and box reach the scan."""
+    path = f"{shared_dir(spark).rstrip('/')}/driftmap-state-{uuid.uuid4().hex}"
+    writes.layout(_cell_state(spark, d), path, max(1, spark.sparkContext.defaultParallelism))
+    state = spark.read.parquet(path)
+    return reads.query_radius(state, *CENTRE, 30_000_000, AS_OF, limit=None).df.drop("cell_key")
 
 
 @query("query_radius_page", f"{_L} SELECT * FROM live WHERE {_circle(80_000_000)} AND lat_nano > 39900000000 ORDER BY lat_nano, entity_id LIMIT 5")
@@ -114,12 +185,12 @@ def _(spark, d):
 
 @query("query_radius_index", f"{_L} SELECT * REPLACE (0 AS correlation_id, 0 AS user_data, 0 AS altitude_mm, 0 AS velocity_mms, 0 AS accuracy_mm, 0 AS heading_cdeg, 0 AS flags) FROM live WHERE {_circle(60_000_000)}")
 def _(spark, d):
-    return reads.query_radius(_state(spark, d), *CENTRE, 60_000_000, AS_OF, limit=reads.MAX_LIMIT, projection="index").df
+    return reads.query_radius(_state(spark, d), *CENTRE, 60_000_000, AS_OF, limit=None, projection="index").df
 
 
 @query("query_radius_reference", f"{_L} SELECT * FROM live WHERE {_circle(60_000_000)} AND lat_nano BETWEEN {CENTRE[0] - int(60_000_000 * NANO / geo.BOX_MM_PER_DEGREE)} AND {CENTRE[0] + int(60_000_000 * NANO / geo.BOX_MM_PER_DEGREE)}")
 def _(spark, d):
-    return reads.query_radius(_state(spark, d), *CENTRE, 60_000_000, AS_OF, limit=reads.MAX_LIMIT, semantics="reference").df
+    return reads.query_radius(_state(spark, d), *CENTRE, 60_000_000, AS_OF, limit=None, semantics="reference").df
 
 
 @query("radius_over_log", f"{_G} SELECT * FROM g WHERE {_circle(60_000_000)}")
@@ -140,17 +211,17 @@ def _many(n: int) -> list[geo.Vertex]:
 
 @query("query_polygon", f"{_L} SELECT * FROM live WHERE {geo.in_ring_sql(RING)}")
 def _(spark, d):
-    return reads.query_polygon(_state(spark, d), geo.Polygon.of(RING), AS_OF, reads.MAX_LIMIT).df
+    return reads.query_polygon(_state(spark, d), geo.Polygon.of(RING), AS_OF, None).df
 
 
 @query("query_polygon_holes", f"{_L} SELECT * FROM live WHERE {geo.in_ring_sql(RING)} AND NOT {geo.in_ring_sql(HOLE)}")
 def _(spark, d):
-    return reads.query_polygon(_state(spark, d), geo.Polygon.of(RING, [HOLE]), AS_OF, reads.MAX_LIMIT).df
+    return reads.query_polygon(_state(spark, d), geo.Polygon.of(RING, [HOLE]), AS_OF, None).df
 
 
 @query("query_polygon_64", f"{_L} SELECT * FROM live WHERE {geo.in_ring_sql(_many(64))}")
 def _(spark, d):
-    return reads.query_polygon(_state(spark, d), geo.Polygon.of(_many(64)), AS_OF, reads.MAX_LIMIT).df
+    return reads.query_polygon(_state(spark, d), geo.Polygon.of(_many(64)), AS_OF, None).df
 
 
 @query("polygon_over_log_200", f"{_G} SELECT * FROM g WHERE {geo.in_ring_sql(_many(200))}")
@@ -160,7 +231,7 @@ def _(spark, d):
 
 @query("query_polygon_filters", f"{_L} SELECT * FROM live WHERE {geo.in_ring_sql(RING)} AND group_id = 5 AND ts_ns >= {AS_OF - 10 * 86400 * NANO}")
 def _(spark, d):
-    return reads.query_polygon(_state(spark, d), geo.Polygon.of(RING), AS_OF, reads.MAX_LIMIT, AS_OF - 10 * 86400 * NANO, 0, 5).df
+    return reads.query_polygon(_state(spark, d), geo.Polygon.of(RING), AS_OF, None, AS_OF - 10 * 86400 * NANO, 0, 5).df
 
 
 @query("query_latest", f"{_L} SELECT * FROM live ORDER BY ts_ns DESC, event_id DESC LIMIT 25")
@@ -179,9 +250,9 @@ def _(spark, d):
     ring = [(a / NANO, b / NANO) for a, b in RING]
     asked = [
         Query("uuid", {"entity_id": 11}),
-        Query("radius", {"latitude": 40.0, "longitude": -74.0, "radius_m": 40_000, "limit": reads.MAX_LIMIT}),
+        Query("radius", {"latitude": 40.0, "longitude": -74.0, "radius_m": 40_000, "limit": None}),
         Query("radius", {"latitude": 40.0, "longitude": -74.0, "radius_m": -1}),
-        Query("polygon", {"vertices": ring, "limit": reads.MAX_LIMIT}),
+        Query("polygon", {"vertices": ring, "limit": None}),
         Query("latest", {"limit": 3}),
     ]
     return e.batch(asked, AS_OF)[0]
@@ -292,7 +363,7 @@ def _(spark, d):
     return geo_events(spark, d).select("event_id", e.alias("e")).select("event_id", "e.result", "e.new_ttl")
 
 
-@query("s2_cells")
+@query("s2_cells", f"{_CELLS} SELECT event_id, cell_key, CAST((cell_key::HUGEINT + 9223372036854775808) // {1 << 41} * {1 << 41} + {1 << 40} - 9223372036854775808 AS BIGINT) AS parent_10 FROM cells")
 def _(spark, d):
     g = geo_events(spark, d).withColumn("cell_key", s2.cell_key(F.col("lat_nano"), F.col("lon_nano")))
     return g.select("event_id", "cell_key", s2.parent_key(F.col("cell_key"), 10).alias("parent_10"))
@@ -301,25 +372,30 @@ def _(spark, d):
 @query("query_radius_cells", f"{_L} SELECT event_id, entity_id, lat_nano, lon_nano FROM live WHERE {_circle(25_000_000)}")
 def _(spark, d):
     g = _state(spark, d).withColumn("cell_key", s2.cell_key(F.col("lat_nano"), F.col("lon_nano")))
-    return reads.query_radius(g, *CENTRE, 25_000_000, AS_OF, reads.MAX_LIMIT).df.select("event_id", "entity_id", "lat_nano", "lon_nano")
+    return reads.query_radius(g, *CENTRE, 25_000_000, AS_OF, None).df.select("event_id", "entity_id", "lat_nano", "lon_nano")
 
 
-@query("shard_keys")
+@query("shard_keys", f"{_SHARDS}, r AS (SELECT k.entity_id, coalesce(min(p.spot), (SELECT min(spot) FROM ring)) AS spot FROM keys k LEFT JOIN ring p ON p.spot >= k.key GROUP BY k.entity_id) SELECT k.entity_id, CAST(k.key % 16 AS BIGINT) AS modulo, j16 AS jump, CAST(ring.shard AS BIGINT) AS ring FROM keys k JOIN jumped USING (entity_id) JOIN r USING (entity_id) JOIN ring ON ring.spot = r.spot")
 def _(spark, d):
     ids = geo_events(spark, d).select("entity_id").distinct()
     return ids.select("entity_id", *[regions.shard(F.col("entity_id"), 16, s).alias(s) for s in ("modulo", "jump", "ring")])
 
 
-@query("shard_statistics")
+@query("shard_statistics", f"{_SHARDS}, n AS (SELECT i, coalesce(sum(c), 0) AS n FROM range(16) t(i) LEFT JOIN (SELECT j16, count(*) AS c FROM g JOIN jumped USING (entity_id) GROUP BY j16) ON j16 = i GROUP BY i) SELECT CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation, round(max(n) / avg(n), 6) AS imbalance FROM n")
 def _(spark, d):
     return regions.shard_statistics(geo_events(spark, d), 16)
 
 
-@query("resharding_plan")
+@query("resharding_plan", f"{_SHARDS} SELECT j8 AS source, j16 AS target, count(DISTINCT entity_id) AS entities, count(*) AS n_rows FROM g JOIN jumped USING (entity_id) WHERE j8 <> j16 GROUP BY ALL")
 def _(spark, d):
     return regions.moved(geo_events(spark, d), 8, 16)
 
 
+@query("migration_batches", f"{_SHARDS} SELECT entity_id, j8 AS source, j16 AS target, count(*) AS n_rows FROM g JOIN jumped USING (entity_id) WHERE j8 <> j16 GROUP BY ALL")
+def _(spark, d):
+    return regions.migration_batches(geo_events(spark, d), 8, 16, 10).drop("batch")
+
+
 _FAR = [geo.haversine_sql("lat_nano", "lon_nano", str(a), str(b)) for _, a, b in REGIONS]
 
 
@@ -328,7 +404,15 @@ def _(spark, d):
     return regions.nearest_region(geo_events(spark, d), REGIONS).select("event_id", "region_id", "region_m")
 
 
-@query("tiers")
+@query("tiers", f"""{_G.replace("WITH", "WITH RECURSIVE", 1)}, a AS (SELECT entity_id, ts_ns AS t, row_number() OVER (PARTITION BY entity_id ORDER BY ts_ns) AS n FROM g),
+  w(entity_id, n, tier, start, k, last, ups) AS (SELECT entity_id, n, 0, t, 1, t, 0 FROM a WHERE n = 1 UNION ALL
+    SELECT entity_id, n, CASE WHEN up THEN now - 1 ELSE now END, CASE WHEN reset THEN t ELSE start END, CASE WHEN up THEN 0 ELSE k END, t, ups + CASE WHEN up THEN 1 ELSE 0 END
+    FROM (SELECT *, (now = 2 AND k >= 3) OR (now = 1 AND k >= 10) AS up FROM (SELECT *, CASE WHEN reset THEN 1 ELSE k0 + 1 END AS k FROM (
+      SELECT *, now = 2 AND tier < 2 OR t - start > {3600 * NANO} AS reset FROM (
+        SELECT w.entity_id, a.n, a.t, w.start, w.k AS k0, w.ups, w.tier, CASE WHEN w.tier <= 1 AND a.t - w.last >= {86400 * NANO} THEN 2 WHEN w.tier = 0 AND a.t - w.last >= {3600 * NANO} THEN 1 ELSE w.tier END AS now
+        FROM w JOIN a ON a.entity_id = w.entity_id AND a.n = w.n + 1))))),
+  e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC) AS _r FROM w) WHERE _r = 1)
+  SELECT entity_id, CASE WHEN tier <= 1 AND {AS_OF} - last >= {86400 * NANO} THEN 'cold' WHEN tier = 0 AND {AS_OF} - last >= {3600 * NANO} THEN 'warm' ELSE list_extract(['hot', 'warm', 'cold'], tier + 1) END AS tier, last AS last_access_ns, CAST(ups AS BIGINT) AS promotions FROM e""")
 def _(spark, d):
     return regions.tiers(geo_events(spark, d).select("entity_id", "ts_ns"), AS_OF)
 
@@ -391,16 +475,27 @@ def _(spark, d):
     return writes.insert_events(state, ops.drop("op"), AS_OF)[0]
 
 
-@query("delete_entities", f"{_L}, ids AS (SELECT i AS seq, CASE WHEN i = 3 THEN {ENTITY_ID_MAX} ELSE (i * 7) % 900 END AS entity_id FROM range(300) t(i)) SELECT seq, ids.entity_id, CASE WHEN ids.entity_id = 0 THEN 2 WHEN ids.entity_id = {ENTITY_ID_MAX} THEN 4 WHEN latest.entity_id IS NULL OR (latest.flags & 32) <> 0 OR row_number() OVER (PARTITION BY ids.entity_id ORDER BY seq) > 1 THEN 3 ELSE 0 END AS code FROM ids LEFT JOIN latest ON latest.entity_id = ids.entity_id")
+#: Requests for every entity of the table, some twice, an unknown one and a reserved one.
+_ASKED = f"SELECT DISTINCT entity_id, 0 AS again FROM {{0}} UNION ALL SELECT DISTINCT entity_id, 1 AS again FROM {{0}} WHERE entity_id % 3 = 0 UNION ALL SELECT {2**62}, 0 UNION ALL SELECT {ENTITY_ID_MAX}, 0"
+
+
+@query("delete_entities", f"{_L}, ids AS (SELECT entity_id, CASE WHEN entity_id >= {2**62} THEN entity_id % 10 - 10 ELSE entity_id * 2 + again END AS seq FROM ({_ASKED.format('g')})) SELECT seq, ids.entity_id, CASE WHEN ids.entity_id = 0 THEN 2 WHEN ids.entity_id = {ENTITY_ID_MAX} THEN 4 WHEN latest.entity_id IS NULL OR (latest.flags & 32) <> 0 OR row_number() OVER (PARTITION BY ids.entity_id ORDER BY seq) > 1 THEN 3 ELSE 0 END AS code FROM ids LEFT JOIN latest ON latest.entity_id = ids.entity_id")
 def _(spark, d):
-    ids = spark.range(300).selectExpr("id AS seq", f"CASE WHEN id = 3 THEN {ENTITY_ID_MAX} ELSE (id * 7) % 900 END AS entity_id")
+    geo_events(spark, d).createOrReplaceTempView("driftmap_g")
+    ids = spark.sql(_ASKED.format("driftmap_g")).selectExpr("entity_id", f"CASE WHEN entity_id >= {2**62} THEN entity_id % 10 - 10 ELSE entity_id * 2 + again END AS seq")
     return writes.delete_entities(_state(spark, d), ids, AS_OF)[0]
 
 
-_TTL = "{0}, asked AS (SELECT i AS entity_id, i * 1000 AS seconds FROM range(1, 400) t(i)) SELECT asked.entity_id, CASE WHEN l.entity_id IS NULL THEN 1 ELSE 0 END AS code, l.ttl_seconds AS previous_ttl, CASE WHEN l.entity_id IS NOT NULL THEN {1} END AS new_ttl FROM asked LEFT JOIN (SELECT * FROM latest WHERE (flags & 32) = 0) l ON l.entity_id = asked.entity_id"
+def _each(spark: SparkSession, d: str) -> DataFrame:
+    """A request for every entity of the table, and for an unknown one."""
+    own = geo_events(spark, d).select("entity_id").distinct().selectExpr("entity_id", "entity_id * 1000 AS seconds")
+    return own.unionByName(spark.createDataFrame([(2**62, 5)], "entity_id bigint, seconds bigint"))
+
+
+_TTL = "{0}, asked AS (SELECT DISTINCT entity_id, entity_id * 1000 AS seconds FROM g UNION ALL SELECT 4611686018427387904, 5) SELECT asked.entity_id, CASE WHEN l.entity_id IS NULL THEN 1 ELSE 0 END AS code, l.ttl_seconds AS previous_ttl, CASE WHEN l.entity_id IS NOT NULL THEN {1} END AS new_ttl FROM asked LEFT JOIN (SELECT * FROM latest WHERE (flags & 32) = 0) l ON l.entity_id = asked.entity_id"
 for _how, _new in (("set", "asked.seconds"), ("extend", "least(l.ttl_seconds + asked.seconds, 4294967295)"), ("clear", "0")):
     query(f"ttl_{_how}", _TTL.format(_L, _new))(
-        lambda spark, d, how=_how: writes.change_ttl(_state(spark, d), spark.range(1, 400).selectExpr("id AS entity_id", "id * 1000 AS seconds"), how)
+        lambda spark, d, how=_how: writes.change_ttl(_state(spark, d), _each(spark, d), how)
     )
 
 
@@ -482,18 +577,21 @@ def _(spark, d):
     return validation.profile(geo_events(spark, d))
 
 
-#: A source: the newest events, some moved; the target: the log without its last week.
+#: The last sync; the target has most entities' events up to four days after it, the source all
+#: events from two days before it, some moved, and all of every seventh entity: together all events.
 _SYNC = AS_OF - 8 * 86400 * NANO
+_SOURCE = f"(ts_ns >= {_SYNC - 2 * 86400 * NANO} OR entity_id % 7 = 3)"
+_TARGET = f"(ts_ns < {_SYNC + 4 * 86400 * NANO} AND entity_id % 7 <> 3)"
 
 
 def _load(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     g = geo_events(spark, d)
-    source = g.filter("event_id % 3 = 0").withColumn("altitude_mm", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("altitude_mm")))
-    return source, g.filter("event_id % 4 <> 1")
+    source = g.filter(_SOURCE).withColumn("altitude_mm", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("altitude_mm")))
+    return source, g.filter(_TARGET)
 
 
-_INC = f"""{_G}, s AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 0 ELSE altitude_mm END AS altitude_mm) FROM g WHERE event_id % 3 = 0 AND ts_ns >= {_SYNC}),
-  t AS (SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) AS _r FROM g WHERE event_id % 4 <> 1) WHERE _r = 1),
+_INC = f"""{_G}, s AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 0 ELSE altitude_mm END AS altitude_mm) FROM g WHERE {_SOURCE} AND ts_ns >= {_SYNC}),
+  t AS (SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) AS _r FROM g WHERE {_TARGET}) WHERE _r = 1),
   j AS (SELECT s.*, t.entity_id IS NULL AS fresh, t.entity_id IS NOT NULL AND t.ts_ns > {_SYNC} AND s.ts_ns > {_SYNC} AS conflict,
     {" OR ".join(f"s.{c} IS DISTINCT FROM t.{c}" for c in incremental.COMPARED)} AS differs, {", ".join(f"t.{c} AS t_{c}" for c in COLUMNS)} FROM s LEFT JOIN t ON t.entity_id = s.entity_id)"""
 
@@ -523,13 +621,13 @@ for _policy, _p in _PICK.items():
 
 @query("incremental_load", f"""{_INC}, w AS (SELECT entity_id, CASE WHEN conflict AND ts_ns < t_ts_ns THEN t_event_id ELSE event_id END AS event_id, ts_ns FROM j WHERE fresh OR differs),
   x AS (SELECT entity_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_ns DESC, event_id DESC) AS _r FROM w) WHERE _r = 1)
-  SELECT entity_id, event_id FROM (SELECT * FROM ({_LATEST.format("(SELECT * FROM g WHERE event_id % 4 <> 1)")})) l WHERE entity_id NOT IN (SELECT entity_id FROM x) UNION ALL BY NAME SELECT entity_id, event_id FROM x""")
+  SELECT entity_id, event_id FROM (SELECT * FROM ({_LATEST.format(f"(SELECT * FROM g WHERE {_TARGET})")})) l WHERE entity_id NOT IN (SELECT entity_id FROM x) UNION ALL BY NAME SELECT entity_id, event_id FROM x""")
 def _(spark, d):
     source, target = _load(spark, d)
     return incremental.load(latest(target), incremental.changes(source, target, _SYNC)).select("entity_id", "event_id")
 
 
-@query("incremental_statistics", f"{_INC} SELECT count(*) FILTER (fresh) AS inserts, count(*) FILTER (NOT fresh AND differs) AS updates, 0 AS conflicts, count(*) FILTER ((fresh OR differs) AND conflict) AS had_conflict, (SELECT count(*) FROM g WHERE event_id % 3 = 0) AS source_events, (SELECT max(ts_ns) FROM g WHERE event_id % 3 = 0) AS checkpoint_ns FROM j")
+@query("incremental_statistics", f"{_INC} SELECT count(*) FILTER (fresh) AS inserts, count(*) FILTER (NOT fresh AND differs) AS updates, 0 AS conflicts, count(*) FILTER ((fresh OR differs) AND conflict) AS had_conflict, (SELECT count(*) FROM g WHERE {_SOURCE}) AS source_events, (SELECT max(ts_ns) FROM g WHERE {_SOURCE}) AS checkpoint_ns FROM j")
 def _(spark, d):
     source, target = _load(spark, d)
     return incremental.statistics(incremental.changes(source, target, _SYNC), source)
@@ -656,7 +754,11 @@ def _(spark, d):
     return cdc.changes(latest(g.filter(F.col("ts_ns") < _SYNC)), latest(g), AS_OF).select("change_type", "entity_id", "event_id")
 
 
-@query("change_envelopes")
+@query("change_envelopes", f"""{_G}, a AS ({_LATEST.format(f"(SELECT * FROM g WHERE ts_ns < {_SYNC})")}), b AS ({_LATEST.format("g")}),
+  c AS (SELECT CASE WHEN a.entity_id IS NULL THEN 'INSERT' WHEN b.entity_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change_type, {", ".join(f"coalesce(b.{c}, a.{c}) AS {c}" for c in COLUMNS)}
+    FROM (SELECT * FROM a WHERE (flags & 32) = 0) a FULL JOIN (SELECT * FROM b WHERE (flags & 32) = 0) b ON a.entity_id = b.entity_id WHERE a.event_id IS DISTINCT FROM b.event_id),
+  n AS (SELECT *, row_number() OVER (ORDER BY ts_ns, entity_id) AS sequence FROM c)
+  SELECT sequence, 'geo.events.' || lower(change_type) AS routing_key, '{{"sequence":' || sequence || ',"commit_timestamp":{AS_OF},"change_type":"' || change_type || '","event":' || {_JSON} || '}}' AS document FROM n""")
 def _(spark, d):
     g = geo_events(spark, d)
     return cdc.envelopes(cdc.numbered(cdc.changes(latest(g.filter(F.col("ts_ns") < _SYNC)), latest(g), AS_OF), 1))

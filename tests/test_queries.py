@@ -45,6 +45,20 @@ def test_no_python_in_core_plans(spark):
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan, name
 
 
+def test_a_laid_out_state_is_read_in_parts(spark, tmp_path):
+    from driftmap.operators import reads, writes
+
+    state = queries._cell_state(spark, SF)
+    writes.layout(state, str(tmp_path / "s"), 4)
+    found = reads.query_radius(spark.read.parquet(str(tmp_path / "s")), *queries.CENTRE, 30_000_000, queries.AS_OF, limit=None).df
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(cell_key" in pushed and "GreaterThanOrEqual(lat_nano" in pushed and "Exchange" not in plan and "Window" not in plan
+    assert reads.query_radius(state, *queries.CENTRE, 30_000_000, queries.AS_OF).has_more is False
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     from driftmap.model import geo_events
     from driftmap.operators.reads import radius_filter
