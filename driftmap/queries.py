@@ -541,7 +541,31 @@ def _(spark, d):
     return transforms.Pipeline((S("filter", ("velocity", "gt", 10), True), S("filter", ("heading", "lt", 300))), continue_on_error=False).statistics(geo_events(spark, d))
 
 
-@query("transform_coordinates")
+def _offset_sql(lat: str, lon: str) -> tuple[str, str]:
+    """The shifted latitude and longitude of the Chinese datum, in degrees, as SQL text."""
+    pi, (south, top, west, right) = math.pi, geo.CHINA
+    x, y = f"({lon} - 105.0::DOUBLE)", f"({lat} - 35.0::DOUBLE)"
+    num = lambda v: f"{v!r}::DOUBLE"
+    waves = lambda v, *terms: "((" + " + ".join(f"{num(a)} * sin({v} * {num(f * pi)})" for a, f in terms) + ") * 2.0::DOUBLE / 3.0::DOUBLE)"
+    common, root = waves(x, (20.0, 6.0), (20.0, 2.0)), f"sqrt(abs({x}))"
+    north = f"(-100.0::DOUBLE + 2.0::DOUBLE * {x} + 3.0::DOUBLE * {y} + 0.2::DOUBLE * {y} * {y} + 0.1::DOUBLE * {x} * {y} + 0.2::DOUBLE * {root} + {common} + {waves(y, (20.0, 1.0), (40.0, 1 / 3))} + {waves(y, (160.0, 1 / 12), (320.0, 1 / 30))})"
+    east = f"(300.0::DOUBLE + {x} + 2.0::DOUBLE * {y} + 0.1::DOUBLE * {x} * {x} + 0.1::DOUBLE * {x} * {y} + 0.1::DOUBLE * {root} + {common} + {waves(x, (20.0, 1.0), (40.0, 1 / 3))} + {waves(x, (150.0, 1 / 12), (300.0, 1 / 30))})"
+    phi = f"({lat} * {num(pi)} / 180)"
+    magic = f"(1 - {num(geo.GCJ_EE)} * sin({phi}) * sin({phi}))"
+    inside = f"{lon} > {west}::DOUBLE AND {lon} < {right}::DOUBLE AND {lat} > {south}::DOUBLE AND {lat} < {top}::DOUBLE"
+    d_lat = f"{north} * 180.0::DOUBLE / ({num(geo.GCJ_A * (1 - geo.GCJ_EE))} / ({magic} * sqrt({magic})) * {num(pi)})"
+    d_lon = f"{east} * 180.0::DOUBLE / ({num(geo.GCJ_A)} / sqrt({magic}) * cos({phi}) * {num(pi)})"
+    return f"CASE WHEN {inside} THEN {lat} + {d_lat} ELSE {lat} END", f"CASE WHEN {inside} THEN {lon} + {d_lon} ELSE {lon} END"
+
+
+_MOVED = _offset_sql("lat", "lon")
+
+
+@query("transform_coordinates", f"""{_G}, a AS (SELECT event_id, (lat_nano - 9000000000) / 1e9::DOUBLE AS lat, (lon_nano + 190000000000) / 1e9::DOUBLE AS lon FROM g),
+  b AS (SELECT event_id, CAST(trunc(({_MOVED[0]}) * 1e9::DOUBLE) AS BIGINT) AS la, CAST(trunc(({_MOVED[1]}) * 1e9::DOUBLE) AS BIGINT) AS lo FROM a),
+  c AS (SELECT event_id, la, lo, la / 1e9::DOUBLE AS lat, lo / 1e9::DOUBLE AS lon FROM b),
+  e AS (SELECT event_id, la, lo, CAST(trunc((lat * 2 - ({_MOVED[0]})) * 1e9::DOUBLE) AS BIGINT) AS back FROM c)
+  SELECT event_id, CAST(round(la / 1000::DOUBLE) AS BIGINT) AS lat_micro, CAST(round(lo / 1000::DOUBLE) AS BIGINT) AS lon_micro, CAST(round((back - la) / 1e4::DOUBLE) AS BIGINT) AS shift FROM e""")
 def _(spark, d):
     """Moved into the box of the Chinese datum, then shifted and back; whole metres of error."""
     g = geo_events(spark, d).selectExpr("event_id", "lat_nano - 9000000000 AS lat_nano", "lon_nano + 190000000000 AS lon_nano")
