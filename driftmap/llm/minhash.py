@@ -1,9 +1,9 @@
 """Near-duplicates by circulant MinHash, banding and exact Jaccard verification.
 
-Two permutations give all coordinates of a signature: the first scatters a document's
-shingles over a circle of ``CIRCLE`` places, the second is read at those places and at
-the same places shifted once, twice, ... around the circle, and coordinate k is the least
-value found at shift k. Because shift k is the next place, one gather of ``COORDINATES``
+Shingles are numbers below ``CIRCLE``, places on a circle (the low bits of fingerprints). Two
+permutations of the circle give all coordinates of a signature: the first scatters a
+document's places, the second is read where they have come to lie and at the same places
+shifted once, twice, ... around the circle, and coordinate k is the least value found at shift k. Because shift k is the next place, one gather of ``COORDINATES``
 neighbouring values per shingle yields every coordinate at once.
 
 Links are found in three passes, so that a group of n copies never makes n * n pairs:
@@ -13,17 +13,18 @@ Links are found in three passes, so that a group of n copies never makes n * n p
 2. Where a bucket of three or more still holds several components, the nodes outside its
    largest component are paired with a hash-chosen node of that component and with one of
    their own; verified links join components. After ``ROUNDS`` rounds few nodes stay outside.
-3. These are compared with all of their buckets, in blocks of bounded size. In buckets of up
-   to ``SMALL`` nodes signatures of ``LONG`` coordinates tell which pairs may reach the
-   threshold; in larger ones, which hold groups of near copies, shared shingles are counted
-   on 32-bit fingerprints, so that only links leave the block. Both are verified on full sets.
-
-Pairs within one component are not looked at again: they cannot change the components.
-At Jaccard 0.8 a pair shares no bucket with probability (1 - 0.8**4)**32 < 1e-7, and the
-long signatures agree in fewer than ``LEAST_MATCHES`` places with less than 1e-5.
-
-Ids are integers. Defined results: null, empty and blank texts have no shingles and stand alone; rows with
-one id count as one node; a row without an id stands alone with a null component.
+3. These are compared with all of their buckets on the full sets, in blocks of bounded size,
+   in which shared shingles are counted, so that only links leave a block: one for each node
+   and other component.
+
+Pairs within one component are not looked at again: they cannot change the components. Every
+link is confirmed by counting shared 64-bit fingerprints of the full sets. A pair is missed
+only if it shares no bucket: at Jaccard 0.8 with probability (1 - 0.8**4)**32 < 1e-7.
+
+Ids are integers (others are read as null). Defined results: null, empty and blank texts have
+no shingles and stand alone; rows with one id count as one node, by the one of their shingle
+sets with the least key, and all get its component; a row without an id stands alone with a
+null component.
 """
 
 from __future__ import annotations
@@ -35,28 +36,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_texts, materialise, mix64, shingle_hashes, slices, word_hashes
+from .common import map_texts, materialise, mix64, shingle_hashes, word_hashes
 
 CIRCLE = 1 << 20
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
-LONG, LEAST_MATCHES = 512, 370  # 0.8 less 4.4 standard deviations
-ROUNDS, SMALL = 1, 64
+ROUNDS = 1
 BLOCK_OUTSIDE, BLOCK_ALL = 256, 2048
+SALTS = 8  # parts of a bucket in joins
 
 
 class Circulant:
-    """The second permutation, unrolled past its end by the number of coordinates."""
+    """The first permutation, and the second unrolled past its end by the number of coordinates."""
 
     def __init__(self, coordinates: int = COORDINATES, seed: int = 5) -> None:
         self.coordinates = coordinates
-        order = np.random.default_rng(seed).permutation(CIRCLE).astype(np.uint32)
+        rng = np.random.default_rng(seed)
+        self.first = rng.permutation(CIRCLE).astype(np.uint32)
+        order = rng.permutation(CIRCLE).astype(np.uint32)
         unrolled = np.concatenate([order, order[:coordinates]])
         self.rows = np.lib.stride_tricks.sliding_window_view(unrolled, coordinates)
 
     def signatures(self, shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """A row of values for each non-empty run ``bounds[i]:bounds[i + 1]``."""
-        at = (mix64(shingles ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(44)).astype(np.int64)
+        at = self.first[(shingles & np.uint64(CIRCLE - 1)).astype(np.int64)]
         out = np.full((len(bounds) - 1, self.coordinates), 0xFFFFFFFF, np.uint32)
         step = 2048 * COORDINATES // self.coordinates
         for low in range(0, len(at), step):
@@ -118,29 +121,22 @@ def sign(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
-    """(id, shingles) of the texts whose rows are nodes: packed sorted fingerprints."""
+    """(id, shingles), one row for each node (id, set_key): packed sorted fingerprints."""
 
     def make() -> Callable:
-        return lambda texts: [pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())]
+        def work(texts: list[bytes]) -> list[pa.Array]:
+            sets = shingle_sets(texts, size)
+            return [pa.array([set_key(x) if len(x) else None for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+
+        return work
 
     wanted = nodes.select(F.col("id").alias("wanted")).distinct()
     chosen = docs.join(wanted, docs["id"] == wanted["wanted"], "left_semi")
-    return map_texts(chosen, "id", "text", "id bigint, shingles binary", make)
-
-
-def sketches(sets: DataFrame) -> DataFrame:
-    """(id, n, payload): the size of each set, and a byte of each of ``LONG`` coordinates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1):
-                held = [np.frombuffer(x, np.uint64) for x in as_bytes(batch.column(1))]
-                sizes = np.array([len(x) for x in held], np.int64)
-                signed = circulant(LONG).signatures(np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)]))
-                rows = (signed * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "n", "payload"])
-
-    return sets.select("id", "shingles").mapInArrow(run, "id bigint, n bigint, payload binary")
+    sets = materialise(map_texts(chosen, "id", "text", "id bigint, set_key binary, shingles binary", make), "sets")
+    if not sets.groupBy("id").count().filter("count > 1").isEmpty():  # rows that share an id
+        own = sets.join(nodes.select("id", "set_key").distinct(), ["id", "set_key"], "left_semi")
+        sets = materialise(own.dropDuplicates(["id"]), "sets")
+    return sets.select("id", "shingles")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,9 +197,16 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(out, "labels")
 
 
+def _by_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (bucket, id, ...) with one row of facts a bucket; a bucket meets in ``SALTS`` tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    spread = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["bucket", "salt"]).drop("salt")
+
+
 def _star_pairs(buckets: DataFrame) -> DataFrame:
     least = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return buckets.join(least.select("bucket", "a"), "bucket").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return _by_bucket(buckets, least.select("bucket", "a")).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,7 +215,7 @@ def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
     split = split.filter("comps > 1 AND total > 2").select("bucket", "total", F.col("top.comp").alias("largest"), (F.col("total") - F.col("top.n")).alias("outside"))
-    return materialise(held.join(split, "bucket"), "split")
+    return materialise(_by_bucket(held, split), "split")
 
 
 def _sample_pairs(split: DataFrame, salt: int) -> DataFrame:
@@ -221,70 +224,43 @@ def _sample_pairs(split: DataFrame, salt: int) -> DataFrame:
     inside = F.col("comp") == F.col("largest")
     centres = split.groupBy("bucket").agg(F.min(F.when(inside, drawn)).alias("one"), F.min(F.when(~inside, drawn)).alias("other"))
     centres = centres.select("bucket", F.explode(F.array("one.id", "other.id")).alias("a"))
-    pairs = split.filter("comp <> largest").join(centres, "bucket").filter("id <> a")
+    pairs = _by_bucket(split.filter("comp <> largest"), centres).filter("id <> a")
     return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
-def compact(sets: DataFrame) -> DataFrame:
-    """(id, n, payload): the size of each set, and 32 bits of each of its fingerprints."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1):
-                held = [np.frombuffer(x, np.uint64) for x in as_bytes(batch.column(1))]
-                short = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in held]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array(short, pa.binary())], names=["id", "n", "payload"])
-
-    return sets.select("id", "shingles").mapInArrow(run, "id bigint, n bigint, payload binary")
-
-
-def _by_sketch(size: np.ndarray, payload: list[bytes], comp: np.ndarray, outs: np.ndarray, alls: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of ``outs`` those of ``alls`` whose signatures agree enough."""
-    table = np.frombuffer(b"".join(payload[i] for i in alls.tolist()), np.uint8).reshape(-1, LONG)
-    for i in outs.tolist():
-        may = np.flatnonzero((comp[alls] != comp[i]) & (100 * np.minimum(size[alls], size[i]) >= percent * np.maximum(size[alls], size[i])))
-        own = np.frombuffer(payload[i], np.uint8)
-        yield i, alls[may[(table[may] == own).sum(1) >= LEAST_MATCHES]]
-
-
-def _by_count(size: np.ndarray, payload: list[bytes], comp: np.ndarray, outs: np.ndarray, alls: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of ``outs`` one of ``alls`` from each component that shares enough shingles.
-
-    Equal fingerprints of different shingles can only add to a count, so no link is missed.
-    """
-    held = [np.frombuffer(payload[i], "<u4") for i in alls.tolist()]
-    owner = np.repeat(np.arange(len(alls)), [len(x) for x in held])
-    flat = np.concatenate(held)
+def _shared(sets: list[np.ndarray], comp: np.ndarray, outs: np.ndarray, alls: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``outs`` one of ``alls`` from each other component that it is linked with."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(alls)), size[alls])
+    flat = np.concatenate([sets[i] for i in alls.tolist()])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     for i in outs.tolist():
-        own = np.frombuffer(payload[i], "<u4")
-        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
         hits = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(int(hits.sum()))
         same = np.bincount(owner[at], minlength=len(alls))
         near = np.flatnonzero((comp[alls] != comp[i]) & (100 * same >= percent * (size[alls] + size[i] - same)))
-        near = near[np.lexsort((-same[near], comp[alls][near]))]
-        first = np.concatenate([[True], comp[alls][near][1:] != comp[alls][near][:-1]]) if len(near) else np.zeros(0, bool)
+        _, first = np.unique(comp[alls][near], return_index=True)
         yield i, alls[near[first]]
 
 
-def _outside_pairs(split: DataFrame, payload: DataFrame, test: Callable, percent: int) -> DataFrame:
-    """Pairs of nodes in one bucket but different components that pass ``test``.
+def _outside_links(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes in one bucket but different components, enough to join the components.
 
     A node outside the bucket's largest component goes to one block of such nodes, which
     meets every block of all nodes, so that a task holds about ``BLOCK_OUTSIDE`` +
-    ``BLOCK_ALL`` of a bucket. ``payload``: (id, n, payload).
+    ``BLOCK_ALL`` of a bucket.
     """
-    rows = split.join(payload, "id").withColumns(
+    rows = split.join(sets, "id").withColumns(
         {"outs": F.ceil(F.col("outside") / BLOCK_OUTSIDE).cast("int"), "alls": F.ceil(F.col("total") / BLOCK_ALL).cast("int")}
     )
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
     outside = rows.filter("comp <> largest").select(
-        "bucket", (own % F.col("outs")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("q"), "id", "comp", "n", "payload", F.lit(True).alias("out")
+        "bucket", (own % F.col("outs")).alias("p"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("q"), "id", "comp", "shingles", F.lit(True).alias("out")
     )
     every = rows.select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("p"), (own % F.col("alls")).alias("q"), "id", "comp", "n", "payload", F.lit(False).alias("out")
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("p"), (own % F.col("alls")).alias("q"), "id", "comp", "shingles", F.lit(False).alias("out")
     )
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -295,12 +271,12 @@ def _outside_pairs(split: DataFrame, payload: DataFrame, test: Callable, percent
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.stack([t.column(k).to_numpy() for k in ("bucket", "p", "q")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-            ids, comp, size, out = (t.column(k).to_numpy() for k in ("id", "comp", "n", "out"))
-            held, pairs = t.column("payload").to_pylist(), set()
+            ids, comp, out = (t.column(k).to_numpy() for k in ("id", "comp", "out"))
+            held, pairs = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()], set()
             for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 outs, alls = low + np.flatnonzero(out[low:high]), low + np.flatnonzero(~out[low:high])
                 if len(outs) and len(alls):
-                    for i, near in test(size, held, comp, outs, alls, percent):
+                    for i, near in _shared(held, comp, outs, alls, percent):
                         pairs.update((min(int(ids[i]), x), max(int(ids[i]), x)) for x in ids[near].tolist())
             if pairs:
                 a, b = zip(*sorted(pairs), strict=True)
@@ -335,24 +311,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = signed.filter("set_key IS NOT NULL AND id IS NOT NULL")
     # written, so that the join back deals both sides anew and Spark can split a hot set
     first = materialise(keyed.groupBy("set_key").agg(F.min("id").alias("node")), "first")
-    # one row for each node; rows that share an id but not a text may repeat it
-    chosen = first.select(F.col("node").alias("id"), "set_key")
+    chosen = first.groupBy("node").agg(F.min("set_key").alias("set_key")).withColumnRenamed("node", "id")
     nodes = keyed.join(chosen, ["id", "set_key"]).select("id", "n_shingles", "set_key", "bands")
-    nodes = materialise(nodes.dropDuplicates(["id", "set_key"]), "nodes")
+    nodes = materialise(nodes.dropDuplicates(["id"]), "nodes")
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(buckets.join(crowded, "bucket"), "crowded")
-    sets = materialise(_sets_of(docs, size, buckets), "sets")
+    sets = _sets_of(docs, size, nodes.join(buckets.select("id").distinct(), "id", "left_semi"))
     labels = components(materialise(verify(_star_pairs(buckets), sets, percent), "star"))
     for salt in range(ROUNDS):
         links = materialise(verify(_sample_pairs(_split(buckets, labels), salt), sets, percent), "links")
         labels = relabel(labels, links)
-    split = _split(buckets, labels)
-    small, large = split.filter(F.col("total") <= SMALL), split.filter(F.col("total") > SMALL)
-    own = lambda part: sets.join(part.select("id").distinct(), "id", "left_semi")
-    pairs = _outside_pairs(small, sketches(own(small)), _by_sketch, percent)
-    pairs = pairs.unionByName(_outside_pairs(large, compact(own(large)), _by_count, percent)).distinct()
-    links = materialise(verify(pairs, sets, percent), "links")
+    links = materialise(_outside_links(_split(buckets, labels), sets, percent), "links")
     if not links.isEmpty():
         labels = relabel(labels, links)
     where = first.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))

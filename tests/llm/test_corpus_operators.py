@@ -64,14 +64,40 @@ def test_near_duplicates_equal_brute_force(spark, size):
 
 
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", 3)
     monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_OUTSIDE", 5)
+    monkeypatch.setattr(minhash, "BLOCK_ALL", 9)
     rows = copies(9, groups=3, most=60)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, size=2).collect()}
     assert got == brute_components(rows, 2)
 
 
+def test_near_duplicates_with_repeated_ids(spark, monkeypatch):
+    """Two ids of 1,000 rows each are two nodes, not a million pairs."""
+    seen = []
+    verify = minhash.verify
+
+    def watched(pairs, sets, percent):
+        left, right = (sets.select(F.col("id").alias(x)) for x in ("a", "b"))
+        seen.append(pairs.join(left, "a").join(right, "b").count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "verify", watched)
+    words = [f"w{i}" for i in range(40)]
+    texts = {7: " ".join(words), 9: " ".join([*words[:39], "other"])}
+    rows = [(i, texts[i]) for i in (7, 9) for _ in range(1000)] + [(9, texts[9].upper()), (11, "alone it stands"), (11, " ".join(words[:39]))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=2).collect()
+    assert len(out) == len(rows) and 0 < sum(seen) < 10
+    assert {r["component_id"] for r in out if r["doc_id"] in (7, 9)} == {7}
+    assert len({r["component_id"] for r in out if r["doc_id"] == 11}) == 1
+
+
+def test_first_permutation_is_one():
+    c = minhash.circulant()
+    assert sorted(c.first.tolist()) == list(range(minhash.CIRCLE))
+
+
 def test_near_duplicates_edges(spark, docs):
     out = minhash.near_duplicates(docs, size=2).collect()
     assert len(out) == docs.count()
