@@ -5,10 +5,15 @@ end tags), and rendered as a browser without style sheets would lay them out: hi
 leave nothing, inline text runs together with white space collapsed, blocks stand on lines
 of their own with blank lines around paragraphs, headings, lists and tables, list items get
 markers and indentation, table cells are padded so that columns line up, and preformatted
-text is kept. Work and memory are linear in a page; nothing recurses with its depth.
-
-Defined results: null and empty pages give empty text; unclosed comments and tags end with
-the page; tables nested deeper than ``TABLE_DEPTH`` are laid out as plain blocks.
+text is kept. Nothing recurses with a page's depth: nested tables are laid out from the inside.
+A table's lines are copied once for each table around it; all other work is linear in a page.
+Spaces that align columns are bounded: a table in which they would be more than ``PADDING``
+times its text has its widest columns aligned less far, and a cell that is wider than its
+column pushes on what follows it. No text is ever left out.
+
+Defined results: null and empty pages give empty text; bytes that are not UTF-8 become
+replacement characters; unclosed comments and tags end with the page; equal pages give equal
+texts, and every row, repeated or not, one text.
 """
 
 from __future__ import annotations
@@ -51,9 +56,11 @@ IMPLIED_ENDS = {
     **{x: (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset(["table"])) for x in ("thead", "tbody", "tfoot")},
 }
 SCOPE = frozenset("table td th caption template html".split())
-TABLE_DEPTH = 16
+PADDING, LEAST_PADDING = 8, 512
+COLUMN_WIDTHS = (1 << 30, 120, 40, 12, 0)  # how far columns are aligned, until the spaces are few enough
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?""")
+_COMMENT_END = re.compile(r"--!?>")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -77,8 +84,11 @@ def tokens(page: str):
         if lt > at:
             yield ("text", page[at:lt])
         if page.startswith("<!--", lt):
-            stop = page.find("-->", lt + 4)
-            at = end if stop < 0 else stop + 3
+            m = _COMMENT_END.search(page, lt + 4)
+            if page.startswith((">", "->"), lt + 4):  # empty
+                at = page.index(">", lt) + 1
+            else:
+                at = m.end() if m else end
             continue
         if page.startswith(("<!", "<?"), lt):
             stop = page.find(">", lt)
@@ -253,8 +263,28 @@ class _Page:
         self.gap = True
 
 
-def render(root: Node, depth: int = 0, visible: bool = True) -> str:
+def render(root: Node) -> str:
     """The visible text below a node."""
+    tables: list[tuple[Node, bool, bool]] = []  # outer ones first
+    todo: list = [(c, True, False) for c in reversed(root.children)]
+    while todo:
+        node, seen, within = todo.pop()
+        if isinstance(node, str):
+            continue
+        take, seen = _shown(node, seen)
+        if not take:
+            continue
+        if node.tag == "table":
+            tables.append((node, within, seen))
+            within = True
+        todo += [(c, seen, within) for c in reversed(node.children) if not isinstance(c, str)]
+    for node, within, seen in reversed(tables):
+        node.attrs["#lines"] = _table(node, within, seen)
+    return _flow(root)
+
+
+def _flow(root: Node, visible: bool = True) -> str:
+    """The visible text below a node whose tables are laid out."""
     page = _Page()
     # (node or text, visible, in pre) to enter; a callable to leave
     todo: list = [(c, visible, False) for c in reversed(root.children)]
@@ -310,10 +340,10 @@ def render(root: Node, depth: int = 0, visible: bool = True) -> str:
                     if isinstance(s, str) and seen:
                         page.text(s + " ")
             continue
-        if tag == "table" and depth < TABLE_DEPTH:
+        if tag == "table":
             page.flush()
             page.space()
-            for line in _table(node, depth, seen):
+            for line in node.attrs.pop("#lines", ()):
                 page.put(line)
             page.space()
             continue
@@ -381,10 +411,10 @@ def _below(node: Node, tag: str):
                 todo += reversed(n.children)
 
 
-def _table(table: Node, depth: int, visible: bool) -> list[str]:
+def _table(table: Node, within: bool, visible: bool) -> list[str]:
     """A table's caption and rows; the cells of a column start in one place.
 
-    A row is as high as its tallest cell. The columns of a table within a cell stand closer.
+    A row is as high as its tallest cell. The columns of a table within another stand closer.
     """
     rows: list[dict[int, list[str]]] = []  # lines by column
     lines: list[str] = []
@@ -415,7 +445,7 @@ def _table(table: Node, depth: int, visible: bool) -> list[str]:
                     take, shows = _shown(cell, seen)
                     if not take:
                         continue
-                    inner = render(cell, depth + 1, shows)
+                    inner = _flow(cell, shows)
                     wide = min(max(_number(cell.attrs.get("colspan"), 1), 1), 1000)
                     high = _number(cell.attrs.get("rowspan"), 1)
                     high = 65534 if high == 0 else min(max(high, 1), 65534)  # 0: to the end of the row group
@@ -432,25 +462,44 @@ def _table(table: Node, depth: int, visible: bool) -> list[str]:
         elif node.tag in ("thead", "tbody", "tfoot"):
             todo += [(None, seen), *[(c, seen) for c in reversed(node.children)], (None, seen)]
         else:
-            inner = render(node, depth + 1, seen)
+            inner = _flow(node, seen)
             if inner:
                 lines += inner.split("\n")
+    return lines + _aligned(rows, 1 if within else 2)
+
+
+def _aligned(rows: list[dict[int, list[str]]], gap: int) -> list[str]:
+    """Rows of cells (lines by column) as lines, aligned as far as the bound on spaces allows."""
     width: dict[int, int] = {}
     for r in rows:
         for i, cell in r.items():
             width[i] = max(width.get(i, 0), *map(len, cell))
-    gap, used, start = 1 if depth else 2, 0, {}
-    for i in sorted(width):
-        start[i] = used + gap * i
-        used += width[i]
-    for r in rows:
-        out = [""] * max(map(len, r.values()))
-        for i in sorted(r):
-            for j, line in enumerate(r[i]):
-                if line:
-                    out[j] = out[j].ljust(start[i]) + line
-        lines += out
-    return lines
+    columns = sorted(width)
+    ink = sum(len(line) - line.count(" ") for r in rows for cell in r.values() for line in cell)
+    out: list[str] = []
+    for most in COLUMN_WIDTHS:
+        used, start = 0, {}
+        for i in columns:
+            start[i] = used + gap * i if most else 0
+            used += min(width[i], most)
+        out, spaces = [], 0
+        for r in rows:
+            own = [""] * max(map(len, r.values()))
+            for i in sorted(r):
+                for j, line in enumerate(r[i]):
+                    if line:
+                        at = max(start[i], len(own[j]) + gap if own[j] else 0)
+                        spaces += at - len(own[j])
+                        own[j] = own[j].ljust(at) + line
+                if most and spaces > PADDING * ink + LEAST_PADDING:
+                    break
+            else:
+                out += own
+                continue
+            break
+        else:
+            return out
+    return out
 
 
 def extract(page: str) -> str:

@@ -427,6 +427,115 @@ def test_html_formulas_drawings_and_maps(page, text):
     assert html.extract(page) == text
 
 
+def test_html_comments():
+    assert html.extract("a<!-->b<!-- x -->c<!--->d<!-- y --!>e<!-- <p> -- > --> f") == "abcde f"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr><td>" + "w" * 3000 + "<td>x" + "<tr><td>a<td>b" * 4000 + "</table>",
+        "<table>" + "<tr><td colspan=999><td>x" * 3000,
+        "<table><tr>" + "<td>ab" * 1000 + "<tr><td colspan=999><td>x" * 1000,
+        "<table><tr><td>x<td>" * 1500 + "y",
+    ],
+)
+def test_html_padding_is_linear(page):
+    text = html.extract(page)
+    assert len(text) < (html.PADDING + 2) * len(page)
+    assert Counter(text) - Counter(" \n" * len(text)) == Counter(html.extract(page.replace("<table>", "").replace("<tr>", "").replace("<td>", " ").replace("<td colspan=999>", " "))) - Counter(" \n" * len(page))
+
+
+def test_html_columns_stay_aligned_beside_wide_cells():
+    rows = [("name", "n"), ("w" * 500, "1"), *[(f"item {i}", str(i)) for i in range(30)]]
+    lines = html.extract("<table>" + "".join(f"<tr><td>{a}<td>{b}" for a, b in rows)).split("\n")
+    assert lines[1] == "w" * 500 + "  1"
+    assert len({line.index(b, len(a)) for line, (a, b) in zip(lines[2:], rows[2:], strict=True)}) == 1
+
+
+def test_html_tables_nest_to_any_depth():
+    assert html.extract("<table><tr><td>" * 2000 + "a<td>b") == "a b"
+
+
+WORDS = "alpha beta gamma delta epsilon".split()
+
+
+def random_page(rng, depth=0):
+    """A tree of (tag, attributes, children or text), well-formed, of a few kinds."""
+    kind = rng.choice(["p", "div", "ul", "ol", "text", "span", "hidden", "table"] if depth < 3 else ["p", "text", "span"])
+    words = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 6)))
+    if kind == "text":
+        return words()
+    if kind in ("p", "span"):
+        return (kind, "", [words()])
+    if kind == "hidden":
+        return ("div", rng.choice([" hidden", " style='display:none'"]), [words()])
+    if kind in ("ul", "ol"):
+        return (kind, "", [("li", "", [words()]) for _ in range(rng.randint(1, 4))])
+    if kind == "table":
+        n = rng.randint(1, 4)
+        return ("table", "", [("tr", "", [("td", "", [words()]) for _ in range(n)]) for _ in range(rng.randint(1, 4))])
+    return ("div", "", [random_page(rng, depth + 1) for _ in range(rng.randint(1, 5))])
+
+
+def to_html(node):
+    return node if isinstance(node, str) else f"<{node[0]}{node[1]}>{''.join(map(to_html, node[2]))}</{node[0]}>"
+
+
+def slow_text(page):
+    """What the page shows, written down rule by rule: pieces of lines, line ends and blank lines."""
+    out = []
+
+    def walk(node):
+        if isinstance(node, str):
+            out.append(("run", node))
+            return
+        tag, attrs, inner = node
+        if attrs:
+            return
+        if tag == "span":
+            out.append(("run", inner[0]))
+        elif tag == "div":
+            out.append(("end",))
+            for x in inner:
+                walk(x)
+            out.append(("end",))
+        elif tag == "p":
+            out.extend([("gap",), ("run", inner[0]), ("gap",)])
+        elif tag in ("ul", "ol"):
+            out.append(("gap",))
+            for i, li in enumerate(inner, 1):
+                out.append(("line", ("- " if tag == "ul" else f"{i}. ") + li[2][0]))
+            out.append(("gap",))
+        elif tag == "table":
+            cells = [[td[2][0] for td in tr[2]] for tr in inner]
+            wide = [max(len(r[k]) for r in cells) for k in range(len(cells[0]))]
+            out.append(("gap",))
+            out.extend(("line", "  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip()) for r in cells)
+            out.append(("gap",))
+
+    walk(page)
+    lines, run, blank = [], "", False
+    for op, *text in [*out, ("end",)]:
+        if op == "run":
+            run += text[0]
+            continue
+        for line in ([run] if run else []) + ([text[0]] if op == "line" else []):
+            lines += [""] if blank and lines else []
+            lines.append(line)
+            blank = False
+        run = ""
+        blank = blank or op == "gap"
+    return "\n".join(lines)
+
+
+def test_html_equals_a_slow_renderer():
+    rng = random.Random(8)
+    pages = [("div", "", [random_page(rng) for _ in range(rng.randint(1, 6))]) for _ in range(400)]
+    for page in pages:
+        assert html.extract(to_html(page)) == slow_text(page), to_html(page)
+
+
 def test_html_end_tags_reach_any_depth():
     many = "<span>" * 30_000
     assert html.extract(f"<div hidden>{many}x</div>shown") == "shown"
