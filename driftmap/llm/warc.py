@@ -2,7 +2,9 @@
 
 ``write_archives`` turns rows into archives of bounded size, held as rows
 (archive name, bytes) so that Spark's commit protocol protects them;
-``read_archives`` reads such rows, or files through ``spark.read.format("binaryFile")``.
+``read_archives`` reads such rows, or files through ``spark.read.format("binaryFile")``. A
+record that is damaged, or whose digest is wrong, ends the read (``on_error="raise"``) or is
+reported as a row of type ``error``, and the read goes on at the next gzip member.
 
 Defined results: a null payload counts as empty; a null id is written as ``null`` and
 read as null; of rows with equal id and payload each is a response of its own; an
@@ -27,7 +29,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
     "archive string, record_type string, record_id string, refers_to string, target_uri string, "
-    "payload binary, payload_bytes bigint, payload_digest string, verified boolean"
+    "payload binary, payload_bytes bigint, payload_digest string, verified boolean, error string"
 )
 
 
@@ -60,18 +62,27 @@ def http_head(length: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
 
 
-def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of an archive, inflated a chunk at a time, in order."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
-            if at >= len(view):
-                raise WarcError("the archive ends inside a gzip member")
-            piece = view[at : at + step]
+def member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
+    """The gzip member at an offset, inflated a chunk at a time, and where it ends."""
+    view, z, out = memoryview(data), zlib.decompressobj(31), []
+    while not z.eof:
+        if at >= len(view):
+            raise WarcError("the archive ends inside a gzip member")
+        piece = view[at : at + step]
+        try:
             out.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
-        yield b"".join(out)
+        except zlib.error as e:
+            raise WarcError(f"not a gzip member: {e}") from e
+        at += len(piece) - len(z.unused_data)
+    return b"".join(out), at
+
+
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of an archive, in order."""
+    at = 0
+    while at < len(data):
+        raw, at = member(data, at, step)
+        yield raw
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -82,7 +93,9 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     fields = {}
     for line in raw[:end].split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
-        fields[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
+        fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+        raise WarcError("a record without type or length")
     size = int(fields["content-length"])
     block = raw[end + 4 : end + 4 + size]
     if len(block) != size or raw[end + 4 + size :] != b"\r\n\r\n":
@@ -90,50 +103,73 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def records(data: bytes) -> Iterator[dict]:
-    """Records of one archive; raises :class:`WarcError` where a stated digest is wrong."""
+def records(data: bytes, on_error: str = "raise") -> Iterator[dict]:
+    """Records of one archive; :class:`WarcError`, or a row that says what is wrong, for a damaged one."""
+    if on_error not in ("raise", "report"):
+        raise ValueError(f"no such way with errors: {on_error}")
+    at = 0
+    while at < len(data):
+        begun = at
+        try:
+            raw, at = member(data, at)
+            yield _read(raw)
+        except WarcError as e:
+            if on_error == "raise":
+                raise
+            if at == begun:  # the member itself is broken: look for the next
+                at = data.find(b"\x1f\x8b\x08", begun + 1)
+                at = len(data) if at < 0 else at
+            yield dict.fromkeys(("record_id", "refers_to", "target_uri", "payload", "payload_bytes", "payload_digest")) | {
+                "record_type": "error", "verified": False, "error": f"offset {begun}: {e}"
+            }
+
+
+def _read(raw: bytes) -> dict:
+    """One record, its digests checked."""
     bare = lambda x: x.strip("<>") if x else None
-    for raw in members(data):
-        fields, block = parse(raw)
-        want = fields.get("warc-block-digest")
-        if want and want != f"sha1:{digest32(block)}":
-            raise WarcError(f"block digest of {fields.get('warc-record-id')}")
-        kind, payload, length = fields["warc-type"], None, None
-        if kind in ("response", "revisit"):
-            head, _, payload = block.partition(b"\r\n\r\n")
-            for line in head.split(b"\r\n")[1:]:
-                name, _, value = line.partition(b":")
-                if name.strip().lower() == b"content-length":
-                    length = int(value)
-        said = fields.get("warc-payload-digest")
-        said = said.removeprefix("sha1:") if said else None
-        if kind == "response":
-            if said and said != digest32(payload):
-                raise WarcError(f"payload digest of {fields.get('warc-record-id')}")
-            length = len(payload)
-        yield {
-            "record_type": kind,
-            "record_id": bare(fields.get("warc-record-id")),
-            "refers_to": bare(fields.get("warc-refers-to")),
-            "target_uri": fields.get("warc-target-uri"),
-            "payload": payload if kind == "response" else None,
-            "payload_bytes": length,
-            "payload_digest": said,
-            "verified": kind == "response" and said is not None,
-        }
+    fields, block = parse(raw)
+    want = fields.get("warc-block-digest")
+    if want and want != f"sha1:{digest32(block)}":
+        raise WarcError(f"block digest of {fields.get('warc-record-id')}")
+    kind, payload, length = fields["warc-type"], None, None
+    if kind in ("response", "revisit"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        for line in head.split(b"\r\n")[1:]:
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                length = int(value)
+    said = fields.get("warc-payload-digest")
+    said = said.removeprefix("sha1:") if said else None
+    if kind == "response":
+        if said and said != digest32(payload):
+            raise WarcError(f"payload digest of {fields.get('warc-record-id')}")
+        length = len(payload)
+    return {
+        "record_type": kind,
+        "record_id": bare(fields.get("warc-record-id")),
+        "refers_to": bare(fields.get("warc-refers-to")),
+        "target_uri": fields.get("warc-target-uri"),
+        "payload": payload if kind == "response" else None,
+        "payload_bytes": length,
+        "payload_digest": said,
+        "verified": kind == "response" and said is not None,
+        "error": None,
+    }
 
 
 def mark_revisits(df: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
     """Adds ``refers_to``: of rows with equal payloads the largest id, null for that row itself.
 
-    Payloads under ``min_bytes`` never refer. The largest id of each digest is found
-    with partial aggregates; the join back is one that Spark can split on hot digests.
+    Payloads under ``min_bytes`` never refer. The largest id of each digest is found with
+    partial aggregates over digests and ids alone, and only digests that occur twice are joined
+    back: while these are few Spark broadcasts them and no payload moves, beyond that it is a
+    join that Spark can split on hot digests.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256))
-    first = rows.groupBy("sha").agg(F.max("id").alias("keeper"))
-    joined = rows.join(first, "sha")
-    other = ~F.col("id").eqNullSafe(F.col("keeper")) & (F.octet_length("payload") >= min_bytes)
+    first = rows.groupBy("sha").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND keeper IS NOT NULL")
+    joined = rows.join(first.select("sha", "keeper"), "sha", "left")
+    other = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper")) & (F.octet_length("payload") >= min_bytes)
     return joined.select("id", "url", "payload", F.when(other, F.col("keeper")).alias("refers_to"))
 
 
@@ -175,19 +211,19 @@ def write_archives(marked: DataFrame, archive_bytes: int = ARCHIVE_BYTES, prefix
     return rows.mapInArrow(run, "archive string, content binary")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, on_error: str = "raise") -> DataFrame:
     """Records of archives (archive, content), one row each, in the columns of ``RECORD_SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("archive", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()),
-            ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()),
+            ("target_uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("error", pa.string()),
         ])
         for batch in batches:
             for i in range(batch.num_rows):
                 name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 held, size = [], 0
-                for row in records(data or b""):
+                for row in records(data or b"", on_error):
                     held.append({"archive": name} | row)
                     size += len(row["payload"] or b"") + 200
                     if size > (4 << 20):
