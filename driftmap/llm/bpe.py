@@ -5,11 +5,17 @@ laid out as the rows of padded numpy matrices, bucketed by length. In every roun
 merges its leftmost pair of least rank: the pair's rank comes from a hash table of all
 pairs of tokens that join to a token, the row closes up behind the merge, only the two
 pairs beside it are looked up again, and finished rows leave the matrix.
-Pieces over ``LONG`` bytes would need as many rounds as bytes, so they go through an exact
-heap of the same pairs. Pieces seen before come from a bounded cache.
-
-Defined results: null and empty texts have no ids; ids are packed as little-endian
-unsigned 32-bit integers; special tokens are never produced.
+In matrices wider than ``WIDE`` a round makes all merges of a row's least rank at once, from
+the left, so that rounds are as many as ranks, not as bytes. That gives the same ids if every
+token's bytes encode to that token alone, which is checked before the first such matrix: a
+merge then never makes a pair of lesser rank, because the bytes of such a pair, which nothing
+from outside has touched, would have become its token before. A piece over ``LONG``
+bytes alone would hold its matrix for a round over all of it per rank: it goes through an
+exact heap over the same pair table. Pieces seen before come from a bounded cache.
+
+Defined results: null and empty texts have no ids; bytes that are not UTF-8 become
+replacement characters; ids are packed as little-endian unsigned 32-bit integers; special
+tokens are never produced; equal texts, repeated or not, have equal ids.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from pyspark.sql import DataFrame
 
 from .common import as_bytes, map_texts, slices
 
-LONG = 96
+WIDE, LONG = 64, 65_536
 CACHE_PIECES = 300_000
 NONE = np.int32(2**31 - 1)
-BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64, LONG)
+BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 4096, 16_384, LONG)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,6 +42,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _closed(x: np.ndarray, keep: np.ndarray, order: np.ndarray, none) -> np.ndarray:
+    """What is kept of each row, moved to the left."""
+    out = np.full(order.shape, none, x.dtype)
+    out[order] = x[keep]
+    return out
+
+
 class PairTable:
     """Open-addressed hash table from a pair of token ids to the id of their join."""
 
@@ -86,6 +99,17 @@ class PairTable:
         return out
 
 
+    def one(self, left: int, right: int) -> int | None:
+        """Rank of a single pair; None if it does not join."""
+        key = left << 32 | right
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (held := int(self.keys[slot])) != key:
+            if held == -1:
+                return None
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        return int(self.values[slot])
+
+
 class Codec:
     """Encoder and decoder of one rank file and one split pattern."""
 
@@ -100,6 +124,14 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.cache: dict[str, bytes] = {}
+        self.closed: bool | None = None  # every token encodes to itself
+
+    def _check(self) -> None:
+        self.closed = False
+        own = sorted(self.ranks.items(), key=lambda x: len(x[0]))
+        short = [(t, r) for t, r in own if len(t) <= WIDE]
+        got = self.merge([t for t, _ in short]) + [self._heap(t) for t, _ in own[len(short) :]]
+        self.closed = got == [np.array([r], "<u4").tobytes() for _, r in own]
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         n = len(pieces)
@@ -137,19 +169,53 @@ class Codec:
             rank[lane[has], before[has]] = fresh[has]
         return done
 
+    def _wide(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """As ``_matrix``; a round makes every merge of a row's least rank that does not overlap one to its left."""
+        n = len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, n)
+        ids = np.full((n, width), -1, np.int32)
+        ids[np.arange(width) < sizes[:, None]] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        row, done = np.arange(n), [b""] * n
+        rank = np.full((n, width), NONE, np.int32)
+        rank[:, :-1] = self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+        while len(row):
+            best = rank.min(1)
+            over = best == NONE
+            if over.any():
+                for r, line, size in zip(row[over].tolist(), ids[over], (ids[over] >= 0).sum(1).tolist(), strict=True):
+                    done[r] = line[:size].tobytes()
+                row, ids, rank, best = row[~over], ids[~over], rank[~over], best[~over]
+                if not len(row):
+                    break
+            hit = rank == best[:, None]
+            before = np.zeros_like(hit)
+            before[:, 1:] = hit[:, :-1]
+            place = np.arange(hit.shape[1])
+            run = np.maximum.accumulate(np.where(hit & ~before, place, 0), axis=1)
+            hit &= (place - run) % 2 == 0  # of overlapping pairs every second
+            gone = np.zeros_like(hit)
+            gone[:, 1:] = hit[:, :-1]
+            ids = np.where(hit, best[:, None], ids)
+            keep = ~gone & (ids >= 0)
+            left = keep.sum(1)
+            order = np.arange(int(left.max())) < left[:, None]
+            stale = np.zeros_like(hit)  # pairs that a merge is part of, on either side
+            stale[:, :-1] = hit[:, :-1] | hit[:, 1:]
+            stale[:, -1] = hit[:, -1]
+            ids, rank, stale = (_closed(x, keep, order, none) for x, none in ((ids, -1), (rank, NONE), (stale, False)))
+            at, col = np.nonzero(stale)
+            after = np.where(col + 1 < ids.shape[1], ids[at, np.minimum(col + 1, ids.shape[1] - 1)], -1)
+            rank[at, col] = self.pairs.find(ids[at, col], after)
+        return done
+
     def _heap(self, piece: bytes) -> bytes:
         """The same merges, least rank first and leftmost among equals, for a long piece."""
         ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        found: dict[tuple[int, int], int | None] = {}
-
-        def rank(a: int, b: int) -> int | None:
-            if (a, b) not in found:
-                found[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b])
-            return found[a, b]
-
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) is not None]
+        rank = self.pairs.one
+        first = self.pairs.find(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -173,9 +239,12 @@ class Codec:
         low = 0
         for width in BUCKETS:
             own = np.flatnonzero((sizes > low) & (sizes <= width)).tolist()
-            for at in range(0, len(own), step := max(256, (1 << 18) // width)):
+            if width > WIDE and own and self.closed is None:
+                self._check()
+            merged = self._wide if width > WIDE and self.closed else self._matrix
+            for at in range(0, len(own), step := max(1, (1 << 18) // width)):
                 part = own[at : at + step]
-                for i, x in zip(part, self._matrix([pieces[i] for i in part], width), strict=True):
+                for i, x in zip(part, merged([pieces[i] for i in part], width), strict=True):
                     out[i] = x
             low = width
         for i in np.flatnonzero(sizes > low).tolist():
@@ -214,7 +283,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
         own = codec(path, pattern)
 
         def work(texts: list[bytes]) -> list[pa.Array]:
-            ids = own.encode([t.decode() for t in texts])
+            ids = own.encode([t.decode("utf-8", "replace") for t in texts])
             return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
 
         return work
