@@ -36,7 +36,17 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     path = f"{shared_dir(spark).rstrip('/')}/driftmap-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_materialised_at", None)
+        if path:
+            _forget(df.sparkSession, path)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

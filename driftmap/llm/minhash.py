@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, mix64, shingle_hashes, word_hashes
+from .common import map_texts, materialise, mix64, release, shingle_hashes, word_hashes
 
 CIRCLE = 1 << 20
 COORDINATES, BANDS = 128, 32
@@ -134,9 +134,10 @@ def _sets_of(docs: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
     chosen = docs.join(wanted, docs["id"] == wanted["wanted"], "left_semi")
     sets = materialise(map_texts(chosen, "id", "text", "id bigint, set_key binary, shingles binary", make), "sets")
     if not sets.groupBy("id").count().filter("count > 1").isEmpty():  # rows that share an id
-        own = sets.join(nodes.select("id", "set_key").distinct(), ["id", "set_key"], "left_semi")
-        sets = materialise(own.dropDuplicates(["id"]), "sets")
-    return sets.select("id", "shingles")
+        own = materialise(sets.join(nodes.select("id", "set_key").distinct(), ["id", "set_key"], "left_semi").dropDuplicates(["id"]), "sets")
+        release(sets)
+        sets = own
+    return sets
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +178,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = materialise(small, label)
+        small, old = materialise(small, label), now
+        release(old)
         # done when every node points at one other, and none of those points further: stars
         ends = small.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into"))
         ends = ends.unionByName(small.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
@@ -193,8 +195,9 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     at = lambda end: every.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
     between = links.join(at("a"), "a").join(at("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b")
     joined = components(between, "contracted").select(F.col("id").alias("component"), F.col("component").alias("least"))
-    out = every.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
-    return materialise(out, "labels")
+    out = materialise(every.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component")), "labels")
+    release(labels)
+    return out
 
 
 def _by_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ def _outside_links(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     meets every block of all nodes, so that a task holds about ``BLOCK_OUTSIDE`` +
     ``BLOCK_ALL`` of a bucket.
     """
-    rows = split.join(sets, "id").withColumns(
+    rows = split.join(sets.select("id", "shingles"), "id").withColumns(
         {"outs": F.ceil(F.col("outside") / BLOCK_OUTSIDE).cast("int"), "alls": F.ceil(F.col("total") / BLOCK_ALL).cast("int")}
     )
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
@@ -318,13 +321,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = materialise(buckets.join(crowded, "bucket"), "crowded")
     sets = _sets_of(docs, size, nodes.join(buckets.select("id").distinct(), "id", "left_semi"))
-    labels = components(materialise(verify(_star_pairs(buckets), sets, percent), "star"))
+    star = materialise(verify(_star_pairs(buckets), sets, percent), "star")
+    labels = components(star)
+    release(star)
     for salt in range(ROUNDS):
-        links = materialise(verify(_sample_pairs(_split(buckets, labels), salt), sets, percent), "links")
+        split = _split(buckets, labels)
+        links = materialise(verify(_sample_pairs(split, salt), sets, percent), "links")
         labels = relabel(labels, links)
-    links = materialise(_outside_links(_split(buckets, labels), sets, percent), "links")
+        release(split, links)
+    split = _split(buckets, labels)
+    links = materialise(_outside_links(split, sets, percent), "links")
     if not links.isEmpty():
         labels = relabel(labels, links)
+    release(split, links, sets, buckets, nodes)
     where = first.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     rows = signed.select("id", "n_shingles", "set_key").join(where, "set_key", "left")
     alone = F.col("id").isNull() | F.col("set_key").isNull()
