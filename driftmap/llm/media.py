@@ -6,8 +6,12 @@ continuity counters; every elementary packet begins at a random-access point wit
 clock reference. ``demux`` parses the tables, checks the counters, reassembles the
 elementary packets and keeps their times and random-access points.
 
+Tables may span packets and come again; a packet sent twice counts once; a counter that jumps
+where the stream says so is no fault, any other jump is counted.
+
 Defined results: a null or empty payload gives a stream that holds whatever padding the
-caller asked for, or no elementary packet at all; equal payloads give equal streams.
+caller asked for, or no elementary packet at all; equal payloads, repeated or not, give equal
+streams and features; a stream that breaks the format raises :class:`StreamError`.
 """
 
 from __future__ import annotations
@@ -123,11 +127,37 @@ class Stream:
 def _section(data: bytes, table: int) -> bytes:
     size = struct.unpack_from(">H", data, 1)[0] & 0xFFF
     section = data[: size + 3]
-    if not section or section[0] != table or crc_mpeg(section):
+    if len(section) < size + 3 or size < 9 or section[0] != table or crc_mpeg(section):
         raise StreamError("a table is damaged")
     return section[8:-4]
 
 
+def _tables(pid: np.ndarray, starts: np.ndarray, kind: np.ndarray, cut, wanted: int):
+    """The distinct sections of a table's packets, put together where they span several."""
+    held, seen = b"", set()
+
+    def whole(held: bytes):
+        while len(held) >= 3 and held[0] != 0xFF:  # 0xFF: stuffing up to the packet's end
+            size = (held[1] << 8 | held[2]) & 0xFFF
+            if len(held) < size + 3:
+                break
+            yield held[: size + 3]
+            held = held[size + 3 :]
+
+    for i in np.flatnonzero((pid == wanted) & (kind & 1 == 1)).tolist():
+        raw = cut(i)
+        if starts[i] and raw:
+            held += raw[1 : 1 + raw[0]]  # the end of a section that began before
+            found = [*whole(held)]
+            held = raw[1 + raw[0] :]
+        else:
+            held, found = held + raw if held else b"", []
+        for section in [*found, *whole(held)]:
+            if section not in seen:
+                seen.add(section)
+                yield section
+
+
 def demux(data: bytes) -> Stream:
     """Parse one stream; raises :class:`StreamError` where it breaks the format."""
     if len(data) % PACKET:
@@ -142,20 +172,18 @@ def demux(data: bytes) -> Stream:
     starts = (p[:, 1] & 0x40) != 0
     kind = p[:, 3] >> 4 & 3
     skip = np.where(kind & 2, p[:, 4].astype(np.int32) + 1, 0)
-    tables = {PAT_PID: 0x00}
-    for i in np.flatnonzero(starts & ((pid == PAT_PID) | (pid == PMT_PID))).tolist():
-        if int(pid[i]) not in tables:
-            continue
-        raw = data[i * PACKET + 4 + int(skip[i]) : (i + 1) * PACKET]
-        body = _section(raw[1 + raw[0] :], tables[int(pid[i])])
-        if pid[i] == PAT_PID:
-            for at in range(0, len(body), 4):
-                number, to = struct.unpack_from(">HH", body, at)
-                got.programs[number] = to & 0x1FFF
-                tables[to & 0x1FFF] = 0x02
-        else:
+    skip = np.minimum(skip, PACKET - 4)
+    cut = lambda i: data[i * PACKET + 4 + int(skip[i]) : (i + 1) * PACKET]
+    for section in _tables(pid, starts, kind, cut, PAT_PID):
+        body = _section(section, 0x00)
+        for at in range(0, len(body) - 3, 4):
+            number, to = struct.unpack_from(">HH", body, at)
+            got.programs[number] = to & 0x1FFF
+    for table in {to: None for number, to in got.programs.items() if number}:  # program 0 is the network's
+        for section in _tables(pid, starts, kind, cut, table):
+            body = _section(section, 0x02)
             at = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF)
-            while at < len(body):
+            while at + 5 <= len(body):
                 sort, to, info = struct.unpack_from(">BHH", body, at)
                 got.pids[to & 0x1FFF] = sort
                 at += 5 + (info & 0xFFF)
@@ -165,8 +193,14 @@ def demux(data: bytes) -> Stream:
         if not len(own):
             continue
         counters = p[own, 3] & 15
-        got.discontinuities += int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
-        flagged = (kind[own] & 2 != 0) & (p[own, 4] > 0) & (p[own, 5] & 0x40 != 0)
+        again = np.zeros(len(own), bool)  # the packet before, sent again
+        for k in (np.flatnonzero(counters[1:] == counters[:-1]) + 1).tolist():
+            again[k] = starts[own[k]] == starts[own[k - 1]] and cut(int(own[k])) == cut(int(own[k - 1]))
+        own, counters = own[~again], counters[~again]
+        extra = (kind[own] & 2 != 0) & (p[own, 4] > 0)
+        allowed = extra & (p[own, 5] & 0x80 != 0)
+        got.discontinuities += int((((counters[1:] - counters[:-1]) & 15 != 1) & ~allowed[1:]).sum())
+        flagged = extra & (p[own, 5] & 0x40 != 0)
         got.random_access += own[flagged].tolist()
         first = np.flatnonzero(starts[own])
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):

@@ -6,8 +6,9 @@ rule casts each vote; a document's posterior probability of being good then repl
 all-must-pass filter. EM needs only how often each combination of votes occurs, which one
 aggregate yields: at most 3 to the number of rules, whatever the number of documents.
 
-Defined results: a null or empty text has no words, and all its counts are 0. Without any
-documents the rules keep their starting accuracies.
+Defined results: a null or empty text has no words, and all its counts are 0 but that of
+symbols. Equal texts, repeated or not, get equal posteriors, and one exactly at the threshold
+is kept. Without any documents the rules keep their starting accuracies.
 """
 
 from __future__ import annotations

@@ -40,6 +40,8 @@ def op2_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "pts",
+        "random_access",
     )
 
 
@@ -130,12 +132,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH c AS (
   SELECT page_id, url, DATE '2023-01-01' + CAST(('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 6))::INT % 365 AS INT) AS day,
-         rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host
+         rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]*\]|[^/?#:@]*)', 1)), '.') AS host
   FROM pages
 ), h AS (
   SELECT DISTINCT host FROM c WHERE host <> ''
 ), s AS (
-  SELECT host, unnest(CASE WHEN regexp_matches(host, '^[0-9.]+$') OR len(string_split(host, '.')) < 2 THEN [host]
+  SELECT host, unnest(CASE WHEN regexp_matches(host, '^([0-9.]+|\[.*)$') OR len(string_split(host, '.')) < 2 THEN [host]
     ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END) AS entry FROM h
 ), n AS (
   SELECT host, ('0x' || substr(md5(host), 1, 6))::INT % 200 AS start, ('0x' || substr(md5(host), 7, 6))::INT % 3 = 0 AS listed,

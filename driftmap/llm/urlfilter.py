@@ -12,7 +12,9 @@ the intervals on suffix and salt: a suffix that covers a third of the web is spr
 
 Defined results: a null, relative or unparsable URL has an empty host and is never listed;
 a null day is never covered; repeated captures keep their rows; of changes on one day the
-removal counts last; an entry never removed is valid without end.
+removal counts last; an entry never removed is valid without end; an address, of four numbers
+or in brackets, has no parents; of entries equally long the last in order is named; columns of
+the captures with the names of ``ADDED`` give way to the new ones.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]*\]|[^/?#:@]*)"
+ADDED = ("host", "listed", "n_entries", "entry", "lists")
 
 
 def host_of(url: Column) -> Column:
@@ -33,7 +36,7 @@ def suffixes(host: Column) -> Column:
     """The host and its parent domains of two labels or more; an address has only itself."""
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.when(host == "", F.array().cast("array<string>")).when(host.rlike(r"^[0-9.]+$"), F.array(host)).otherwise(parents)
+    return F.when(host == "", F.array().cast("array<string>")).when(host.rlike(r"^([0-9.]+|\[.*)$"), F.array(host)).otherwise(parents)
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -50,10 +53,12 @@ def judge(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col
     """All columns of ``captures`` and: host, listed, n_entries, entry, lists.
 
     ``entry`` is the most specific entry in force, ``lists`` the sorted names of all lists
-    that held one. ``captures`` must not have columns of these names.
+    that held one.
     """
-    named = captures.withColumn("host", host_of(F.col(url_col)))
-    asked = named.select("host", F.col(day_col).alias("asked_day")).filter("host <> '' AND asked_day IS NOT NULL").distinct()
+    kept = [c for c in captures.columns if c.lower() not in ADDED]
+    row = F.struct(*kept) if kept else F.lit(None).cast("int")  # apart from the columns that are made here
+    named = captures.select(row.alias("capture"), host_of(F.col(url_col)).alias("host"), F.col(day_col).alias("asked_day"))
+    asked = named.select("host", "asked_day").filter("host <> '' AND asked_day IS NOT NULL").distinct()
     offered = asked.select("host", "asked_day", F.explode(suffixes(F.col("host"))).alias("entry"))
     offered = offered.withColumn("salt", F.pmod(F.xxhash64("host", "asked_day"), F.lit(salts)).cast("int"))
     held = intervals(changes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -64,9 +69,9 @@ def judge(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col
         F.max_by("entry", F.struct(F.length("entry"), F.col("entry"))).alias("entry"),
         F.array_sort(F.collect_set("list_name")).alias("lists"),
     )
-    joined = named.withColumn("asked_day", F.col(day_col)).join(verdicts, ["host", "asked_day"], "left")
+    joined = named.join(verdicts, ["host", "asked_day"], "left")
     return joined.select(
-        *captures.columns,
+        *[F.col("capture")[c].alias(c) for c in kept],
         "host",
         F.col("entry").isNotNull().alias("listed"),
         F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"),

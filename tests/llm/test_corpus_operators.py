@@ -157,6 +157,15 @@ def test_packing_equals_naive():
         assert packing.pack(lengths) == naive_pack(lengths, packing.CAPACITIES)
 
 
+def test_packing_spreads_repeated_rows_and_long_documents(spark):
+    rows = [(1, "same words here")] * 5000 + [(2, "w " * (4096 * 300))] + [(3, None), (None, "x")]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), shard_items=256)
+    shards = [r["n"] for r in out.groupBy((F.col("bin") / 2**32).cast("long").alias("shard")).agg(F.count("*").alias("n")).collect()]
+    assert sum(shards) == 5000 + 301 + 2 and max(shards) < 2 * 256 and len(shards) == 21
+    assert out.filter("doc_id = 2").select((F.col("bin") / 2**32).cast("long")).distinct().count() == 21
+    assert out.agg(F.sum("length")).first()[0] == 5000 * 4 + 4096 * 300 + 1 + 1 + 2
+
+
 def test_packing_places_every_token_once(spark, docs):
     out = packing.pack_documents(docs, shard_items=4).collect()
     need = Counter()
@@ -345,6 +354,36 @@ def test_warc_reader_checks():
         list(warc.records(wrong))
 
 
+def test_warc_damage_is_reported(spark):
+    good = [warc.record("response", f"urn:x:{i}", "", warc.http_head(3) + b"abc", [("WARC-Payload-Digest", "sha1:" + warc.digest32(b"abc"))]) for i in range(4)]
+    wrong = warc.record("response", "urn:x:9", "", warc.http_head(3) + b"abc", [("WARC-Payload-Digest", "sha1:" + warc.digest32(b"abd"))])
+    broken = good[1][:30] + b"\0\0\0\0" + good[1][34:]
+    data = good[0] + broken + good[2] + wrong + good[3][:-9]
+    archives = spark.createDataFrame([("a", data), ("b", good[0]), ("c", None), ("d", b"junk")], "archive string, content binary").withColumn("payload", F.lit(1))
+    rows = warc.read_archives(archives, "report").collect()
+    assert [r["record_id"] for r in rows if r["record_type"] == "response"] == ["urn:x:0", "urn:x:2", "urn:x:0"]
+    errors = [(r["archive"], r["error"], r["verified"]) for r in rows if r["record_type"] == "error"]
+    assert len(errors) == 4 and not any(e[2] for e in errors) and all(e[1].startswith("offset ") for e in errors)
+    with pytest.raises(Exception, match="WarcError"):
+        warc.read_archives(archives).collect()
+
+
+def test_warc_payloads_that_stand_alone_do_not_move(spark):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i // 2 if i < 4 else i}") for i in range(40)], "page_id bigint, url string, html string")
+    marked = warc.mark_revisits(pages, "page_id", "html")
+    assert {r["id"]: r["refers_to"] for r in marked.collect() if r["refers_to"] is not None} == {0: 1, 2: 3}
+    assert "BroadcastHashJoin" in marked._jdf.queryExecution().executedPlan().toString() or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_url_filter_addresses_and_clashing_names(spark):
+    changes = spark.createDataFrame([("l", "[2001:db8::1]", "add", "2023-01-01"), ("l", "example.com", "add", "2023-01-01")], "list_name string, entry string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    asked = [("http://[2001:DB8::1]:80/x", "[2001:db8::1]", True), ("http://[fe80::1]/", "[fe80::1]", False), ("http://u@a.example.com", "a.example.com", True)]
+    captures = spark.createDataFrame([(u, "2023-05-01", "old", 7, i) for i, (u, *_) in enumerate(asked)], "url string, day string, host string, entry int, asked_day int").withColumn("day", F.col("day").cast("date"))
+    out = urlfilter.judge(captures, changes)
+    assert out.columns == ["url", "day", "asked_day", "host", "listed", "n_entries", "entry", "lists"]
+    assert {(r["asked_day"], r["host"], r["listed"]) for r in out.collect()} == {(i, h, x) for i, (_, h, x) in enumerate(asked)}
+
+
 def test_url_filter(spark):
     changes = spark.createDataFrame(
         [("l", "example.com", "add", "2023-01-10"), ("l", "example.com", "remove", "2023-02-01"), ("l", "example.com", "add", "2023-03-01"), ("m", "bad.example.com", "add", "2023-01-20"), ("m", "bad.example.com", "add", "2023-01-25"), ("l", "10.0.0.1", "add", "2023-01-01"), ("l", "x.org", "add", "2023-01-05"), ("l", "x.org", "remove", "2023-01-05"), ("l", None, "add", None)],

@@ -54,6 +54,29 @@ def test_bpe_equals_tiktoken():
         assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_long_pieces(monkeypatch):
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(7)
+    pieces = [b"a" * n for n in (65, 66, 97, 1000, 1001)] + [b"ab" * 300, b"aab" * 200, b"\xc3\xa9" * 100]
+    pieces += [bytes(rng.choice(b"etaoinsr") for _ in range(rng.randint(65, 3000))) for _ in range(30)]
+    pieces += [bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000))]
+    want = [own.encode_ordinary(x.decode()) for x in pieces]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.merge(pieces)] == want and codec.closed
+    monkeypatch.setattr(bpe, "BUCKETS", (64,))  # everything longer by the heap
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.merge(pieces)] == want
+    monkeypatch.setattr(codec, "closed", False)  # one merge a round
+    monkeypatch.setattr(bpe, "BUCKETS", (64, 1024))
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.merge(pieces)] == want
+    assert all(codec.pairs.one(a, b) is None or codec.tokens[codec.pairs.one(a, b)] == codec.tokens[a] + codec.tokens[b] for a, b in zip(range(2000), range(500, 2500), strict=True))
+
+
+def test_bpe_bytes_that_are_not_text(spark):
+    df = spark.createDataFrame([(1, bytearray(b"ok \xff\xfe"))], "doc_id bigint, text binary")
+    out = bpe.decode_column(bpe.encode_column(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).first()
+    assert bytes(out["decoded"]).decode() == "ok \ufffd\ufffd"
+
+
 def test_bpe_columns(spark, docs):
     out = bpe.decode_column(bpe.encode_column(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
     texts = {(i, t or "") for i, t, *_ in odd_rows()}
@@ -89,6 +112,50 @@ def test_media_faults_show():
     assert media.crc_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packets(pid, data, start, counter, fill=True):
+    """Packets of a table's sections, the first with a pointer."""
+    out, first = b"", start
+    while data or first:
+        head = struct.pack(">BHB", media.SYNC, (0x4000 if first else 0) | pid, 0x10 | counter & 15) + (b"\0" if first else b"")
+        room = media.PACKET - len(head)
+        out += (head + data[:room]).ljust(media.PACKET, b"\xff")
+        data, counter, first = data[room:], counter + 1, False
+    return out
+
+
+def section(table, number, body):
+    head = struct.pack(">BHHBBB", table, 0xB000 | (len(body) + 9), number, 0xC1, 0, 0) + body
+    return head + struct.pack(">I", media.crc_mpeg(head))
+
+
+def test_media_tables_over_several_packets():
+    stream = media.mux(bytes(range(256)) * 30)
+    many = b"".join(struct.pack(">HH", n, 0xE000 | 0x1000 + n) for n in range(2, 100)) + struct.pack(">HH", 1, 0xE000 | media.PMT_PID)
+    pmt = struct.pack(">HH", 0xE000 | media.MEDIA_PID, 0xF000) + struct.pack(">BHH", media.STREAM_TYPE, 0xE000 | media.MEDIA_PID, 0xF000 | 200) + bytes(200)
+    tables = packets(0, section(0, 1, many), True, 0) + packets(media.PMT_PID, section(2, 1, pmt), True, 0)
+    assert len(tables) > 4 * media.PACKET
+    got = media.demux(tables + stream[2 * media.PACKET :] + tables)
+    assert got.payload == bytes(range(256)) * 30 and len(got.programs) == 99 and got.pids == {media.MEDIA_PID: media.STREAM_TYPE}
+    with pytest.raises(media.StreamError):
+        media.demux(tables[:200] + b"?" + tables[201:] + stream[2 * media.PACKET :])
+
+
+def test_media_packets_sent_twice_and_announced_jumps():
+    payload = random.Random(9).randbytes(80_000)
+    stream = media.mux(payload)
+    for k in (2, 5, 9):
+        twice = stream[: 188 * (k + 1)] + stream[188 * k :]
+        got = media.demux(twice)
+        assert got.payload == payload and got.discontinuities == 0
+    jumped = bytearray(stream)
+    first = next(i for i in range(3, len(stream) // 188) if stream[i * 188 + 1] & 0x40)  # the second elementary packet
+    for i in range(first, len(stream) // 188):
+        jumped[i * 188 + 3] = jumped[i * 188 + 3] & 0xF0 | (jumped[i * 188 + 3] + 5) & 15
+    assert media.demux(bytes(jumped)).discontinuities == 1
+    jumped[first * 188 + 5] |= 0x80
+    assert media.demux(bytes(jumped)).discontinuities == 0
+
+
 def test_media_columns(docs):
     back = media.decode_column(media.encode_column(docs), ["doc_id", "n_bytes"]).collect()
     want = sorted(media.pad((t or "").encode()) for _, t, *_ in odd_rows())
@@ -180,6 +247,38 @@ def test_language_calibration_and_sparsity(spark):
     assert (model.weights == 0).mean() > 0.5  # the elastic net's first penalty
 
 
+def test_language_equals_brute_force(spark):
+    """The columns' answers from the model's weights, gram by gram, and document frequencies counted one by one."""
+    docs = languages(spark)
+    model = langid.fit(docs)
+    rows = [(r["text"], r["lang"]) for r in docs.collect()]
+    learnt = [t for t, lang in rows if t is not None and lang is not None]
+    df = np.zeros(langid.DIM)
+    for t in learnt:
+        df[langid.grams(t)[0]] += 1
+    assert np.allclose(model.idf, np.log((1 + len(learnt)) / (1 + df)) + 1, atol=1e-5)
+    got = [r["f"] for r in docs.select("text", model.column(F.col("text")).alias("f")).collect()]
+    for (text, _), f in list(zip(rows, got, strict=True))[::40]:
+        counts = {}
+        for g in (text or "").lower():
+            counts[g] = counts.get(g, 0) + 1
+        own, tf = langid.grams(text or "")
+        assert sum(round(float(np.expm1(x))) for x in tf) == sum(max(0, len(text or "") - k) for k in range(3))
+        if f["lang"] == "und":
+            continue
+        x = {int(i): float(v) * float(model.idf[i]) for i, v in zip(own, tf, strict=True)}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        logits = [sum(v / norm * float(model.weights[i, c]) for i, v in x.items()) + float(model.bias[c]) for c in range(3)]
+        p = np.exp(np.array(logits) / model.temperature)
+        assert f["lang"] == model.languages[int(p.argmax())] and abs(f["score"] - p.max() / p.sum()) < 1e-4
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rare = spark.createDataFrame([(20_000, "zzz", "rare", None, None)], SCHEMA)
+    assert langid.fit(languages(spark).filter("lang <> 'cc'").unionByName(rare)).languages == ["aa", "bb"]
+
+
 def test_language_edges(spark, docs):
     empty = langid.fit(docs.limit(0))
     assert empty.predict("text") == ("und", 0.0)
