@@ -521,9 +521,11 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
 
     parts = train_docs.select("text").mapInArrow(local, "seen bigint, flat binary")
     several = parts.rdd.getNumPartitions()
-    while several > 8:  # sums meet in a tree, eight at a time
+    while True:  # sums meet in a tree, eight at a time; once at least, so that all tasks of the pass run together
         several = -(-several // 8)
-        parts = parts.repartition(several).mapInArrow(add, "seen bigint, flat binary")
+        parts = parts.repartition(max(1, several)).mapInArrow(add, "seen bigint, flat binary")
+        if several <= 8:
+            break
     total, flat = 0, None
     for r in parts.toLocalIterator():  # one set of parameters at a time
         x = np.frombuffer(r["flat"])
