@@ -46,6 +46,7 @@ HIDDEN = 20
 WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 32, 16, 512, 1024
 WARM_DOCUMENTS, WARM_PASSES = 400, 2
 STRETCH = 16
+BLOCK = 1024  # rows of a softmax that are computed together
 SLAB = 3_000_000  # tokens that a task lays out side by side
 FLUSH_WORDS = 300_000
 END = b""  # the end mark: no word is empty
@@ -100,7 +101,10 @@ class Vocabulary:
 
     @property
     def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
+        return self.first(len(self.words))
+
+    def first(self, n: int) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words[:n])}
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD_COUNTS, model_words: int | None = None) -> Vocabulary:
@@ -240,52 +244,68 @@ class Network:
         """Natural log-probability of each target (``known``: some other word, its class only).
 
         With ``grad``: also the gradients of the negative sum, for states and outputs.
+        Rows go in order of class and in blocks that stay in the cache; a column of ones carries the offsets.
         """
-        p = self.p
+        p, n = self.p, self.hidden
+        order = np.argsort(self.class_of[y], kind="stable")
+        y = y[order]
         cls = self.class_of[y]
-        rows = np.arange(len(y))
-
-        def softmax(logits: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Log-probability of each row's target, and what to divide what is left of the logits by."""
+        s = np.empty((len(y), n + 1), states.dtype)
+        np.take(states, order, axis=0, out=s[:, :n], mode="clip")
+        s[:, n] = 1
+        back = np.zeros_like(s) if grad else None
+        lp = np.zeros(len(y), states.dtype)
+        room = np.empty(max(BLOCK * self.classes, 1 << 16), states.dtype)
+        count = np.arange(BLOCK)
+        scratch = np.empty((BLOCK, n + 1), states.dtype)
+
+        def softmax(a: int, b: int, at: np.ndarray, w: np.ndarray, wt: np.ndarray) -> np.ndarray | None:
+            """Add the log-probabilities of rows a to b; with ``grad``, their slopes too (those of ``w`` are returned)."""
+            k, width = b - a, w.shape[1]
+            e = room[: k * width].reshape(k, width) if k * width <= len(room) else np.empty((k, width), states.dtype)
+            np.matmul(s[a:b], w, out=e)
             if not self.safe:
-                logits -= logits.max(1, keepdims=True)
-            own = logits[rows, at]
-            np.exp(logits, out=logits)
-            total = logits @ np.ones(logits.shape[1], logits.dtype)
-            return own - np.log(total), total
-
-        def slopes(e: np.ndarray, at: np.ndarray, rows: np.ndarray, total: np.ndarray, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-            """Gradients for the weights (row a word), the offsets and the states."""
-            e[rows, at] -= total
-            by = 1 / total
-            return e.T @ (s * by[:, None]), by @ e, (e @ w) * by[:, None]
-
-        e = states @ p["wc"]
-        e += p["bc"]
-        out, total = softmax(e, cls, rows)
+                e -= e.max(1, keepdims=True)
+            own = e[count[:k], at]
+            np.exp(e, out=e)
+            total = e @ np.ones(width, e.dtype)
+            lp[a:b] += own - np.log(total)
+            if not grad:
+                return None
+            e[count[:k], at] -= total
+            by = (1 / total)[:, None]
+            back[a:b] += np.matmul(e, wt, out=scratch[:k]) * by
+            return np.multiply(s[a:b], by, out=scratch[:k]).T @ e
+
+        def rows(w: np.ndarray, a: int, b: int, at: np.ndarray, wt: np.ndarray) -> np.ndarray | None:
+            total = None
+            for i in range(a, b, BLOCK):
+                j = min(i + BLOCK, b)
+                g = softmax(i, j, at[i - a : j - a], w, wt)
+                total = g if total is None else total + g
+            return total
+
+        w = np.vstack([p["wc"], p["bc"]])
+        found = rows(w, 0, len(y), cls, np.ascontiguousarray(w.T))
         g: dict[str, np.ndarray] = {}
         if grad:
-            wc, bc, back = slopes(e, cls, rows, total, states, p["wc"].T)
-            g = {"wc": wc.T, "bc": bc, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"]), "states": back}
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes)).tolist()
-        edges, s_all, y_all = self.edges.tolist(), states[order], y[order]
-        inner_lp = np.zeros(len(y), out.dtype)
-        back = np.zeros_like(s_all) if grad else None
+            found = np.zeros_like(w) if found is None else found
+            g = {"wc": found[:n], "bc": found[n], "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+        cuts, edges = np.searchsorted(cls, np.arange(self.classes)).tolist(), self.edges.tolist()
+        inner = np.column_stack([p["wo"], p["bo"]])
         for c in range(self.classes - 1):
             a, b = cuts[c], cuts[c + 1]
             low, high = edges[c], edges[c + 1]
             if a == b or high - low == 1:  # a class of one word is that word
                 continue
-            s, at, rows = s_all[a:b], y_all[a:b] - low, np.arange(b - a)
-            inner = s @ p["wo"][low:high].T
-            inner += p["bo"][low:high]
-            inner_lp[a:b], total = softmax(inner, at, rows)
+            found = rows(inner[low:high].T, a, b, y[a:b] - low, inner[low:high])
             if grad:
-                g["wo"][low:high], g["bo"][low:high], back[a:b] = slopes(inner, at, rows, total, s, p["wo"][low:high])
-        out[order] += inner_lp
+                g["wo"][low:high], g["bo"][low:high] = found[:n].T, found[n]
+        out = np.empty_like(lp)
+        out[order] = lp
         if grad:
-            g["states"][order] += back
+            g["states"] = np.empty_like(states)
+            g["states"][order] = back[:, :n]
         return (out, g) if grad else out
 
     def gradients(self, x, y, valid, fresh, h):
@@ -323,9 +343,10 @@ class Network:
         g["wh"] = before.reshape(-1, n).T @ d_u.reshape(-1, 3 * n)
         flat, flat_x = d_in.reshape(-1, 3 * n), x.ravel()
         g["b"] = flat.sum(0)
-        own, at = np.unique(flat_x, return_inverse=True)
-        order = np.argsort(at.ravel(), kind="stable")
-        first = np.searchsorted(at.ravel()[order], np.arange(len(own)))
+        order = np.argsort(flat_x)
+        in_order = flat_x[order]
+        first = np.flatnonzero(np.diff(in_order, prepend=-1))
+        own = in_order[first]
         g["wx"] = p["embed"][flat_x].T @ flat
         rows = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
         for k in g:
@@ -434,14 +455,15 @@ class _Indexed:
     The vocabulary is held with its index: an address alone could come to be another's.
     """
 
-    held: tuple[Vocabulary, dict[bytes, int]] | None = None
+    held: dict[bool, tuple[Vocabulary, dict[bytes, int]]] = {}
 
     @classmethod
-    def of(cls, shared) -> tuple[Vocabulary, dict[bytes, int]]:
+    def of(cls, shared, modelled: bool = False) -> tuple[Vocabulary, dict[bytes, int]]:
+        """All words that travel, or with ``modelled`` only those that training tells apart."""
         v = shared.value
-        if cls.held is None or cls.held[0] is not v:
-            cls.held = (v, v.index)
-        return cls.held
+        if modelled not in cls.held or cls.held[modelled][0] is not v:
+            cls.held[modelled] = (v, v.first(v.known) if modelled else v.index)
+        return cls.held[modelled]
 
 
 def _ranks(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
@@ -475,7 +497,7 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
     warm = train_docs.filter(F.pmod("key", F.lit(1 << 40)) < limit * float(1 << 40))
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, index = _Indexed.of(shared)
+        v, index = _Indexed.of(shared, modelled=True)
         end = _end(v, index)
         for batch in batches:
             rows = [_ids(words_of(t), index, v, end) for t in as_bytes(batch.column(0))]
@@ -489,7 +511,7 @@ def learn(train_docs: DataFrame, v: Vocabulary, shared) -> Network:
     begun = train_docs.sparkSession.sparkContext.broadcast(pickle.dumps(steps))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, index = _Indexed.of(shared)
+        v, index = _Indexed.of(shared, modelled=True)
         steps: Adagrad = pickle.loads(begun.value)
         own = Network(v.known, edges=class_edges(v.counts[: v.known], v.tokens), p=steps.p)
         end, seen, held, size = _end(v, index), 0, [], 0
