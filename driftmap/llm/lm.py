@@ -46,11 +46,12 @@ HIDDEN = 20
 WINDOW, TRAIN_WINDOW, LANES, TRAIN_LANES = 32, 16, 512, 1024
 WARM_DOCUMENTS, WARM_PASSES = 400, 2
 STRETCH = 16
-BLOCK = 1024  # rows of a softmax that are computed together
+BLOCK, ROOM = 1024, 40_000  # rows of a softmax that are computed together, and their logits: small products are the fastest
+CHUNK = 8192  # parameters that move together
 SLAB = 3_000_000  # tokens that a task lays out side by side
 FLUSH_WORDS = 300_000
 END = b""  # the end mark: no word is empty
-LN10 = float(np.log(10))
+LN10, LN2 = float(np.log(10)), float(np.log(2))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -176,6 +177,7 @@ class Network:
     p: dict[str, np.ndarray] = field(default_factory=dict)
     seen: int = 0  # tokens of the pass over all training documents
     safe: bool = False
+    held: dict[str, np.ndarray] = field(default_factory=dict, repr=False)  # memory that windows use again
 
     def __post_init__(self) -> None:
         if self.edges is None:
@@ -188,124 +190,167 @@ class Network:
             return
         r, h, k = np.random.default_rng(3), self.hidden, self.known
         make = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
-        self.p = {
-            "embed": make(k + 1, h), "wx": make(h, 3 * h) * 3, "wh": make(h, 3 * h) * 3, "b": np.zeros(3 * h, np.float32),
-            "wc": make(h, self.classes), "bc": np.zeros(self.classes, np.float32), "wo": make(k + 1, h), "bo": np.zeros(k + 1, np.float32),
-        }
+        self.p = {"embed": make(k + 1, h), "wx": make(h, 3 * h) * 3, "wh": make(h, 3 * h) * 3, "b": np.zeros(3 * h, np.float32)}
+        # outputs, a row for each class and each word: weights, then the offset
+        offsets = lambda w: np.ascontiguousarray(np.column_stack([w, np.zeros(len(w), np.float32)]))
+        self.p |= {"wc": offsets(make(h, self.classes).T), "wo": offsets(make(k + 1, h))}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array of any contents, in the memory that the last one of this name had."""
+        size, kind = int(np.prod(shape)), self.p["wh"].dtype
+        if name not in self.held or self.held[name].size < size or self.held[name].dtype != kind:
+            self.held[name] = np.empty(size, kind)
+        return self.held[name][:size].reshape(shape)
 
     @staticmethod
     def of(v: Vocabulary) -> Network:
         """A network for the modelled words, its output offsets at the logarithms of the counts."""
         net = Network(v.known, edges=class_edges(v.counts[: v.known], v.tokens))
         if v.known:
-            net.p["bo"][: v.known] = np.log(v.counts[: v.known] + 1.0) - np.log(v.tokens + 1)
+            net.p["wo"][: v.known, -1] = np.log(v.counts[: v.known] + 1.0) - np.log(v.tokens + 1)
             mass = np.add.reduceat(v.counts[: v.known], net.edges[:-1])
-            net.p["bc"][:] = np.log(np.append(mass, v.tail_tokens) + 1.0) - np.log(v.tokens + 1)
+            net.p["wc"][:, -1] = np.log(np.append(mass, v.tail_tokens) + 1.0) - np.log(v.tokens + 1)
         return net
 
     def check(self) -> None:
         """Set ``safe``: states are within 1, so that the weights bound every logit."""
-        p = self.p
-        most = [float((np.abs(w).sum(a) + np.abs(o)).max(initial=0)) for w, o, a in ((p["wc"], p["bc"], 0), (p["wo"], p["bo"], 1))]
-        self.safe = max(most) < SAFE
+        self.safe = max(float(np.abs(self.p[k]).sum(1).max(initial=0)) for k in ("wc", "wo")) < SAFE
 
     def inputs(self) -> np.ndarray:
-        """What each word adds to the gates, for scoring with parameters that no longer change."""
-        return self.p["embed"] @ self.p["wx"] + self.p["b"]
+        """What a step multiplies (state, embedding, 1) by, once for parameters that no longer change.
 
-    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray | None = None, keep: bool = False):
-        """States (time, lane, hidden) for inputs (time, lane); ``fresh`` marks documents' starts."""
+        Rows: the new state's part of the state; the two gates, halved for ``tanh``; its part of the input.
+        """
         p, n = self.p, self.hidden
-        a = self.p["embed"][x] @ p["wx"] + p["b"] if table is None else table[x]
-        out = np.empty((*x.shape, n), a.dtype)
-        trace = [np.empty((*x.shape, k), a.dtype) for k in (n, n, 2 * n, n)] if keep else None
-        starts = fresh.any(1)
-        for t in range(len(x)):
+        w = np.zeros((4 * n, 2 * n + 1), p["wh"].dtype)
+        w[:n, :n] = p["wh"][:, 2 * n :].T
+        w[n : 3 * n, :n] = p["wh"][:, : 2 * n].T
+        w[n:, n : 2 * n], w[n:, 2 * n] = p["wx"].T, p["b"]
+        w[n : 3 * n] /= 2
+        return w
+
+    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray | None = None, keep: bool = False):
+        """States (time, lane, hidden) for inputs (time, lane); ``fresh`` marks documents' starts.
+
+        Within, lanes come last, so that gates are whole rows.
+        """
+        n, (steps, lanes) = self.hidden, x.shape
+        w = self.inputs() if table is None else table
+        out = np.empty((steps, lanes, n), w.dtype)
+        kept = steps if keep else 1
+        given, made = self.room("given", kept, 2 * n + 1, lanes), self.room("made", kept, 4 * n, lanes)
+        given[:, 2 * n] = 1
+        own, free = np.empty((lanes, n), w.dtype), np.empty((n, lanes), w.dtype)
+        h, starts = h.T.copy(), fresh.any(1).tolist()
+        for t in range(steps):
+            g, m = given[t % kept], made[t % kept]
+            g[:n] = h
             if starts[t]:
-                h = h * ~fresh[t][:, None]
-            u = h @ p["wh"]
-            gates = a[t, :, : 2 * n] + u[:, : 2 * n]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            new = gates[:, :n] * u[:, 2 * n :]
-            new += a[t, :, 2 * n :]
+                g[:n] *= ~fresh[t]
+            np.take(self.p["embed"], x[t], axis=0, out=own, mode="clip")
+            g[n : 2 * n] = own.T
+            np.matmul(w, g, out=m)
+            gates, new = m[n : 3 * n], m[3 * n :]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new += np.multiply(gates[:n], m[:n], out=free)
             np.tanh(new, out=new)
-            if keep:
-                trace[0][t], trace[1][t], trace[2][t], trace[3][t] = h, u[:, 2 * n :], gates, new
-            h = h - new
-            h *= gates[:, n:]
+            np.subtract(g[:n], new, out=h)
+            h *= gates[n:]
             h += new
-            out[t] = h
-        return out, h, trace
+            out[t] = h.T
+        return out, h.T, (given, made) if keep else None
 
     def log_probs(self, states: np.ndarray, y: np.ndarray, grad: bool = False):
         """Natural log-probability of each target (``known``: some other word, its class only).
 
-        With ``grad``: also the gradients of the negative sum, for states and outputs.
-        Rows go in order of class and in blocks that stay in the cache; a column of ones carries the offsets.
+        With ``grad``: also the gradients of the negative mean, for states and outputs.
+        Rows go in order of class and in blocks that stay in the cache, powers are of two; a column of ones carries the offsets.
         """
-        p, n = self.p, self.hidden
+        p, n, rows = self.p, self.hidden, len(y)
         order = np.argsort(self.class_of[y], kind="stable")
         y = y[order]
         cls = self.class_of[y]
-        s = np.empty((len(y), n + 1), states.dtype)
+        s = np.empty((rows, n + 1), states.dtype)
         np.take(states, order, axis=0, out=s[:, :n], mode="clip")
         s[:, n] = 1
-        back = np.zeros_like(s) if grad else None
-        lp = np.zeros(len(y), states.dtype)
-        room = np.empty(max(BLOCK * self.classes, 1 << 16), states.dtype)
-        count = np.arange(BLOCK)
-        scratch = np.empty((BLOCK, n + 1), states.dtype)
-
-        def softmax(a: int, b: int, at: np.ndarray, w: np.ndarray, wt: np.ndarray) -> np.ndarray | None:
-            """Add the log-probabilities of rows a to b; with ``grad``, their slopes too (those of ``w`` are returned)."""
-            k, width = b - a, w.shape[1]
-            e = room[: k * width].reshape(k, width) if k * width <= len(room) else np.empty((k, width), states.dtype)
-            np.matmul(s[a:b], w, out=e)
-            if not self.safe:
-                e -= e.max(1, keepdims=True)
-            own = e[count[:k], at]
-            np.exp(e, out=e)
-            total = e @ np.ones(width, e.dtype)
-            lp[a:b] += own - np.log(total)
-            if not grad:
-                return None
-            e[count[:k], at] -= total
-            by = (1 / total)[:, None]
-            back[a:b] += np.matmul(e, wt, out=scratch[:k]) * by
-            return np.multiply(s[a:b], by, out=scratch[:k]).T @ e
-
-        def rows(w: np.ndarray, a: int, b: int, at: np.ndarray, wt: np.ndarray) -> np.ndarray | None:
-            total = None
-            for i in range(a, b, BLOCK):
-                j = min(i + BLOCK, b)
-                g = softmax(i, j, at[i - a : j - a], w, wt)
-                total = g if total is None else total + g
-            return total
-
-        w = np.vstack([p["wc"], p["bc"]])
-        found = rows(w, 0, len(y), cls, np.ascontiguousarray(w.T))
-        g: dict[str, np.ndarray] = {}
-        if grad:
-            found = np.zeros_like(w) if found is None else found
-            g = {"wc": found[:n], "bc": found[n], "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        cuts, edges = np.searchsorted(cls, np.arange(self.classes)).tolist(), self.edges.tolist()
-        inner = np.column_stack([p["wo"], p["bo"]])
-        for c in range(self.classes - 1):
-            a, b = cuts[c], cuts[c + 1]
-            low, high = edges[c], edges[c + 1]
+        across = np.multiply(s.T, 1 / LN2, order="C", dtype=s.dtype)
+        scale = s.dtype.type(1 / max(1, rows))
+        room, count = np.empty(max(ROOM, BLOCK), s.dtype), np.arange(BLOCK)
+        logs, sums = np.zeros(rows, s.dtype), np.empty((n + 1, rows), s.dtype)
+
+        def softmax(w: np.ndarray, first: int, last: int, at: np.ndarray, slope: np.ndarray | None) -> None:
+            """Logarithms of the sums of rows first to last to ``logs``; with ``grad``, weighted sums of ``w`` and the slopes for it too."""
+            width = len(w)
+            each = min(BLOCK, max(1 + ROOM // 1024, ROOM // width))
+            if grad:
+                add = np.empty((n + 1, width), s.dtype)  # the last row adds up
+                add[:n], add[n] = w[:, :n].T, 1
+            for a in range(first, last, each):
+                b = min(a + each, last)
+                k = b - a
+                e = room[: k * width].reshape(width, k) if k * width <= len(room) else np.empty((width, k), s.dtype)
+                np.matmul(w, across[:, a:b], out=e)
+                if not self.safe:
+                    most = e.max(0)
+                    e -= most
+                    logs[a:b] += most
+                np.exp2(e, out=e)
+                if not grad:
+                    logs[a:b] += np.log2(ones[:width] @ e)
+                    continue
+                np.matmul(add, e, out=sums[:, a:b])
+                total = sums[n, a:b]
+                e[at[a - first : b - first], count[:k]] -= total
+                by = s[a:b] * (scale / total)[:, None]
+                if a == first:
+                    np.matmul(e, by, out=slope)
+                else:
+                    slope += e @ by
+
+        def weigh(w: np.ndarray) -> None:
+            """What the sums give for ``logs`` and states; ``w``: rows of the targets."""
+            nonlocal back
+            if grad:
+                logs[:] += np.log2(sums[n])
+                sums[:n] *= scale / sums[n]
+                back += sums[:n].T
+                back -= scale * w[:, :n]
+
+        edges, cuts = self.edges.tolist(), np.searchsorted(cls, np.arange(self.classes)).tolist()
+        ones = np.ones(max(self.classes, int(np.diff(self.edges).max(initial=1))), s.dtype)
+        g = {k: np.empty_like(p[k]) for k in ("wc", "wo")} if grad else {"wc": None}
+        if grad and not rows:
+            g["wc"][:] = 0
+        back = np.zeros((rows, n), s.dtype)
+        own = np.take(p["wc"], cls, axis=0, mode="clip")
+        lp = np.einsum("ij,ij->i", own, s)
+        softmax(p["wc"], 0, rows, cls, g["wc"])
+        weigh(own)
+        own = np.take(p["wo"], y, axis=0, mode="clip")
+        sums[:n], sums[n] = 0, 1
+        for c in range(self.classes):
+            a, b = cuts[c], cuts[c + 1] if c + 1 < self.classes else rows
+            low, high = edges[c], edges[c + 1] if c + 1 < self.classes else self.known + 1
             if a == b or high - low == 1:  # a class of one word is that word
+                own[a:b] = 0
+                if grad:
+                    g["wo"][low:high] = 0
                 continue
-            found = rows(inner[low:high].T, a, b, y[a:b] - low, inner[low:high])
-            if grad:
-                g["wo"][low:high], g["bo"][low:high] = found[:n].T, found[n]
+            softmax(p["wo"][low:high], a, b, y[a:b] - low, g["wo"][low:high] if grad else None)
+        weigh(own)
+        lp += np.einsum("ij,ij->i", own, s)
+        logs *= LN2
+        lp -= logs
         out = np.empty_like(lp)
         out[order] = lp
         if grad:
             g["states"] = np.empty_like(states)
-            g["states"][order] = back[:, :n]
+            g["states"][order] = back
         return (out, g) if grad else out
 
     def gradients(self, x, y, valid, fresh, h):
@@ -314,45 +359,50 @@ class Network:
         That of the embeddings is a pair: the words that occur, and their rows.
         """
         p, n = self.p, self.hidden
-        states, after, (before, un, gates, new) = self.forward(x, fresh, h, keep=True)
-        lp, g = self.log_probs(states[valid], y[valid], grad=True)
-        count = max(1, len(lp))
-        d_states = np.zeros_like(states)
-        d_states[valid] = g.pop("states")
-        r, z = gates[:, :, :n], gates[:, :, n:]
-        by_new = (1 - z) * (1 - new * new)
-        by_r, by_z = un * r * (1 - r), (before - new) * z * (1 - z)
-        d_in = np.empty((*x.shape, 3 * n), states.dtype)
-        d_u = np.empty((*x.shape, 3 * n), states.dtype)
-        d_h, back = np.zeros_like(h), np.ascontiguousarray(p["wh"].T)
-        starts = fresh.any(1)
+        states, after, (given, made) = self.forward(x, fresh, h, keep=True)
+        if valid.all():
+            lp, g = self.log_probs(states.reshape(-1, n), y.ravel(), grad=True)
+            d_states = g.pop("states").reshape(states.shape)
+        else:
+            lp, g = self.log_probs(states[valid], y[valid], grad=True)
+            d_states = np.zeros_like(states)
+            d_states[valid] = g.pop("states")
+        wx, wh = np.ascontiguousarray(p["wx"].T), np.concatenate([p["wh"][:, 2 * n :], p["wh"][:, : 2 * n]], 1)
+        d = np.empty((n, x.shape[1]), states.dtype)
+        left, free, d_h, own = np.empty_like(d), np.empty_like(d), np.zeros_like(d), self.room("own", 4 * n, x.shape[1])
+        d_new = own[3 * n :]
+        total, rows = np.zeros((4 * n, 2 * n + 1), states.dtype), self.room("rows", *states.shape)
+        starts = fresh.any(1).tolist()
         for t in range(len(x) - 1, -1, -1):
-            d = d_states[t] + d_h
-            d_new = d * by_new[t]
-            own = d_u[t]
-            np.multiply(d_new, by_r[t], out=own[:, :n])
-            np.multiply(d, by_z[t], out=own[:, n : 2 * n])
-            np.multiply(d_new, r[t], out=own[:, 2 * n :])
-            d_in[t, :, 2 * n :] = d_new
-            d_h = own @ back
-            d *= z[t]
+            before, (un, r, z, new) = given[t, :n], made[t].reshape(4, n, -1)
+            np.add(d_h, d_states[t].T, out=d)
+            np.subtract(1, z, out=left)
+            np.multiply(new, new, out=free)
+            np.subtract(1, free, out=free)
+            free *= left
+            np.multiply(d, free, out=d_new)
+            np.multiply(d_new, r, out=own[:n])
+            np.subtract(1, r, out=free)
+            free *= un
+            np.multiply(own[:n], free, out=own[n : 2 * n])
+            d *= z
+            np.subtract(before, new, out=free)
+            free *= left
+            np.multiply(d, free, out=own[2 * n : 3 * n])
+            np.matmul(wh, own[: 3 * n], out=d_h)
             d_h += d
             if starts[t]:
-                d_h *= ~fresh[t][:, None]
-        d_in[:, :, : 2 * n] = d_u[:, :, : 2 * n]
-        g["wh"] = before.reshape(-1, n).T @ d_u.reshape(-1, 3 * n)
-        flat, flat_x = d_in.reshape(-1, 3 * n), x.ravel()
-        g["b"] = flat.sum(0)
+                d_h *= ~fresh[t]
+            total += own @ given[t].T
+            np.matmul(own[n:].T, wx, out=rows[t])
+        g["wh"] = np.concatenate([total[n : 3 * n, :n], total[:n, :n]]).T
+        g["wx"], g["b"] = total[n:, n : 2 * n].T, total[n:, 2 * n]
+        flat_x = x.ravel()
         order = np.argsort(flat_x)
         in_order = flat_x[order]
         first = np.flatnonzero(np.diff(in_order, prepend=-1))
-        own = in_order[first]
-        g["wx"] = p["embed"][flat_x].T @ flat
-        rows = np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
-        for k in g:
-            g[k] /= count
-        g["embed"] = (own, rows / count)
-        return g, -float(lp.sum()) / count, after
+        g["embed"] = (in_order[first], np.add.reduceat(np.take(rows.reshape(-1, n), order, axis=0, mode="clip"), first, axis=0))
+        return g, -float(lp.sum()) / max(1, len(lp)), after
 
 
 def lanes_of(lengths: list[int], lanes: int) -> list[list[int]]:
@@ -411,16 +461,20 @@ class Adagrad:
         for k, x in g.items():
             if isinstance(x, tuple):
                 own, x = x
-                s = self.sums[k][own] + x * x
+                s = np.take(self.sums[k], own, axis=0) + x * x
                 self.sums[k][own] = s
                 self.p[k][own] -= self.rate * x / np.sqrt(s)
-            else:
-                square = x * x
-                self.sums[k] += square
-                np.sqrt(self.sums[k], out=square)
-                np.divide(x, square, out=x)
-                x *= self.rate
-                self.p[k] -= x
+                continue
+            flat, own, sums = np.ravel(x), self.p[k].reshape(-1), self.sums[k].reshape(-1)
+            room = np.empty(min(CHUNK, len(flat)), flat.dtype)
+            for a in range(0, len(flat), CHUNK):  # what stays in the cache
+                x, s = flat[a : a + CHUNK], sums[a : a + CHUNK]
+                move = np.multiply(x, x, out=room[: len(x)])
+                s += move
+                np.sqrt(s, out=move)
+                np.divide(x, move, out=move)
+                move *= self.rate
+                own[a : a + CHUNK] -= move
 
 
 def train(net: Network, ids: list[np.ndarray], end: int, steps: Adagrad) -> tuple[float, int]:

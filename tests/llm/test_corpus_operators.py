@@ -217,6 +217,54 @@ def test_lm_gradients():
             assert abs((up - down) / 2e-3 - grads[k][at]) < 1e-5
 
 
+def plain_lm(net, ids, end):
+    """Log-probability of a document, one token and one formula after the other."""
+    p, n = {k: x.astype(np.float64) for k, x in net.p.items()}, net.hidden
+    h, before, total = np.zeros(n), end, 0.0
+    for y in ids:
+        a, u = p["embed"][before] @ p["wx"] + p["b"], h @ p["wh"]
+        r, z = (1 / (1 + np.exp(-a[k : k + n] - u[k : k + n])) for k in (0, n))
+        new = np.tanh(a[2 * n :] + r * u[2 * n :])
+        h = new + z * (h - new)
+        c, before = int(net.class_of[y]), y
+        first = net.edges[c]
+        last = net.edges[c + 1] if c + 1 < net.classes else first + 1
+        for w, at in ((p["wc"], c), (p["wo"][first:last], y - first)):
+            logits = w[:, :n] @ h + w[:, n]
+            total += logits[at] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+    return total
+
+
+@pytest.mark.parametrize("scale", [1, 40])  # logits that need no shift, and large ones
+def test_lm_scores_equal_plain_formulas(scale):
+    rng = np.random.default_rng(5)
+    net = lm.Network(3000, 6, edges=np.array([0, 1, 4, 30, 800, 3000]))
+    net.p = {k: (x + rng.standard_normal(x.shape) * 0.3).astype(np.float32) * np.float32(scale if k in ("wc", "wo") else 1) for k, x in net.p.items()}
+    net.check()
+    assert net.safe == (scale == 1)
+    ids = [np.append(np.minimum(rng.zipf(1.2, k) - 1, 3000), 0).astype(np.int32) for k in (3, 0, 700, 2500)]
+    want = [plain_lm(net, x.tolist(), 0) for x in ids]
+    assert np.allclose(lm.score(net, ids, 0), want, rtol=2e-4)
+    assert np.allclose(lm.score(net, ids, 0, net.inputs()), want, rtol=2e-4)
+
+
+def test_lm_training_works_in_the_memory_it_has():
+    import pickle
+    import tracemalloc
+
+    net, rng = lm.Network(2000, 20), np.random.default_rng(7)
+    ids = [rng.integers(0, 2001, 60).astype(np.int32) for _ in range(1024)]
+    parts = list(lm.windows(ids, 0, 1024, 16))
+    h = np.zeros((1024, 20), np.float32)
+    net.gradients(*parts[0][:4], h)
+    tracemalloc.start()
+    net.gradients(*parts[1][:4], h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # arrays made anew for every window took twice that, and a fault for every page
+    assert len(pickle.dumps(net)) < 2 * sum(x.nbytes for x in net.p.values())
+
+
 def test_lm_windows_carry_state():
     net = lm.Network(8, 4, 3)
     rng = np.random.default_rng(1)
